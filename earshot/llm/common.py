@@ -75,3 +75,85 @@ def word_count(text: Column) -> Column:
         .otherwise(gaps + 1)
         .cast("long")
     )
+
+
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+#: Elements summed one by one in ``running_sums``.
+BLOCK = 256
+
+
+def running_sums(xs: Column) -> Column:
+    """Exclusive running sums of a non-empty array of longs.
+
+    Sums of blocks first, then inside blocks: linear but for the number of blocks.
+    """
+    b = BLOCK
+
+    def use(x):
+        blocks = F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(x) - 1) / b).cast("int")),
+            lambda k: F.aggregate(F.slice(x, k * b + 1, F.lit(b)), F.lit(0).cast("long"), lambda a, v: a + v),
+        )
+        starts = F.aggregate(
+            blocks, F.array(F.lit(0).cast("long")), lambda a, v: F.concat(a, F.array(F.element_at(a, -1) + v))
+        )
+        return let(
+            starts,
+            lambda st: F.transform(
+                x,
+                lambda _, i: F.get(st, F.floor(i / b).cast("int"))
+                + F.when(
+                    i % b > 0,
+                    F.aggregate(
+                        F.slice(x, (i - i % b + 1).cast("int"), F.greatest(i % b, F.lit(1)).cast("int")),
+                        F.lit(0).cast("long"),
+                        lambda a, v: a + v,
+                    ),
+                ).otherwise(F.lit(0).cast("long")),
+            ),
+        )
+
+    return let(xs, use)
+
+
+SPAN = "array<struct<start:bigint,end:bigint,hit:string,before:string>>"
+#: Characters kept of the text before a match.
+CONTEXT = 48
+
+
+def find_all(text: Column, pattern: str) -> Column:
+    """Leftmost non-overlapping matches of a pattern that never matches nothing:
+    array of (start, end, hit, before) in code points, end exclusive.
+
+    The pieces between matches give the offsets, so the cost is two scans and the
+    number of matches.
+    """
+
+    def use(x):
+        def spans(p):
+            return F.transform(
+                F.arrays_zip(x["hits"].alias("hit"), F.slice(x["gaps"], 1, F.size(x["hits"])).alias("gap"), p.alias("at")),
+                lambda z: let(
+                    z["at"] + F.length(z["gap"]),
+                    lambda s: F.struct(
+                        s.cast("long").alias("start"),
+                        (s + F.length(z["hit"])).cast("long").alias("end"),
+                        z["hit"].alias("hit"),
+                        F.substring(z["gap"], -CONTEXT, CONTEXT).alias("before"),
+                    ),
+                ),
+            )
+
+        lengths = F.zip_with(
+            F.slice(x["gaps"], 1, F.size(x["hits"])), x["hits"], lambda g, h: (F.length(g) + F.length(h)).cast("long")
+        )
+        return F.when(F.size(x["hits"]) > 0, let(running_sums(lengths), spans)).otherwise(F.array().cast(SPAN))
+
+    found = F.struct(
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("gaps")
+    )
+    return let(found, use)
