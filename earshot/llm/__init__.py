@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules in the order of their operators' numbers.
-MODULES = ("chat", "mixing")
+MODULES = ("pii", "chat", "mixing")
 
 
 def queries() -> dict:
