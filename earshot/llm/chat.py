@@ -55,23 +55,25 @@ def chosen_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
         ),
         "chat-0",
     )
-    jumps = [state]
-    left, most = state.agg(F.count("up"), F.count(F.lit(1))).first()
+    # Only nodes that have not reached their root move on; the rest stay as written.
+    most = state.count()
+    rooted, active = state.filter("up is null"), state.filter("up is not null")
+    jumps, left = [active], active.count()
     while left and 2 ** len(jumps) <= 2 * most:
-        b = state.select(
+        b = rooted.unionByName(active).select(
             F.col("tree").alias("t2"), F.col("node").alias("n2"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("total").alias("s2")
         )
-        state = stage(
-            state.join(b, (F.col("tree") == F.col("t2")) & (F.col("up") == F.col("n2")), "left").select(
-                "tree", "node", F.col("up2").alias("up"),
-                (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("s2", F.lit(0.0))).alias("total"),
+        moved = stage(
+            active.join(b, (F.col("tree") == F.col("t2")) & (F.col("up") == F.col("n2"))).select(
+                "tree", "node", F.col("up2").alias("up"), (F.col("depth") + F.col("d2")).alias("depth"), (F.col("total") + F.col("s2")).alias("total")
             ),
             f"chat-{len(jumps)}",
         )
-        left = state.filter("up is not null").count()
-        jumps.append(state)
-    inner = jumps[0].filter("up is not null").select(F.col("tree").alias("t2"), F.col("up").alias("n2")).distinct()
-    leaves = state.filter("up is null").join(inner, (F.col("tree") == F.col("t2")) & (F.col("node") == F.col("n2")), "left_anti")
+        rooted, active = rooted.unionByName(moved.filter("up is null")), moved.filter("up is not null")
+        left = active.count()
+        jumps.append(active)
+    inner = jumps[0].select(F.col("tree").alias("t2"), F.col("up").alias("n2")).distinct()
+    leaves = rooted.join(inner, (F.col("tree") == F.col("t2")) & (F.col("node") == F.col("n2")), "left_anti")
     best = Window.partitionBy("tree").orderBy((F.col("total") / (F.col("depth") + 1)).desc(), "node")
     path = (
         leaves.withColumn("rank", F.row_number().over(best))
@@ -80,7 +82,7 @@ def chosen_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     )
     # Ancestors by binary distance: the longest jumps first, each node once.
     for k in reversed(range(len(jumps) - 1)):
-        j = jumps[k].filter("up is not null").select(F.col("tree").alias("t2"), F.col("node").alias("n2"), "up")
+        j = jumps[k].select(F.col("tree").alias("t2"), F.col("node").alias("n2"), "up")
         far = path.join(j, (F.col("tree") == F.col("t2")) & (F.col("node") == F.col("n2")))
         path = stage(path.unionByName(far.select("tree", "leaf", (F.col("depth") - 2**k).alias("depth"), F.col("up").alias("node"))), f"chat-path-{k}")
     return path
