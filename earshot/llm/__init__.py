@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules in the order of their operators' numbers.
-MODULES = ("pii", "chat", "mixing", "secrets")
+MODULES = ("languages", "pii", "chat", "mixing", "secrets")
 
 
 def queries() -> dict:
