@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules in the order of their operators' numbers.
-MODULES = ("languages", "pii", "chat", "mixing", "secrets", "simhash")
+MODULES = ("languages", "pii", "chat", "mixing", "secrets", "simhash", "topk")
 
 
 def queries() -> dict:
