@@ -19,6 +19,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Stands for a null id inside operators.
 NULL_ID = -(2**63)
@@ -48,6 +49,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def extended(fields: T.StructType, ddl: str) -> T.StructType:
+    """A schema followed by the columns of ``ddl``."""
+    return T.StructType([*fields.fields, *T.StructType.fromDDL(ddl).fields])
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import extended, table
 from .tokens import shingle_hashes, slices_of, token_hashes
 
 SEED, COVERAGE, BLOCK_BYTES = 5, 0.8, 16 << 20
@@ -112,7 +112,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] =
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-size // BLOCK_BYTES) or 1
     fields = docs.select("doc_id", *keep).schema
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)
     x = docs.select("doc_id", *keep, F.col("text").alias("_text"))
     for block in range(n):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == block).collect()  # about BLOCK_BYTES
@@ -135,7 +134,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] =
                     names.remove("_text")
                 yield pa.RecordBatch.from_arrays(arrays, names)
 
-        x = x.mapInArrow(scan, f"{schema}, {HITS}" if last else f"{schema}, _text string, {HITS}")
+        x = x.mapInArrow(scan, extended(fields, HITS if last else f"_text string, {HITS}"))
     return x
 
 

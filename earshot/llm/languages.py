@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import extended, table
 
 BUCKETS = 1 << 13
 DOCS_PER_LANGUAGE = 3000
@@ -113,7 +113,7 @@ def fit(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> tupl
 def identify(docs: DataFrame, names: list[str], model: np.ndarray, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns named by ``keep``, lang_pred, score, mixture."""
     fields = docs.select("doc_id", *keep).schema
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)
+    schema = extended(fields, "lang_pred string, score double, mixture array<struct<lang:string,share:double>>")
     pairs = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +127,7 @@ def identify(docs: DataFrame, names: list[str], model: np.ndarray, keep: tuple[s
             yield pa.RecordBatch.from_arrays(arrays, [*fields.names, "lang_pred", "score", "mixture"])
 
     x = docs.select("doc_id", *keep, F.col("text").alias("_text"))
-    return x.mapInArrow(predict, f"{schema}, lang_pred string, score double, mixture array<struct<lang:string,share:double>>")
+    return x.mapInArrow(predict, schema)
 
 
 def fold(mod: int):

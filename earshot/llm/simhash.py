@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, stage, table
+from .common import extended, partitions, stage, table
 from .components import components, local_roots
 
 SHINGLE, SEED, RADIUS, PIVOTS, LARGE = 4, 42, 4, 16, 2048
@@ -68,7 +68,6 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns named by ``keep``, fp (the 64 bits as a signed long)."""
     fields = docs.select("doc_id", *keep).schema
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -76,7 +75,7 @@ def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
             fps = np.array([fingerprint(t or b"") for t in b.column(k).cast(pa.binary()).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(k)), pa.array(fps.view(np.int64))], [*fields.names, "fp"])
 
-    return docs.select("doc_id", *keep, F.col("text").alias("_text")).mapInArrow(of, f"{schema}, fp long")
+    return docs.select("doc_id", *keep, F.col("text").alias("_text")).mapInArrow(of, extended(fields, "fp long"))
 
 
 def blocks_for(n: int) -> tuple[int, int]:
