@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("operators.text_queries",)
+MODULES = ("operators.text_queries", "operators.scoring", "operators.relational", "operators.signal_queries")
 
 
 def queries() -> dict:
