@@ -33,10 +33,10 @@ W01 = f"SELECT vec_id, len(f)::BIGINT AS n, round_even(f[-1][1], 9) AS last_firs
 
 def d03(spark, d):
     x = _waves(spark, d).select("vec_id", F.posexplode(G.frame_db(F.col("y"), SIZE, HOP)).alias("frame", "db"))
-    return x.select("vec_id", "frame", F.round("db", 7).alias("db"))
+    return x.select("vec_id", "frame", (F.round("db", 7) + 0.0).alias("db"))
 
 
-D03 = f"SELECT vec_id, unnest(range(0, len(db)))::INT AS frame, round(unnest(db), 7) AS db FROM {DB}"
+D03 = f"SELECT vec_id, unnest(range(0, len(db)))::INT AS frame, round(unnest(db), 7) + 0.0 AS db FROM {DB}"
 
 
 def d04(spark, d):
