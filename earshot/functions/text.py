@@ -44,6 +44,11 @@ def strip_punctuation(text: Column) -> Column:
     return F.regexp_replace(text, r"[\p{P}\p{S}&&[^']]", " ")
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 

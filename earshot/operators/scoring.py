@@ -28,7 +28,7 @@ def scored_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def scorable() -> Column:
-    return F.trim(F.coalesce("reference", F.lit(""))) != ""
+    return X.strip(F.coalesce("reference", F.lit(""))) != ""
 
 
 def corpus_scores(scored: DataFrame, *keys: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..functions.text import after_first_blank, stem, suffix
+from ..functions.text import after_first_blank, stem, strip, suffix
 from ..operators.relational import attach_references
 from ..schemas import MANIFEST
 
@@ -20,7 +20,7 @@ AUDIO_SUFFIXES = (".wav", ".flac", ".mp3", ".ogg", ".m4a", ".webm", ".opus", ".a
 
 
 def _blank(c: str) -> Column:
-    return F.trim(F.coalesce(F.col(c), F.lit("")))
+    return strip(F.coalesce(F.col(c), F.lit("")))
 
 
 def read_manifest(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
@@ -49,7 +49,7 @@ def read_sidecars(spark: SparkSession, folder: str) -> DataFrame:
     """Whole ``.txt`` files beside audio: path without suffix, side."""
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
     path = F.col("_metadata.file_path")
-    return files.filter(~F.endswith(path, F.lit(".trans.txt"))).select(F.regexp_replace(path, r"\.[^./]*$", "").alias("base"), F.trim("value").alias("side"))
+    return files.filter(~F.endswith(path, F.lit(".trans.txt"))).select(F.regexp_replace(path, r"\.[^./]*$", "").alias("base"), strip(F.col("value")).alias("side"))
 
 
 def scan_folder(spark: SparkSession, folder: str) -> DataFrame:
@@ -129,7 +129,7 @@ def read_speech_archive(spark: SparkSession, paths: str) -> DataFrame:
     spark.dataSource.register(TarSource)
     members = spark.read.format("tar").load(paths)
     audio = members.filter(F.col("suffix").isin(*AUDIO_SUFFIXES)).select(F.col("stem").alias("id"), F.col("member").alias("path"), "content")
-    lines = members.filter(F.endswith("member", F.lit(".trans.txt"))).select(F.posexplode(F.split(F.decode("content", F.lit("utf-8")), "\n")).alias("ordinal", "value"))
+    lines = members.filter(F.endswith("member", F.lit(".trans.txt"))).select(F.posexplode(F.split(F.decode("content", "utf-8"), "\n")).alias("ordinal", "value"))
     key, text = after_first_blank(F.col("value"))
     return attach_references(audio, lines.filter(F.instr("value", " ") > 0).select(key.alias("id"), text.alias("reference"), "ordinal"))
 

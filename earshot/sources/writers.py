@@ -39,10 +39,10 @@ def as_json(df: DataFrame) -> Column:
 def upload_manifest(files: DataFrame, sidecars: DataFrame) -> DataFrame:
     """Uploaded files (name) with references of uploaded text files (name, value); text
     and table files are no rows."""
-    from ..functions.text import stem, suffix
+    from ..functions.text import stem, strip, suffix
 
     audio = files.filter(~suffix(F.col("name")).isin(".txt", ".csv")).select(stem(F.col("name")).alias("id"), F.col("name").alias("path"))
-    side = sidecars.select(stem(F.col("name")).alias("id"), F.trim("value").alias("reference"))
+    side = sidecars.select(stem(F.col("name")).alias("id"), strip(F.col("value")).alias("reference"))
     return audio.join(side, "id", "left").select("id", "path", F.coalesce("reference", F.lit("")).alias("reference"), F.lit("").alias("language"))
 
 
