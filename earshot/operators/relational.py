@@ -268,8 +268,7 @@ A03 = f"SELECT '{{' || string_agg('\"' || language || '\":' || n, ',' ORDER BY l
 
 def a05(spark, d):
     n = result_rows(spark, d).groupBy("worker").agg(F.count(F.lit(1)).alias("n"))
-    top = n.agg(F.max("n").alias("top"))
-    return n.crossJoin(top).select("worker", "n", F.bround(F.col("n") / F.col("top"), 6).alias("share"))  # top is one row
+    return n.select("worker", "n", F.bround(F.col("n") / n.agg(F.max("n")).scalar(), 6).alias("share"))
 
 
 A05 = f"SELECT worker, n, round_even(n / max(n) OVER (), 6) AS share FROM (SELECT worker, count(*) AS n FROM ({RESULT_SQL}) GROUP BY 1)"

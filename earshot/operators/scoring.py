@@ -31,14 +31,17 @@ def scorable() -> Column:
     return X.strip(F.coalesce("reference", F.lit(""))) != ""
 
 
-def corpus_scores(scored: DataFrame, *keys: str) -> DataFrame:
-    """Totals over scored rows: errors by reference tokens, null without tokens."""
+def corpus_totals() -> list[Column]:
+    """Aggregates over scored rows: errors by reference tokens, null without tokens."""
     total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name)
-    per = scored.groupBy(*keys).agg(
+    return [
         F.try_divide(F.sum("words.errors"), F.sum("words.N")).alias("wer"), F.try_divide(F.sum("char_errors"), F.sum("char_n")).alias("cer"),
         total("words.S", "substitutions"), total("words.D", "deletions"), total("words.I", "insertions"), total("words.N", "ref_words"), total("char_n", "ref_chars"),
-    )
-    return per
+    ]
+
+
+def corpus_scores(scored: DataFrame, *keys: str) -> DataFrame:
+    return scored.groupBy(*keys).agg(*corpus_totals())
 
 
 def corrupted(words: Column) -> Column:
@@ -162,15 +165,19 @@ def a01(spark, d):
     return run_summary(result_rows(spark, d), 60.0)
 
 
-def run_summary(rows: DataFrame, wall_s: float, *keys: str) -> DataFrame:
-    """One aggregate over result rows (id, duration_s, infer_s, worker, error)."""
+def run_totals(wall_s: float) -> list[Column]:
+    """Aggregates over result rows (id, duration_s, infer_s, worker, error)."""
     good = F.col("error").isNull()
     seconds = lambda c: F.coalesce(F.sum(F.when(good, F.col(c))), F.lit(0.0))
     n, wall = F.count(F.lit(1)), F.lit(float(wall_s))
-    return rows.groupBy(*keys).agg(
+    return [
         n.alias("files"), F.count_if(~good).alias("failed"), F.bround(seconds("duration_s"), 2).alias("audio_s"), F.bround(F.try_divide(n, wall), 3).alias("files_per_s"),
         F.bround(F.try_divide(seconds("duration_s"), wall), 3).alias("rtfx"), F.bround(seconds("infer_s"), 3).alias("infer_s_total"), F.countDistinct("worker").alias("distinct_workers"),
-    )
+    ]
+
+
+def run_summary(rows: DataFrame, wall_s: float, *keys: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(*run_totals(wall_s))
 
 
 A01 = f"""SELECT count(*) AS files, count(*) FILTER (WHERE error IS NOT NULL) AS failed, round_even(sum(duration_s) FILTER (WHERE error IS NULL), 2) AS audio_s,

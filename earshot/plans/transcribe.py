@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import signal as G
 from ..operators.relational import snr_label
-from ..operators.scoring import corpus_scores, run_summary, scorable, score_language, scored_pairs
+from ..operators.scoring import corpus_scores, corpus_totals, run_totals, scorable, score_language, scored_pairs
 from ..schemas import RESULT_COLUMNS
 from ..sources.decode import decode
 from .models import backend, check_language
@@ -101,8 +101,7 @@ def results(scored: DataFrame) -> DataFrame:
 
 def summary(scored: DataFrame, wall_s: float, *keys: str) -> DataFrame:
     """Run summary with corpus scores, by keys if any."""
-    a, b = run_summary(scored, wall_s, *keys), corpus_scores(scored, *keys)
-    return a.join(b, list(keys)) if keys else a.crossJoin(b)  # one row each
+    return scored.groupBy(*keys).agg(*run_totals(wall_s), *corpus_totals())
 
 
 def noise_sweep(manifest: DataFrame, audio: DataFrame, model: str, snrs: tuple = (None, 20.0, 10.0, 5.0, 0.0), language: str | None = None) -> DataFrame:

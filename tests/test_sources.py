@@ -135,3 +135,17 @@ def test_plans_stay_in_catalyst(spark, sf):
 
     plan = catalog.queries()["p03_successful"](spark, sf)._jdf.queryExecution().toString()
     assert "PushedFilters" in plan and "Python" not in plan
+
+
+def test_experiments(spark, tmp_path):
+    from earshot.functions import signal as G
+    from earshot.plans import experiments
+    from earshot.sources import fixtures
+
+    t = fixtures.tones(spark, 2, 0.1, 1000).select(F.size("y").alias("n"), F.size(G.trim(F.col("y"), 35.0, 25, 10)).alias("m")).collect()
+    assert all(r.n == 1300 and r.m < 200 for r in t)
+    runs = experiments.scaling(spark, lambda n: None, [1, 2], lambda: None)
+    assert [r.engine for r in runs.orderBy("run_no").collect()] == ["local", "spark", "spark"]
+    payload = experiments.benchmark_payload(runs, "stand-in", 3)
+    writers.write_experiment(payload, str(tmp_path / "x"))
+    assert spark.read.csv(str(tmp_path / "x/csv"), header=True).count() == 3
