@@ -186,15 +186,23 @@ def links(distinct: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns named by ``keep``, fp, component_id for every row."""
     marked = stage(fingerprints(docs, keep), "simhash")
-    nodes = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
+    nodes = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "simhash-nodes")
     linked = components(links(nodes.select("fp")))
     named = linked.join(nodes, F.col("node") == F.col("fp")).select("fp", "label", "least")
     names = named.groupBy("label").agg(F.min("least").alias("component_id"))
     named = named.join(names, "label").select(F.col("fp").alias("f2"), "component_id")
-    node_names = nodes.join(named, F.col("fp") == F.col("f2"), "left").select(
-        F.col("fp").alias("f3"), F.coalesce("component_id", "least").alias("component_id")
+    total = nodes.agg(F.sum("n")).first()[0] or 0
+    node_names = stage(
+        nodes.join(named, F.col("fp") == F.col("f2"), "left").select(F.col("fp").alias("f3"), F.coalesce("component_id", "least").alias("component_id"), "n"),
+        "simhash-names",
     )
-    return marked.join(node_names, F.col("fp") == F.col("f3")).drop("f3")
+    # A fingerprint of a thousandth of all rows or more would gather them in one task;
+    # there are at most a thousand of those.
+    hot = F.broadcast(node_names.filter(F.col("n") * 1000 >= total).drop("n"))
+    cold = node_names.filter(F.col("n") * 1000 < total).drop("n")
+    often = marked.join(hot, F.col("fp") == F.col("f3")).drop("f3")
+    seldom = marked.join(hot, F.col("fp") == F.col("f3"), "left_anti").join(cold, F.col("fp") == F.col("f3")).drop("f3")
+    return often.unionByName(seldom)
 
 
 def hex64(x: Column) -> Column:
