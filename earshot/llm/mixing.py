@@ -30,7 +30,7 @@ from .common import stage, table, word_count
 #: Newton steps; each keeps a bracket, so 60 also bound pure bisection.
 NEWTON_STEPS = 60
 #: Documents ranked together at most, on average.
-SUB_CELL = 20_000
+SUB_CELL = 1_000
 
 
 def source_targets(hist: DataFrame, weights: Sequence[int], cap: float) -> DataFrame:
