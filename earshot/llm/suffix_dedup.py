@@ -234,7 +234,11 @@ def index_rows(docs: DataFrame, hot, parts: int) -> DataFrame:
                 order, later, new = settle(c["kh"], c["sh"], c["ids"], c["fps"], c["lo"])
                 done, go = order[later], np.sort(order[new])
                 if len(done):
-                    rows.append(_blob(int(c["kh"][done[0]] % np.uint64(parts)), SETTLED, {k: v[done] for k, v in c.items()}))
+                    # Settled rows may go anywhere; equal shares by document keep them from one place.
+                    spot = (_mix(c["ids"][done].view(np.uint64) + _M1) >> np.uint64(32)) % np.uint64(min(parts, 16))
+                    for i in np.unique(spot):
+                        own = done[spot == i]
+                        rows.append(_blob(int((_mix(c["ids"][own[:1]].view(np.uint64) + _M2)[0] >> np.uint64(32)) % np.uint64(parts)), SETTLED, {k: v[own] for k, v in c.items()}))
                 part = ((c["kh"] if kind == SEGMENT else c["sh"])[go] % np.uint64(parts)).astype(np.int64)
                 by = np.argsort(part, kind="stable")
                 cut = np.searchsorted(part[by], np.arange(parts + 1))
