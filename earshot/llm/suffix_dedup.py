@@ -43,7 +43,9 @@ from .common import NULL_ID, partitions, stage, table
 WINDOW, GRAM = 100, 32
 SPREAD = WINDOW - GRAM  # an anchor starts 0 to SPREAD bytes after its window
 HOT_SHARE, HOT_SAMPLE = 0.004, 4000
-PIECE = 1 << 21
+PIECE = 1 << 19
+#: Index families a task works through one after the other.
+TURNS = 8
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
 
@@ -376,7 +378,7 @@ def fetch(docs: DataFrame, lists: DataFrame, parts: int) -> DataFrame:
             for i, f, t, many in zip(*_texts(b), b.column("open").to_pylist(), strict=True):
                 for x in many:
                     data = t[x["s"] : x["e"]]
-                    part = int.from_bytes(hashlib.blake2b(data[x["off"] : x["off"] + GRAM], digest_size=8).digest(), "big") % parts
+                    part = int.from_bytes(hashlib.blake2b(data[x["off"] : x["off"] + GRAM], digest_size=8).digest(), "big") % (parts * TURNS)
                     for column, v in zip(out.setdefault(part, ([], [], [], [], [])), (i, f, x["s"], x["e"] - x["s"] - WINDOW + 1, data), strict=True):
                         column.append(v)
             if out:
@@ -385,7 +387,7 @@ def fetch(docs: DataFrame, lists: DataFrame, parts: int) -> DataFrame:
                     ["part", "ids", "fps", "lo", "n", "data"],
                 )
 
-    return held.mapInArrow(work, "part long, ids binary, fps binary, lo binary, n binary, data binary").repartition(parts, "part")
+    return held.mapInArrow(work, "part long, ids binary, fps binary, lo binary, n binary, data binary").repartition(parts, "part").sortWithinPartitions("part")
 
 
 def compare(fetched: DataFrame) -> DataFrame:
@@ -414,16 +416,17 @@ def compare(fetched: DataFrame) -> DataFrame:
         yield _places(ids[at], fps[at], lo[at], lo[last] + WINDOW)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        families: dict[int, Family] = {}
+        part, family = None, Family()
         found: list[Level] = []
         for b in batches:
             for x in b.to_pylist():
-                found += families.setdefault(x["part"], Family()).add(windows(x))
-            if sum(map(len, found)) > 500_000:
-                yield from runs([Level(f.keys[:0], f.ids, f.fps, f.lo) for f in found])
+                if x["part"] != part:  # rows come sorted, so the family before is complete
+                    part, family = x["part"], Family()
+                for level in family.add(windows(x)):
+                    found.append(Level(level.keys[:0].copy(), level.ids, level.fps, level.lo))
+            if sum(len(f.ids) for f in found) > 500_000:
+                yield from runs(found)
                 found = []
-            else:
-                found = [Level(f.keys[:0].copy(), f.ids, f.fps, f.lo) for f in found]
         if found:
             yield from runs(found)
 
