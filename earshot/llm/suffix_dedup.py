@@ -46,6 +46,8 @@ HOT_SHARE, HOT_SAMPLE = 0.004, 4000
 PIECE = 1 << 19
 #: Index families a task works through one after the other.
 TURNS = 8
+#: Anchors a task settles together.
+ROWS_HELD = 400_000
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
 
@@ -188,6 +190,19 @@ def _texts(b: pa.RecordBatch) -> tuple[list, list, list]:
     return b.column("rid").to_pylist(), b.column("fp").to_pylist(), [t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()]
 
 
+def slices(b: pa.RecordBatch, rows: int = 512) -> Iterator[Docs]:
+    """The batch's documents, a few hundred at a time."""
+    for i in range(0, b.num_rows, rows):
+        yield from pieces(*_texts(b.slice(i, rows)))
+
+
+def places(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Of an array of lists of structs: the offsets, and each field's values together."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    offsets = np.concatenate([[0], np.cumsum(np.asarray(column.value_lengths().fill_null(0)))])
+    return offsets, [np.asarray(f) for f in column.flatten().flatten()]
+
+
 def hot_anchors(docs: DataFrame, total: int) -> np.ndarray:
     """Anchor hashes that many sampled documents hold; at most 100 / HOT_SHARE or so."""
     mod = max(1, total // HOT_SAMPLE)
@@ -195,7 +210,7 @@ def hot_anchors(docs: DataFrame, total: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for d in pieces(*_texts(b)):
+            for d in slices(b):
                 s = segments(d.x, d.ends)
                 if s is not None and len(s[0]):
                     once = np.unique(np.stack([s[3], d.owner(s[0]).astype(np.uint64)]), axis=1)[0]
@@ -211,10 +226,10 @@ def index_rows(docs: DataFrame, hot, parts: int) -> DataFrame:
     """Blobs of segments, hot windows and settled repeats, dealt to partitions."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[dict] = []
+        warm: list[dict] = []
         for b in batches:
-            found: list[dict] = []
-            warm: list[dict] = []
-            for d in pieces(*_texts(b)):
+            for d in slices(b):
                 s = segments(d.x, d.ends)
                 if s is None or not len(s[0]):
                     continue
@@ -228,28 +243,36 @@ def index_rows(docs: DataFrame, hot, parts: int) -> DataFrame:
                     k = len(start)
                     warm.append({"kh": np.repeat(kh[is_hot], n[is_hot]), "sh": wh, "ids": d.ids[o], "fps": d.fps[o], "lo": start - d.starts[o] + d.base[o], "n": np.ones(k, np.int32), "off": np.zeros(k, np.int32)})
                 found.append({k: v[~is_hot] for k, v in cols.items()})
-            rows = []
-            for kind, many in ((SEGMENT, found), (HOT, warm)):
-                if not many:
-                    continue
-                c = {k: np.concatenate([m[k] for m in many]).astype(TYPES[k]) for k in FIELDS}
-                order, later, new = settle(c["kh"], c["sh"], c["ids"], c["fps"], c["lo"])
-                done, go = order[later], np.sort(order[new])
-                if len(done):
-                    # Settled rows may go anywhere; equal shares by document keep them from one place.
-                    spot = (_mix(c["ids"][done].view(np.uint64) + _M1) >> np.uint64(32)) % np.uint64(min(parts, 16))
-                    for i in np.unique(spot):
-                        own = done[spot == i]
-                        rows.append(_blob(int((_mix(c["ids"][own[:1]].view(np.uint64) + _M2)[0] >> np.uint64(32)) % np.uint64(parts)), SETTLED, {k: v[own] for k, v in c.items()}))
-                part = ((c["kh"] if kind == SEGMENT else c["sh"])[go] % np.uint64(parts)).astype(np.int64)
-                by = np.argsort(part, kind="stable")
-                cut = np.searchsorted(part[by], np.arange(parts + 1))
-                for p in range(parts):
-                    if cut[p + 1] > cut[p]:
-                        own = go[by[cut[p] : cut[p + 1]]]
-                        rows.append(_blob(p, kind, {k: v[own] for k, v in c.items()}))
-            if rows:
-                yield _emit(rows)
+                if sum(len(x["kh"]) for x in found) + sum(len(x["kh"]) for x in warm) >= ROWS_HELD:
+                    yield from deal(SEGMENT, found)
+                    yield from deal(HOT, warm)
+        yield from deal(SEGMENT, found)
+        yield from deal(HOT, warm)
+
+    def deal(kind: int, many: list[dict]) -> Iterator[pa.RecordBatch]:
+        """Settle the rows held, give them out by partition and hold none."""
+        if not many:
+            return
+        c = {k: np.concatenate([m[k] for m in many]).astype(TYPES[k]) for k in FIELDS}
+        many.clear()
+        rows = []
+        order, later, new = settle(c["kh"], c["sh"], c["ids"], c["fps"], c["lo"])
+        done, go = order[later], np.sort(order[new])
+        if len(done):
+            # Settled rows may go anywhere; equal shares by document keep them from one place.
+            spot = (_mix(c["ids"][done].view(np.uint64) + _M1) >> np.uint64(32)) % np.uint64(min(parts, 16))
+            for i in np.unique(spot):
+                own = done[spot == i]
+                rows.append(_blob(int((_mix(c["ids"][own[:1]].view(np.uint64) + _M2)[0] >> np.uint64(32)) % np.uint64(parts)), SETTLED, {k: v[own] for k, v in c.items()}))
+        part = ((c["kh"] if kind == SEGMENT else c["sh"])[go] % np.uint64(parts)).astype(np.int64)
+        by = np.argsort(part, kind="stable")
+        cut = np.searchsorted(part[by], np.arange(parts + 1))
+        for p in range(parts):
+            if cut[p + 1] > cut[p]:
+                own = go[by[cut[p] : cut[p + 1]]]
+                rows.append(_blob(p, kind, {k: v[own] for k, v in c.items()}))
+        if rows:
+            yield _emit(rows)
 
     return docs.mapInArrow(work, BLOB).repartition(parts, "part")
 
@@ -375,11 +398,14 @@ def fetch(docs: DataFrame, lists: DataFrame, parts: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: dict[int, tuple[list, ...]] = {}
-            for i, f, t, many in zip(*_texts(b), b.column("open").to_pylist(), strict=True):
-                for x in many:
-                    data = t[x["s"] : x["e"]]
-                    part = int.from_bytes(hashlib.blake2b(data[x["off"] : x["off"] + GRAM], digest_size=8).digest(), "big") % (parts * TURNS)
-                    for column, v in zip(out.setdefault(part, ([], [], [], [], [])), (i, f, x["s"], x["e"] - x["s"] - WINDOW + 1, data), strict=True):
+            ends, (ss, es, offs) = places(b.column("open"))
+            for k, (i, f, t) in enumerate(zip(*(b.column(c).to_pylist() for c in ("rid", "fp")), b.column("text").cast(pa.binary()), strict=True)):
+                t = t.as_py() or b""
+                at = slice(ends[k], ends[k + 1])
+                for x, y, o in zip(ss[at].tolist(), es[at].tolist(), offs[at].tolist(), strict=True):
+                    data = t[x:y]
+                    part = int.from_bytes(hashlib.blake2b(data[o : o + GRAM], digest_size=8).digest(), "big") % (parts * TURNS)
+                    for column, v in zip(out.setdefault(part, ([], [], [], [], [])), (i, f, x, y - x - WINDOW + 1, data), strict=True):
                         column.append(v)
             if out:
                 yield pa.RecordBatch.from_arrays(
@@ -447,24 +473,22 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     whole = own.join(gone.hint("shuffle_hash"), ["rid", "fp"], "left").select("doc_id", "text", "gone")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (w.slice(i, 512) for w in batches for i in range(0, w.num_rows, 512)):
+            ends, (ss, es) = places(b.column("gone"))
             kept, spans, sizes, removed = [], [], [], []
-            for t, many in zip((x or b"" for x in b.column("text").cast(pa.binary()).to_pylist()), b.column("gone").to_pylist(), strict=True):
-                merged: list[list[int]] = []
-                for x in sorted((y["s"], y["e"]) for y in many or []):
-                    if merged and x[0] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], x[1])
-                    else:
-                        merged.append(list(x))
-                at, rest = 0, []
-                for s, e in merged:
-                    rest.append(t[at:s])
-                    at = e
-                rest.append(t[at:])
-                kept.append(b"".join(rest))
+            for k, t in enumerate(b.column("text").cast(pa.binary()).to_pylist()):
+                t = t or b""
+                s, e = ss[ends[k] : ends[k + 1]], es[ends[k] : ends[k + 1]]
+                if len(s):
+                    order = np.argsort(s, kind="stable")
+                    s, e = s[order], np.maximum.accumulate(e[order])
+                    new = np.concatenate([[True], s[1:] > e[:-1]])
+                    s, e = s[new], e[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(e) - 1]])]
+                s, e = s.tolist(), e.tolist()
+                kept.append(b"".join(t[x:y] for x, y in zip([0, *e], [*s, len(t)], strict=True)))
                 sizes.append(len(t))
-                removed.append(sum(e - s for s, e in merged))
-                spans.append([{"s": s, "e": e} for s, e in merged])
+                removed.append(sum(e) - sum(s))
+                spans.append([{"s": x, "e": y} for x, y in zip(s, e, strict=True)])
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array([len(s) for s in spans], pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())])))],
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans"],
