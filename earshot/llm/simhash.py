@@ -25,6 +25,9 @@ step 1.  Equal fingerprints need no pairs: they are one node.
 Defined cases: null text is empty; no word gives fingerprint 0, linked like any
 other; fewer words than a shingle give one shingle; repeated rows each give their row;
 null ids never name a component that has an id; an empty table gives no rows.
+
+With a ``similarity`` (the pipeline) ``near_duplicates`` links by the true Jaccard
+similarity of shingle sets instead, see ``similar``.
 """
 
 from __future__ import annotations
@@ -38,6 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import similar
 from .common import extended, partitions, stage, table
 from .components import components, local_roots
 
@@ -65,14 +69,14 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def fingerprints(docs: DataFrame, keep: tuple[str, ...] = (), shingle: int = SHINGLE) -> DataFrame:
     """doc_id, the columns named by ``keep``, fp (the 64 bits as a signed long)."""
     fields = docs.select("doc_id", *keep).schema
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             k = b.num_columns - 1
-            fps = np.array([fingerprint(t or b"") for t in b.column(k).cast(pa.binary()).to_pylist()], np.uint64)
+            fps = np.array([fingerprint(t or b"", shingle) for t in b.column(k).cast(pa.binary()).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(k)), pa.array(fps.view(np.int64))], [*fields.names, "fp"])
 
     return docs.select("doc_id", *keep, F.col("text").alias("_text")).mapInArrow(of, extended(fields, "fp long"))
@@ -183,11 +187,18 @@ def links(distinct: DataFrame) -> DataFrame:
     return keyed.mapInArrow(pairs, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns named by ``keep``, fp, component_id for every row."""
-    marked = stage(fingerprints(docs, keep), "simhash")
+def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = (), shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
+    """doc_id, the columns named by ``keep``, fp, component_id for every row.
+
+    Without ``similarity`` fp is the SimHash and links are pairs within ``RADIUS`` bits; with
+    it fp is the hash of the shingle set and links are pairs at least that similar."""
+    if similarity is None:
+        marked = stage(fingerprints(docs, keep, shingle), "simhash")
+    else:
+        marked = stage(similar.set_hashes(docs, keep, shingle), "similar")
     nodes = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "simhash-nodes")
-    linked = components(links(nodes.select("fp")))
+    linked = components(links(nodes.select("fp")) if similarity is None else similar.links(marked, docs, shingle, similarity))
+    marked = marked.select("doc_id", *keep, "fp")
     named = linked.join(nodes, F.col("node") == F.col("fp")).select("fp", "label", "least")
     names = named.groupBy("label").agg(F.min("least").alias("component_id"))
     named = named.join(names, "label").select(F.col("fp").alias("f2"), "component_id")

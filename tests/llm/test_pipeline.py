@@ -1,12 +1,15 @@
 """The pipeline, stage by stage, against plain Python on a small corpus."""
 
+import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from earshot.llm.common import stage
+from earshot.llm.similar import similar_roots
 from tests.llm.test_operators import brute_fingerprint, prose, reach
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -77,3 +80,47 @@ def test_run_is_the_stages_and_empty_tables_pass(spark, corpus, tmp_path):
     for t in ("documents", "benchmark"):
         spark.read.parquet(f"{d}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def jaccard(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
+    return len(a & b) / len(a | b)
+
+
+def test_near_dedup_by_similarity(spark):
+    """Replaced words: every pair of similarity 0.8 or more is linked, no other."""
+    rng = random.Random(3)
+    texts = []
+    for k in range(120):
+        words = prose(rng.randint(60, 400), 1000 + k).split()
+        texts.append(" ".join(words))
+        for _ in range(2):
+            copy = list(words)
+            for _ in range(max(1, len(words) * rng.choice([1, 2, 4]) // 100)):
+                copy[rng.randrange(len(copy))] = f"new{rng.random()}"
+            texts.append(" ".join(copy))
+    root = list(range(len(texts)))
+    for k in range(0, len(texts), 3):  # least ids, by pairs until nothing changes
+        for _ in range(2):
+            for i in range(k, k + 3):
+                for j in range(k, k + 3):
+                    if jaccard(texts[i], texts[j]) >= 0.8:
+                        root[i] = root[j] = min(root[i], root[j])
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], COLUMNS).repartition(4)
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").select("doc_id").collect()}
+    assert 120 < len(set(root)) < 330 and kept == set(root)
+
+
+def test_similar_roots_brute_force():
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 63, 300).astype(np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base[:60], rng.integers(40, 60), False), rng.choice(base, 4)])) for _ in range(200)]
+    sets += [np.unique(rng.choice(base, 2)) for _ in range(40)]
+    label = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            common = len(np.intersect1d(sets[i], sets[j]))
+            if common >= 0.8 * (len(sets[i]) + len(sets[j]) - common) and label[i] != label[j]:
+                label = [label[j] if x == label[i] else x for x in label]
+    got = similar_roots(sets, 0.8).tolist()
+    assert len(set(label)) == len(set(got)) == len(set(zip(label, got, strict=True))) < len(sets)
