@@ -49,3 +49,24 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
         if new.filter("label <> was").isEmpty():
             return labels
+
+
+def name_rows(marked: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """``marked`` (with a column fp) with component_id, the least id of the component of fp.
+
+    ``nodes``: fp, n (rows), least (id); ``labels``: node, label of the linked ones."""
+    named = labels.join(nodes, F.col("node") == F.col("fp")).select("fp", "label", "least")
+    names = named.groupBy("label").agg(F.min("least").alias("component_id"))
+    named = named.join(names, "label").select(F.col("fp").alias("f2"), "component_id")
+    total = nodes.agg(F.sum("n")).first()[0] or 0
+    node_names = stage(
+        nodes.join(named, F.col("fp") == F.col("f2"), "left").select(F.col("fp").alias("f3"), F.coalesce("component_id", "least").alias("component_id"), "n"),
+        "component-names",
+    )
+    # A fingerprint of a thousandth of all rows or more would gather them in one task;
+    # there are at most a thousand of those.
+    hot = F.broadcast(node_names.filter(F.col("n") * 1000 >= total).drop("n"))
+    cold = node_names.filter(F.col("n") * 1000 < total).drop("n")
+    often = marked.join(hot, F.col("fp") == F.col("f3")).drop("f3")
+    seldom = marked.join(hot, F.col("fp") == F.col("f3"), "left_anti").join(cold, F.col("fp") == F.col("f3")).drop("f3")
+    return often.unionByName(seldom)

@@ -10,7 +10,7 @@ Finding links, over distinct fingerprints only:
    fingerprint meets others under each choice of agreeing blocks.  The number of
    blocks follows the number of fingerprints, so that groups stay small and the work
    grows with the input; no choice loses a pair.
-2. Each fingerprint's Hamming distances to ``PIVOTS`` reference fingerprints form its
+2. Each fingerprint's Hamming distances to the reference fingerprints (``PIVOT``) form its
    row of the pivot table.  By the triangle inequality a pair whose rows differ by
    more than the radius in any coordinate is discarded; survivors are verified.
 3. A group above ``LARGE`` members is not compared pairwise: two fingerprints are
@@ -26,8 +26,8 @@ Defined cases: null text is empty; no word gives fingerprint 0, linked like any
 other; fewer words than a shingle give one shingle; repeated rows each give their row;
 null ids never name a component that has an id; an empty table gives no rows.
 
-With a ``similarity`` (the pipeline) ``near_duplicates`` links by the true Jaccard
-similarity of shingle sets instead, see ``similar``.
+Where a similarity is asked for instead of a radius (the pipeline), see ``similar``: the
+same fingerprints and pivot tables at a wider radius, then true similarities.
 """
 
 from __future__ import annotations
@@ -41,12 +41,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import similar
 from .common import extended, partitions, stage, table
-from .components import components, local_roots
+from .components import components, local_roots, name_rows
+from .similar import PIVOT
 
-SHINGLE, SEED, RADIUS, PIVOTS, LARGE = 4, 42, 4, 16, 2048
-_PIVOTS = np.array([xxhash.xxh64_intdigest(str(i).encode(), 7) for i in range(PIVOTS)], np.uint64)
+SHINGLE, SEED, RADIUS, LARGE = 4, 42, 4, 2048
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -99,7 +98,7 @@ def _masks(blocks: int, agree: int) -> list[int]:
 
 def near_pairs(fps: np.ndarray, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs within the radius among rows of equal ``group`` (sorted by it)."""
-    pivot = np.bitwise_count(fps[:, None] ^ _PIVOTS[None, :]).astype(np.int8)
+    pivot = np.bitwise_count(fps[:, None] ^ PIVOT[None, :]).astype(np.int8)
     at, d = np.arange(len(fps)), 0
     while len(at):
         d += 1
@@ -187,33 +186,11 @@ def links(distinct: DataFrame) -> DataFrame:
     return keyed.mapInArrow(pairs, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = (), shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
-    """doc_id, the columns named by ``keep``, fp, component_id for every row.
-
-    Without ``similarity`` fp is the SimHash and links are pairs within ``RADIUS`` bits; with
-    it fp is the hash of the shingle set and links are pairs at least that similar."""
-    if similarity is None:
-        marked = stage(fingerprints(docs, keep, shingle), "simhash")
-    else:
-        marked = stage(similar.set_hashes(docs, keep, shingle), "similar")
+def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = (), shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, the columns named by ``keep``, fp, component_id for every row."""
+    marked = stage(fingerprints(docs, keep, shingle), "simhash")
     nodes = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "simhash-nodes")
-    linked = components(links(nodes.select("fp")) if similarity is None else similar.links(marked, docs, shingle, similarity))
-    marked = marked.select("doc_id", *keep, "fp")
-    named = linked.join(nodes, F.col("node") == F.col("fp")).select("fp", "label", "least")
-    names = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = named.join(names, "label").select(F.col("fp").alias("f2"), "component_id")
-    total = nodes.agg(F.sum("n")).first()[0] or 0
-    node_names = stage(
-        nodes.join(named, F.col("fp") == F.col("f2"), "left").select(F.col("fp").alias("f3"), F.coalesce("component_id", "least").alias("component_id"), "n"),
-        "simhash-names",
-    )
-    # A fingerprint of a thousandth of all rows or more would gather them in one task;
-    # there are at most a thousand of those.
-    hot = F.broadcast(node_names.filter(F.col("n") * 1000 >= total).drop("n"))
-    cold = node_names.filter(F.col("n") * 1000 < total).drop("n")
-    often = marked.join(hot, F.col("fp") == F.col("f3")).drop("f3")
-    seldom = marked.join(hot, F.col("fp") == F.col("f3"), "left_anti").join(cold, F.col("fp") == F.col("f3")).drop("f3")
-    return often.unionByName(seldom)
+    return name_rows(marked, nodes, components(links(nodes.select("fp"))))
 
 
 def hex64(x: Column) -> Column:

@@ -1,15 +1,21 @@
-"""Links between documents by the Jaccard similarity of their sets of word shingles.
-
-1. Equal sets are one node, named by a 64-bit hash of the set.
-2. MinHash bands propose candidates: ``BANDS`` keys of ``ROWS`` minima each.  A pair of
-   similarity 0.8 misses all of them with probability (1 - 0.8**6)**32 = 6e-5.
-3. Connected candidates meet in one task, where every pair of them is decided by the true
-   similarity: a few leaders are compared with all, then an index of each set's rarest
-   shingles, which loses no pair, finds what else is not connected yet.  Texts travel once, and only those of candidates (found by a
-   bitmap of fixed size).
+"""Near duplicates by the Jaccard similarity of sets of word shingles.
+
+1. Equal sets are one node, named by a 64-bit hash of the set.  A node carries its
+   SimHash, its row of the pivot table (Hamming distances to the reference fingerprints)
+   and ``MINIMA`` minima of hash functions over its shingles, one byte of each.
+2. Bands of the minima propose pairs: ``BANDS`` keys of ``ROWS`` minima.  A pair of
+   similarity 0.8 shares none with probability (1 - 0.8**6)**32 = 6e-5.
+3. Inside a band the pivot rows discard pairs by their maximum coordinate difference, the
+   fingerprints by their distance, and the minima estimate the similarity of survivors.
+   ``REACH`` bits are five standard deviations above the distance expected at 0.8;
+   an estimate below ``SLACK`` under the threshold is more than three below it.
+4. Survivors are verified by their true similarity.  First only the edges of a spanning
+   forest of the largest estimates are; what they link is one component.  Then every surviving pair between different components is verified, so no
+   pair that steps 2 and 3 leave is lost, and a group of copies costs about its size.
 
 Defined cases: sets are of lower-cased words parted by white space; null text is empty;
-texts without words are equal; fewer words than a shingle give one shingle.
+texts without words are equal; fewer words than a shingle give one shingle; repeated rows
+are one node; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,188 +28,256 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import extended, partitions, stage
-from .components import components
+from .common import partitions, stage
+from .components import components, name_rows
+from .tokens import shingle_hashes, slices_of, word_hashes
 
-SEED, BANDS, ROWS, LEADERS = 42, 32, 6, 16
-#: Bits of the candidates' bitmap (2 MB), and of one of its rows.
-MAP_BITS, ROW_BITS = 1 << 24, 1 << 15
+SEED, BANDS, ROWS, PIVOTS = 42, 32, 6, 16
+MINIMA = BANDS * ROWS
+REACH, SLACK = 24, 0.1
+#: Members of a band compared together; of what was linked before, one stands for all.
+CHUNK = 2048
 _RANDOM = np.random.default_rng(5)
-_FACTORS = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+_FACTORS = _RANDOM.integers(0, 1 << 31, MINIMA, np.uint32) * np.uint32(2) + np.uint32(1)
+_SHIFTS = _RANDOM.integers(0, 1 << 32, MINIMA, np.uint32)
 _BANDS = _RANDOM.integers(0, 1 << 63, BANDS, np.uint64)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
-
-
-def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
-    """Sorted distinct hashes of the shingles."""
-    words = (text or b"").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    if len(words) <= shingle:
-        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    n = len(words) - shingle + 1
-    h = xxhash.xxh64_intdigest
-    return np.unique(np.array([h(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[shingle - 1 :].tolist(), strict=True)], np.uint64))
+PIVOT = np.array([xxhash.xxh64_intdigest(str(i).encode(), 7) for i in range(PIVOTS)], np.uint64)
+
+
+def shingle_sets(texts: list[bytes | None], shingle: int) -> list[np.ndarray]:
+    """Of every text the sorted distinct hashes of its shingles."""
+    out: list[np.ndarray] = []
+    for s, e in slices_of(texts):
+        h, at = word_hashes(texts[s:e])
+        cuts = np.searchsorted(at, np.arange(e - s + 1))
+        runs = shingle_hashes(h, shingle)
+        runs = (runs ^ runs >> np.uint64(32)) * _MIX
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if b - a > shingle:
+                out.append(np.unique(runs[a : b - shingle + 1]))
+            elif b > a:
+                out.append(shingle_hashes(h[a:b], b - a) * _MIX)
+            else:
+                out.append(np.zeros(0, np.uint64))
+    return out
 
 
 def set_hash(own: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(own.tobytes(), SEED) if len(own) else 0
 
 
-def bands(own: np.ndarray) -> np.ndarray:
-    """Keys of the bands of a set, none for an empty one."""
-    if not len(own):
-        return np.zeros(0, np.uint64)
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(own), 2048):
-        np.minimum(least, (_FACTORS[:, None] * own[None, k : k + 2048]).min(axis=1), out=least)
+def simhash(own: np.ndarray) -> int:
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(own), 65536):
+        ones += np.unpackbits(own[k : k + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(own), bitorder="little").tobytes(), "little")
+
+
+def minima(own: np.ndarray) -> np.ndarray:
+    least = np.full(MINIMA, 0xFFFFFFFF, np.uint32)
+    x = (own >> np.uint64(32)).astype(np.uint32)
+    for k in range(0, len(x), 1024):
+        np.minimum(least, ((x[None, k : k + 1024] ^ _SHIFTS[:, None]) * _FACTORS[:, None]).min(axis=1), out=least)
+    return least
+
+
+def bands(least: np.ndarray) -> np.ndarray:
     key = _BANDS.copy()
-    for m in least.reshape(ROWS, BANDS):
+    for m in least.astype(np.uint64).reshape(ROWS, BANDS):
         key = (key ^ m) * _MIX
         key ^= key >> np.uint64(31)
     return key
 
 
-def set_hashes(docs: DataFrame, keep: tuple[str, ...], shingle: int) -> DataFrame:
-    """doc_id, the columns named by ``keep``, fp (the set's hash), bands."""
-    fields = docs.select("doc_id", *keep).schema
+MARKS = "row long, fp long, sim long, marks binary, bands array<long>"
+
+
+def marked(rows: DataFrame, shingle: int) -> DataFrame:
+    """row, fp (the set's hash), sim, marks (pivot distances, then a byte of each
+    minimum), bands (none for an empty set); ``rows``: row, text."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            k = b.num_columns - 1
-            sets = [shingle_set(t, shingle) for t in b.column(k).cast(pa.binary()).to_pylist()]
-            fps = np.array([set_hash(s) for s in sets], np.uint64).view(np.int64)
-            keys = [bands(s).view(np.int64) for s in sets]
-            lists = pa.ListArray.from_arrays(
-                pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *keys]))
+            sets = shingle_sets(b.column(1).cast(pa.binary()).to_pylist(), shingle)
+            fps = np.array([set_hash(s) for s in sets], np.uint64)
+            sims = np.array([simhash(s) for s in sets], np.uint64)
+            far = np.bitwise_count(sims[:, None] ^ PIVOT[None, :]).astype(np.uint8)
+            least = [minima(s) for s in sets]
+            small = [((m * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8) for m in least]
+            keys = [bands(m).view(np.int64) if len(s) else np.zeros(0, np.int64) for s, m in zip(sets, least, strict=True)]
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
+            blobs = pa.array([p.tobytes() + m.tobytes() for p, m in zip(far, small, strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(fps.view(np.int64)), pa.array(sims.view(np.int64)), blobs, lists], ["row", "fp", "sim", "marks", "bands"]
             )
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(k)), pa.array(fps), lists], [*fields.names, "fp", "bands"])
 
-    return docs.select("doc_id", *keep, F.col("text").alias("_text")).mapInArrow(of, extended(fields, "fp long, bands array<long>"))
+    return rows.select("row", "text").mapInArrow(of, MARKS)
+
+
+class Members:
+    """Nodes of one band: names, components, fingerprints, pivot rows, bytes of minima."""
+
+    def __init__(self, fp, label, sim, marks):
+        self.fp, self.label, self.sim = fp, label, sim
+        self.far, self.small = marks[:, :PIVOTS].astype(np.int8), marks[:, PIVOTS:]
+
+    def take(self, at: np.ndarray) -> Members:
+        out = object.__new__(Members)
+        out.fp, out.label, out.sim, out.far, out.small = (x[at] for x in (self.fp, self.label, self.sim, self.far, self.small))
+        return out
+
+    def join(self, other: Members) -> Members:
+        out = object.__new__(Members)
+        out.fp, out.label, out.sim, out.far, out.small = (
+            np.concatenate(x) for x in ((self.fp, other.fp), (self.label, other.label), (self.sim, other.sim), (self.far, other.far), (self.small, other.small))
+        )
+        return out
+
+    def near(self, i: int, others: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Of ``others`` those that may be as similar to ``i``, and the estimates."""
+        at = others[np.abs(self.far[others] - self.far[i]).max(axis=1, initial=0) <= REACH]
+        at = at[np.bitwise_count(self.sim[at] ^ self.sim[i]) <= REACH]
+        share = (self.small[at] == self.small[i]).mean(axis=1) if len(at) else np.zeros(0)
+        value = (share * 256 - 1) / 255
+        return at[value >= least], value[value >= least]
+
+
+def forest(m: Members, least: float) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Edges of a spanning forest of the largest estimates between different labels, and
+    one member for each of its trees: the one with the most edges."""
+    n = len(m.fp)
+    best, by = np.full(n, -1.0), np.zeros(n, np.int64)
+    degree, left, edges, stands, tree = np.zeros(n, np.int64), np.ones(n, bool), [], [], []
+    of = np.unique(m.label, return_inverse=True)[1]
+    while left.any():
+        at = np.flatnonzero(left)
+        i = int(at[np.argmax(best[at])])
+        if best[i] < 0:
+            if tree:
+                stands.append(max(tree, key=lambda x: degree[x]))
+            tree, i = [], int(at[0])
+        elif best[i] < 2:
+            edges.append((int(by[i]), i))
+            degree[[i, by[i]]] += 1
+        left[i] = False
+        tree.append(i)
+        same = np.flatnonzero(left & (of == of[i]))
+        best[same] = 2.0  # linked before
+        at, value = m.near(i, np.flatnonzero(left & (best < 2)), least)
+        more = value > best[at]
+        best[at[more]], by[at[more]] = value[more], i
+    if tree:
+        stands.append(max(tree, key=lambda x: degree[x]))
+    return edges, np.array(stands, np.int64)
+
+
+def crossing(m: Members, least: float) -> list[tuple[int, int]]:
+    """All pairs between different labels that may be similar."""
+    out = []
+    for i in range(len(m.fp) - 1):
+        later = np.arange(i + 1, len(m.fp))
+        at, _ = m.near(i, later[m.label[later] != m.label[i]], least)
+        out += [(i, j) for j in at.tolist()]
+    return out
+
+
+def proposed(nodes: DataFrame, labels: DataFrame | None, similarity: float) -> DataFrame:
+    """(u, v): pairs of nodes that share a band and may be similar: the edges of forests,
+    or, given the components they made (``labels``), all pairs between those."""
+    spark = nodes.sparkSession
+    if labels is None:
+        live = nodes.withColumn("label", F.col("fp"))
+    else:
+        live = nodes.join(labels, F.col("fp") == F.col("node"), "left").withColumn("label", F.coalesce("label", "fp"))
+    live = live.select("fp", "label", "sim", "marks", "bands")
+    # Only bands that hold several components matter; marks follow where they do.
+    keys = live.select("fp", "label", F.explode("bands").alias("band"))
+    several = keys.groupBy("band").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b").select(F.col("band").alias("band2"))
+    met = keys.join(several, F.col("band") == F.col("band2"), "left_semi").join(live.select(F.col("fp").alias("f2"), "sim", "marks"), F.col("fp") == F.col("f2"))
+    met = met.select("band", "label", "fp", "sim", "marks").repartition(partitions(spark), "band").sortWithinPartitions("band", "fp")
+    least, every = similarity - SLACK, labels is not None
+
+    def edges(m: Members) -> pa.RecordBatch:
+        pairs, n = [], len(m.fp)
+        if every:
+            pairs = [(m.fp[i], m.fp[j]) for i, j in crossing(m, least)]
+        else:
+            kept = m.take(np.arange(min(n, CHUNK)))
+            for k in range(CHUNK, n + CHUNK, CHUNK):
+                found, stands = forest(kept, least)
+                pairs += [(kept.fp[i], kept.fp[j]) for i, j in found]
+                if k < n:
+                    kept = kept.take(stands).join(m.take(np.arange(k, min(n, k + CHUNK))))
+        u, v = np.array(pairs, np.int64).reshape(-1, 2).T
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def groups(last: bool) -> Iterator[pa.RecordBatch]:
+            band, label, fp, sim, marks = (np.concatenate(x) for x in zip(*held, strict=True))
+            cut = len(band) if last else int(np.searchsorted(band, band[-1]))
+            begin = np.flatnonzero(np.concatenate([[True], band[1:cut] != band[: max(cut - 1, 0)]])) if cut else []
+            for a, b in zip(begin, [*begin[1:], cut], strict=True):
+                if b - a > 1:
+                    yield edges(Members(fp[a:b], label[a:b], sim[a:b], marks[a:b]))
+            held[:] = [(band[cut:], label[cut:], fp[cut:], sim[cut:], marks[cut:])] if cut < len(band) else []
 
+        for b in batches:
+            if b.num_rows:
+                blob = np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint8).reshape(b.num_rows, -1)
+                held.append((*(b.column(i).to_numpy() for i in range(3)), b.column(3).to_numpy().view(np.uint64), blob))
+                if sum(len(h[0]) for h in held) > 1 << 15:
+                    yield from groups(False)
+        if held:
+            yield from groups(True)
 
-def candidates(marked: DataFrame) -> DataFrame:
-    """(u, v): every node of a band with the least one of it."""
-    nodes = marked.groupBy("fp").agg(F.first("bands").alias("bands")).select("fp", F.explode("bands").alias("band"))
-    keyed = nodes.repartition(partitions(marked.sparkSession), "band").sortWithinPartitions("band", "fp")
+    return met.mapInArrow(work, "u long, v long").distinct()
 
-    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = (np.zeros(0, np.int64), np.zeros(0, np.int64))  # the last band and its least node
-        for b in batches:
-            if not b.num_rows:
-                continue
-            fp, band = (np.concatenate([h, b.column(i).to_numpy()]) for i, h in enumerate(held))
-            first = np.concatenate([[True], band[1:] != band[:-1]])
-            root = fp[np.flatnonzero(first)][np.cumsum(first) - 1]
-            held = (root[-1:], band[-1:])
-            moved = root != fp
-            yield pa.RecordBatch.from_arrays([pa.array(root[moved]), pa.array(fp[moved])], ["u", "v"])
-
-    return keyed.mapInArrow(stars, "u long, v long").distinct()
-
-
-def similar_roots(sets: list[np.ndarray], similarity: float) -> np.ndarray:
-    """For every set the index of its component by pairs of at least ``similarity``."""
-    n = len(sets)
-    sizes = np.array([len(s) for s in sets])
-    kinds, flat, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    cuts = np.cumsum(sizes)[:-1]
-    rank = np.empty(len(kinds), np.int64)
-    rank[np.argsort(often, kind="stable")] = np.arange(len(kinds))
-    ranked = np.split(rank[flat], cuts)
-    label, members = np.arange(n), {i: [i] for i in range(n)}
-    index: dict[int, list[int]] = {}
-
-    def alike(i: int, others: np.ndarray) -> np.ndarray:
-        own = sets[i]
-        x = np.concatenate([sets[j] for j in others])
-        hit = own[np.minimum(np.searchsorted(own, x), len(own) - 1)] == x
-        lengths = sizes[others]
-        common = np.add.reduceat(hit.astype(np.int64), np.cumsum(lengths) - lengths)
-        return others[common >= similarity * (len(own) + lengths - common) - 1e-9]
-
-    def unite(i: int, j: int) -> None:
-        a, b = label[i], label[j]
-        if a == b:
-            return
-        if len(members[a]) < len(members[b]):
-            a, b = b, a
-        moved = members.pop(b)
-        label[moved] = a
-        members[a] += moved
-
-    # Leaders settle most of a large group at linear cost.
-    pending = np.random.default_rng(n).permutation(n)
-    for _ in range(LEADERS):
-        if len(pending) < 2:
-            break
-        i, pending = int(pending[0]), pending[1:]
-        for k in range(0, len(pending), 1024):
-            for j in alike(i, pending[k : k + 1024]).tolist():
-                unite(i, j)
-        pending = pending[label[pending] != label[i]]
-    main = max(members, key=lambda c: len(members[c]))
-    if len(members) == 1:
-        return label
-    # Any other pair has a side outside the largest component and shares a shingle among
-    # the rarest of both sides.
-    lengths = sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1
-    prefixes = [np.sort(r)[:k] for r, k in zip(ranked, lengths.tolist(), strict=True)]
-    tokens, owners = np.concatenate(prefixes), np.repeat(np.arange(n), lengths)
-    order = np.argsort(tokens, kind="stable")
-    owners = owners[order]
-    starts = np.searchsorted(tokens[order], np.arange(len(kinds) + 1))
-    for i in np.flatnonzero(label != main).tolist():
-        at = np.unique(np.concatenate([owners[starts[t] : starts[t + 1]] for t in prefixes[i].tolist()]))
-        at = at[(label[at] != label[i]) & (np.minimum(sizes[at], sizes[i]) >= similarity * np.maximum(sizes[at], sizes[i]) - 1e-9)]
-        while len(at):
-            for j in alike(i, at[:256]).tolist():
-                unite(i, j)
-            at = at[256:]
-            at = at[label[at] != label[i]]
-    return label
-
-
-def links(marked: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(u, v): links with the components of all candidates that are similar."""
-    spark = docs.sparkSession
-    labels = components(candidates(marked))
-    bit = F.col("node").bitwiseAND(F.lit(MAP_BITS - 1))
-    rows = labels.select(F.floor(bit / ROW_BITS).alias("k"), (bit % ROW_BITS).alias("bit")).groupBy("k").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
-    table = np.zeros((MAP_BITS // ROW_BITS, ROW_BITS // 8), np.uint8)
-    for r in rows:
-        table[r.k] = np.frombuffer(bytes(r.bits), np.uint8)
-    sent = spark.sparkContext.broadcast(table.ravel())
-
-    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fps = np.array([set_hash(shingle_set(t, shingle)) for t in b.column(0).cast(pa.binary()).to_pylist()], np.uint64)
-            at = (fps & np.uint64(MAP_BITS - 1)).astype(np.int64)
-            here = pa.array((sent.value[at >> 3] >> (at & 7) & 1).astype(bool))
-            yield pa.RecordBatch.from_arrays([pa.array(fps.view(np.int64)).filter(here), b.column(0).filter(here)], ["fp", "text"])
 
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        label, fps, sets = None, [], []
+def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(u, v): the pairs that are at least as similar."""
+    named = pairs.select(F.col("u").alias("f")).union(pairs.select("v")).distinct()
+    places = named.join(nodes, F.col("f") == F.col("fp")).select("f", F.col("row").alias("r2"))
+    texts = rows.join(places, F.col("row") == F.col("r2")).select("f", "text")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [s.tobytes() for s in shingle_sets(b.column(1).cast(pa.binary()).to_pylist(), shingle)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.binary())], ["f", "own"])
 
-        def found() -> pa.RecordBatch:
-            names = np.array(fps, np.int64)
-            root = names[similar_roots(sets, similarity)] if fps else names
-            moved = root != names
-            return pa.RecordBatch.from_arrays([pa.array(root[moved]), pa.array(names[moved])], ["u", "v"])
+    held = stage(texts.mapInArrow(sets, "f long, own binary"), "similar-sets")
+    both = pairs.join(held, F.col("u") == F.col("f")).select("u", "v", F.col("own").alias("a"))
+    both = both.join(held, F.col("v") == F.col("f")).select("u", "v", "a", F.col("own").alias("b"))
 
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for c, fp, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist(), strict=True):
-                if c != label:
-                    yield found()
-                    label, fps, sets = c, [], []
-                fps.append(fp)
-                sets.append(shingle_set(text, shingle))
-        yield found()
-
-    own = docs.select("text").mapInArrow(texts, "fp long, text string").groupBy("fp").agg(F.first("text").alias("text"))
-    met = own.join(labels, F.col("fp") == F.col("node")).select("label", "fp", "text")
-    met = met.repartition(partitions(spark), "label").sortWithinPartitions("label")
-    return stage(met.mapInArrow(decide, "u long, v long"), "similar-links")
+            good = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = (np.frombuffer(z.as_py(), np.uint64) for z in (x, y))
+                both = np.sort(np.concatenate([x, y]))
+                common = int((both[1:] == both[:-1]).sum())
+                good.append(common >= similarity * (len(x) + len(y) - common) - 1e-9)
+            mask = pa.array(good, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], ["u", "v"])
+
+    return both.mapInArrow(decide, "u long, v long")
+
+
+def similar_rows(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """row, fp, component_id (the least row of the component); ``rows``: row, text, to be
+    read more than once."""
+    found = stage(marked(rows, shingle), "similar")
+    picked = F.min(F.struct("row", "sim", "marks", "bands"))
+    nodes = found.groupBy("fp").agg(picked.alias("x"), F.count(F.lit(1)).alias("n"))
+    nodes = stage(nodes.select("fp", "n", "x.*", F.col("x.row").alias("least")), "similar-nodes")
+
+    def check(pairs: DataFrame) -> DataFrame:
+        return stage(verified(pairs, nodes, rows, shingle, similarity), "similar-links")
+
+    first = stage(proposed(nodes, None, similarity), "similar-pairs")
+    links = check(first)
+    rest = stage(proposed(nodes, components(links), similarity).join(first, ["u", "v"], "left_anti"), "similar-pairs")
+    labels = components(links.unionByName(check(rest)))
+    return name_rows(found.select("row", "fp"), nodes.select("fp", "n", "least"), labels)

@@ -29,8 +29,12 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POW, _INV
 
 
-def _hash_piece(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], _WORD[x], [False]]).view(np.int8)))
+_SPACED = np.ones(256, bool)
+_SPACED[[*range(9, 14), 32]] = False
+
+
+def _hash_piece(x: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], word[x], [False]]).view(np.int8)))
     starts, ends = edge[::2], edge[1::2]
     pow_, inv = _tables(len(x) + 1)
     sums = np.zeros(len(x) + 1, np.uint64)
@@ -45,15 +49,23 @@ def _hash_piece(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def token_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the tokens (lower-cased runs of letters, digits and non-ASCII
     characters) of all texts in a row, and the index of each token's text."""
-    raw = [(t or "").lower().encode("utf-8", "replace") for t in texts]
+    return _hashes([(t or "").lower().encode("utf-8", "replace") for t in texts], _WORD)
+
+
+def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The same of words parted by ASCII white space, A-Z lower-cased."""
+    return _hashes([(t or b"").lower() for t in texts], _SPACED)
+
+
+def _hashes(raw: list[bytes], word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     first = np.concatenate([[0], np.cumsum([len(r) + 1 for r in raw])])
     buf = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
     hashes, starts, at = [], [], 0
     while at < len(buf):
         end = min(len(buf), at + _PIECE)
-        while end < len(buf) and _WORD[buf[end]] and _WORD[buf[end - 1]]:  # no token is cut
+        while end < len(buf) and word[buf[end]] and word[buf[end - 1]]:  # no token is cut
             end += 1
-        h, s = _hash_piece(buf[at:end])
+        h, s = _hash_piece(buf[at:end], word)
         hashes.append(h)
         starts.append(s + at)
         at = end

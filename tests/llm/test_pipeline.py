@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from earshot.llm import similar
 from earshot.llm.common import stage
-from earshot.llm.similar import similar_roots
 from tests.llm.test_operators import brute_fingerprint, prose, reach
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -111,16 +111,42 @@ def test_near_dedup_by_similarity(spark):
     assert 120 < len(set(root)) < 330 and kept == set(root)
 
 
-def test_similar_roots_brute_force():
+def test_similar_rows_brute_force(spark, monkeypatch):
+    """A star of copies around one text, split into small chunks, against all pairs."""
+    monkeypatch.setattr(similar, "CHUNK", 16)
+    rng = random.Random(4)
+    hub = prose(120, 5000).split()
+    texts = [" ".join(hub), " ".join(hub), None, "", "one", "a b c d", "a b c d"]
+    for _ in range(90):
+        copy = list(hub)
+        for _ in range(rng.randrange(1, 7)):
+            copy[rng.randrange(len(copy))] = f"new{rng.random()}"
+        texts.append(" ".join(copy))
+    root = list(range(len(texts)))
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts[:i]):
+            alike = jaccard(a or "", b or "") >= 0.8
+            if alike and root[i] != root[j]:
+                root = [min(root[i], root[j]) if x in (root[i], root[j]) else x for x in root]
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string").repartition(4)
+    got = {r.row: r.component_id for r in similar.similar_rows(rows, 5, 0.8).collect()}
+    assert got == dict(enumerate(root)) and 5 < len(set(root)) < 80
+    assert similar.similar_rows(rows.limit(0), 5, 0.8).count() == 0
+
+
+def test_forest_spans_what_crossing_finds():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 300).astype(np.uint64)
-    sets = [np.unique(np.concatenate([rng.choice(base[:60], rng.integers(40, 60), False), rng.choice(base, 4)])) for _ in range(200)]
-    sets += [np.unique(rng.choice(base, 2)) for _ in range(40)]
-    label = list(range(len(sets)))
-    for i in range(len(sets)):
-        for j in range(i):
-            common = len(np.intersect1d(sets[i], sets[j]))
-            if common >= 0.8 * (len(sets[i]) + len(sets[j]) - common) and label[i] != label[j]:
-                label = [label[j] if x == label[i] else x for x in label]
-    got = similar_roots(sets, 0.8).tolist()
-    assert len(set(label)) == len(set(got)) == len(set(zip(label, got, strict=True))) < len(sets)
+    sets = [np.unique(np.concatenate([rng.choice(base[:60], rng.integers(40, 60), False), rng.choice(base, 4)])) for _ in range(80)]
+    sim = np.array([similar.simhash(s) for s in sets], np.uint64)
+    far = np.bitwise_count(sim[:, None] ^ similar.PIVOT[None, :]).astype(np.uint8)
+    marks = np.stack([np.concatenate([f, (similar.minima(s) >> np.uint32(24)).astype(np.uint8)]) for f, s in zip(far, sets, strict=True)])
+    label = np.repeat(np.arange(40), 2)
+    m = similar.Members(np.arange(80), label, sim, marks)
+    edges, stands = similar.forest(m, 0.7)
+    root = label.copy()
+    for i, j in edges:
+        assert root[i] != root[j]
+        root[root == root[i]] = root[j]
+    pairs = similar.crossing(m, 0.7)
+    assert pairs and all(root[i] == root[j] for i, j in pairs) and len(stands) == len(set(root.tolist()))
