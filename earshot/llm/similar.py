@@ -8,7 +8,7 @@
 3. Inside a band the pivot rows discard pairs by their maximum coordinate difference, the
    fingerprints by their distance, and the minima estimate the similarity of survivors.
    ``REACH`` bits are five standard deviations above the distance expected at 0.8;
-   an estimate below ``SLACK`` under the threshold is more than three below it.
+   an estimate ``SLACK`` under the threshold is nearly three below it.
 4. Survivors are verified by their true similarity.  First only the edges of a spanning
    forest of the largest estimates are; what they link is one component.  Then every surviving pair between different components is verified, so no
    pair that steps 2 and 3 leave is lost, and a group of copies costs about its size.
@@ -34,7 +34,7 @@ from .tokens import shingle_hashes, slices_of, word_hashes
 
 SEED, BANDS, ROWS, PIVOTS = 42, 32, 6, 16
 MINIMA = BANDS * ROWS
-REACH, SLACK = 24, 0.1
+REACH, SLACK = 24, 0.08
 #: Members of a band compared together; of what was linked before, one stands for all.
 CHUNK = 2048
 _RANDOM = np.random.default_rng(5)
@@ -172,13 +172,15 @@ def forest(m: Members, least: float) -> tuple[list[tuple[int, int]], np.ndarray]
     return edges, np.array(stands, np.int64)
 
 
-def crossing(m: Members, least: float) -> list[tuple[int, int]]:
-    """All pairs between different labels that may be similar."""
+def crossing(m: Members, place: int, least: float) -> list[tuple[int, int]]:
+    """All pairs between different labels that may be similar and share no band before
+    the one at ``place``."""
     out = []
     for i in range(len(m.fp) - 1):
         later = np.arange(i + 1, len(m.fp))
         at, _ = m.near(i, later[m.label[later] != m.label[i]], least)
-        out += [(i, j) for j in at.tolist()]
+        shared = (m.small[at] == m.small[i]).reshape(-1, ROWS, BANDS)[:, :, :place].all(axis=1)
+        out += [(i, j) for j in at[~shared.any(axis=1)].tolist()]
     return out
 
 
@@ -192,16 +194,16 @@ def proposed(nodes: DataFrame, labels: DataFrame | None, similarity: float) -> D
         live = nodes.join(labels, F.col("fp") == F.col("node"), "left").withColumn("label", F.coalesce("label", "fp"))
     live = live.select("fp", "label", "sim", "marks", "bands")
     # Only bands that hold several components matter; marks follow where they do.
-    keys = live.select("fp", "label", F.explode("bands").alias("band"))
+    keys = live.select("fp", "label", F.posexplode("bands").alias("place", "band"))
     several = keys.groupBy("band").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b").select(F.col("band").alias("band2"))
     met = keys.join(several, F.col("band") == F.col("band2"), "left_semi").join(live.select(F.col("fp").alias("f2"), "sim", "marks"), F.col("fp") == F.col("f2"))
-    met = met.select("band", "label", "fp", "sim", "marks").repartition(partitions(spark), "band").sortWithinPartitions("band", "fp")
+    met = met.select("band", "label", "fp", "sim", "marks", "place").repartition(partitions(spark), "band").sortWithinPartitions("band", "fp")
     least, every = similarity - SLACK, labels is not None
 
-    def edges(m: Members) -> pa.RecordBatch:
+    def edges(m: Members, place: int) -> pa.RecordBatch:
         pairs, n = [], len(m.fp)
         if every:
-            pairs = [(m.fp[i], m.fp[j]) for i, j in crossing(m, least)]
+            pairs = [(m.fp[i], m.fp[j]) for i, j in crossing(m, place, least)]
         else:
             kept = m.take(np.arange(min(n, CHUNK)))
             for k in range(CHUNK, n + CHUNK, CHUNK):
@@ -216,18 +218,18 @@ def proposed(nodes: DataFrame, labels: DataFrame | None, similarity: float) -> D
         held: list[tuple] = []
 
         def groups(last: bool) -> Iterator[pa.RecordBatch]:
-            band, label, fp, sim, marks = (np.concatenate(x) for x in zip(*held, strict=True))
+            band, label, fp, sim, marks, place = (np.concatenate(x) for x in zip(*held, strict=True))
             cut = len(band) if last else int(np.searchsorted(band, band[-1]))
             begin = np.flatnonzero(np.concatenate([[True], band[1:cut] != band[: max(cut - 1, 0)]])) if cut else []
             for a, b in zip(begin, [*begin[1:], cut], strict=True):
                 if b - a > 1:
-                    yield edges(Members(fp[a:b], label[a:b], sim[a:b], marks[a:b]))
-            held[:] = [(band[cut:], label[cut:], fp[cut:], sim[cut:], marks[cut:])] if cut < len(band) else []
+                    yield edges(Members(fp[a:b], label[a:b], sim[a:b], marks[a:b]), int(place[a]))
+            held[:] = [(band[cut:], label[cut:], fp[cut:], sim[cut:], marks[cut:], place[cut:])] if cut < len(band) else []
 
         for b in batches:
             if b.num_rows:
                 blob = np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint8).reshape(b.num_rows, -1)
-                held.append((*(b.column(i).to_numpy() for i in range(3)), b.column(3).to_numpy().view(np.uint64), blob))
+                held.append((*(b.column(i).to_numpy() for i in range(3)), b.column(3).to_numpy().view(np.uint64), blob, b.column(5).to_numpy()))
                 if sum(len(h[0]) for h in held) > 1 << 15:
                     yield from groups(False)
         if held:

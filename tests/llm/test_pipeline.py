@@ -148,5 +148,5 @@ def test_forest_spans_what_crossing_finds():
     for i, j in edges:
         assert root[i] != root[j]
         root[root == root[i]] = root[j]
-    pairs = similar.crossing(m, 0.7)
+    pairs = similar.crossing(m, 0, 0.7)
     assert pairs and all(root[i] == root[j] for i, j in pairs) and len(stands) == len(set(root.tolist()))
