@@ -13,8 +13,11 @@ the language with the largest proportion among the chosen set, the score its
 proportion.  Every whole text is used.
 
 Defined cases: null text or a text without letters gives ``und`` with score 0 and an
-empty mixture; equal proportions go to the language first in order; with no labelled
-documents all others are ``und`` too; null ids are scored but never learnt from.
+empty mixture (symbols and emoji are no letters); equal proportions go to the language
+first in order; with no labelled documents all others are ``und`` too; null ids are
+scored but never learnt from; repeated rows are each scored and each learnt from; an
+empty table gives no rows; further columns of the input are not read.  The model has a
+column for each language, so languages (not documents) are what the driver holds.
 """
 
 from __future__ import annotations
@@ -39,7 +42,9 @@ _LETTER = np.array([chr(i).isalpha() for i in range(0x10000)])
 def trigram_counts(text: str) -> np.ndarray:
     """Hashed trigram counts of one text; all zero where it has no letter."""
     x = np.frombuffer(text.lower().encode("utf-32-le", "replace"), "<u4")
-    letter = _LETTER[np.minimum(x, 0xFFFF)] | (x > 0xFFFF)
+    letter = _LETTER[np.minimum(x, 0xFFFF)]
+    beyond = np.flatnonzero(x > 0xFFFF)
+    letter[beyond] = [chr(c).isalpha() for c in x[beyond].tolist()]
     if not letter.any():
         return np.zeros(BUCKETS, np.int64)
     x = np.where(letter, x, 32).astype(np.uint64)
@@ -77,8 +82,6 @@ def mixture(counts: np.ndarray, model: np.ndarray) -> list[tuple[int, float]]:
         if best is not None and value <= best:
             break
         chosen, share, best = order[:k], now, value
-        if pi[order[0]] > 0.995:
-            break
     return sorted(((int(a), float(b)) for a, b in zip(chosen, share, strict=True)), key=lambda x: (-x[1], x[0]))
 
 
@@ -99,17 +102,17 @@ def fit(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> tupl
         for b in batches:
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 sums[lang] = sums.get(lang, 0) + trigram_counts(text or "")
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([np.asarray(v, np.int64).tobytes() for v in sums.values()])], ["lang", "counts"])
+        for lang, v in sums.items():
+            at = np.flatnonzero(v)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(v[at], pa.int64())], ["lang", "bucket", "n"])
 
-    # The sample is bounded, so eight tasks hold it and few vectors come back.
+    # At most BUCKETS rows a language reach the driver.
     model = np.full((BUCKETS, len(names)), SMOOTHING)
-    for row in drawn.coalesce(8).mapInArrow(count, "lang string, counts binary").collect():
-        model[:, names.index(row.lang)] += np.frombuffer(row.counts, np.int64)
+    for row in drawn.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect():
+        model[row.bucket, names.index(row.lang)] += row.n
     return names, model / model.sum(axis=0)
 
 
-
 def identify(docs: DataFrame, names: list[str], model: np.ndarray, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns named by ``keep``, lang_pred, score, mixture."""
     fields = docs.select("doc_id", *keep).schema
