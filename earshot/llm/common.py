@@ -33,9 +33,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is named."""
+    """The cluster's shared folder; a temporary one only where none is named and all
+    executors are on this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = "file://" + os.path.join(tempfile.gettempdir(), "earshot-checkpoints")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -54,8 +57,17 @@ def extended(fields: T.StructType, ddl: str) -> T.StructType:
     return T.StructType([*fields.fields, *T.StructType.fromDDL(ddl).fields])
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Bytes of an input's files for one shuffle partition, at most.
+PARTITION_BYTES = 16 << 20
+
+
+def partitions(spark: SparkSession, df: DataFrame | None = None) -> int:
+    """Partitions to shuffle into: the session's, or more where ``df`` reads many bytes."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if df is None:
+        return n
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return max(n, min(-(-size // PARTITION_BYTES), 1 << 17))
 
 
 def word_count(text: Column) -> Column:

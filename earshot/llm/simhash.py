@@ -145,7 +145,7 @@ def links(distinct: DataFrame) -> DataFrame:
     keyed = distinct.select(
         "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in pos])).alias("choice", "bits")
     )
-    keyed = keyed.repartition(partitions(distinct.sparkSession), "choice", "bits").sortWithinPartitions("choice", "bits", "fp")
+    keyed = keyed.repartition(partitions(distinct.sparkSession, keyed), "choice", "bits").sortWithinPartitions("choice", "bits", "fp")
 
     def stars(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         u, v = local_roots(a, b)

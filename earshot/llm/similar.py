@@ -197,7 +197,7 @@ def proposed(nodes: DataFrame, labels: DataFrame | None, similarity: float) -> D
     keys = live.select("fp", "label", F.posexplode("bands").alias("place", "band"))
     several = keys.groupBy("band").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b").select(F.col("band").alias("band2"))
     met = keys.join(several, F.col("band") == F.col("band2"), "left_semi").join(live.select(F.col("fp").alias("f2"), "sim", "marks"), F.col("fp") == F.col("f2"))
-    met = met.select("band", "label", "fp", "sim", "marks", "place").repartition(partitions(spark), "band").sortWithinPartitions("band", "fp")
+    met = met.select("band", "label", "fp", "sim", "marks", "place").repartition(partitions(spark, nodes), "band").sortWithinPartitions("band", "fp")
     least, every = similarity - SLACK, labels is not None
 
     def edges(m: Members, place: int) -> pa.RecordBatch:

@@ -462,7 +462,7 @@ def compare(fetched: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary), spans: array of (s, e) removed."""
     spark = docs.sparkSession
-    parts = partitions(spark)
+    parts = partitions(spark, docs)
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("rid"), F.xxhash64("text").alias("fp"), "doc_id", "text")
     slim = own.select("rid", "fp", "text")
     hot = spark.sparkContext.broadcast(hot_anchors(slim, docs.count()))
