@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from earshot.llm import chat, components, decontaminate, languages, lm_score, mixing, pii, secrets, simhash, suffix_dedup, topk
 from earshot.llm.bitmixer import ORDERS, SLOTS, BitMixer, count_bits
-from earshot.llm.common import find_all, word_count
+from earshot.llm.common import find_all, stage, word_count
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 rnd = random.Random(11)
@@ -130,6 +130,51 @@ def test_languages(spark):
     assert languages.identify(spark.createDataFrame(test, "doc_id long, text string"), empty, nothing).filter("lang_pred <> 'und'").count() == 0
 
 
+def brute_mixture(text, names, model):
+    """The same definition in plain loops."""
+    letters = [c if c.isalpha() else " " for c in text.lower()]
+    if not any(c != " " for c in letters):
+        return "und", 0.0
+    padded, seen = [" ", *letters, " "], {}
+    for a, b, c in zip(padded, padded[1:], padded[2:], strict=False):
+        if (a, b) != (" ", " "):
+            h = ord(a) * 0x9E3779B97F4A7C15 ^ ord(b) * 0xC2B2AE3D27D4EB4F % 2**64 ^ ord(c) * 0x165667B19E3779F9 % 2**64
+            at = (h % 2**64) * 0xFF51AFD7ED558CCD % 2**64 >> 51
+            seen[at] = seen.get(at, 0) + 1
+
+    def em(columns):
+        pi = [1 / len(columns)] * len(columns)
+        total = lambda at: sum(s * model[at, k] for s, k in zip(pi, columns, strict=True))
+        for _ in range(languages.EM_STEPS if len(columns) > 1 else 0):
+            new = [s * sum(n * model[at, k] / total(at) for at, n in seen.items()) / sum(seen.values()) for s, k in zip(pi, columns, strict=True)]
+            pi = new
+        return pi, sum(n * np.log(total(at)) for at, n in seen.items())
+
+    pi, _ = em(range(len(names)))
+    order = sorted(range(len(names)), key=lambda k: (-pi[k], k))
+    best = None
+    for k in range(1, len(names) + 1):
+        shares, like = em(order[:k])
+        value = like / 3 - 0.5 * np.log(sum(seen.values()) + 1) * (k - 1)
+        if best is not None and value <= best[0]:
+            break
+        best = value, sorted(zip((-s for s in shares), order[:k], strict=True))[0]
+    return names[best[1][1]], min(1.0, -best[1][0])
+
+
+def test_languages_brute_force(spark, docs, rows):
+    texts = [prose(30, i) for i in range(5)] + [rows[0][1] + " Ünïcode ñ 日本" * 9, "😀", "😀 1 2", "𝒳", "a", "x9 y"]
+    names, model = languages.fit(docs.filter("lang is not null"))
+    twice = spark.createDataFrame([*enumerate(texts), *enumerate(texts)], "doc_id long, text string").withColumns({c: F.lit(1) for c in ("score", "mixture", "_text", "lang")})
+    got = languages.identify(twice, names, model).collect()
+    assert len(got) == 2 * len(texts)
+    for r in got:
+        lang, score = brute_mixture(texts[r.doc_id], names, model)
+        assert r.lang_pred == lang and r.score == pytest.approx(score, abs=1e-9), texts[r.doc_id]
+    assert {r.doc_id for r in got if r.lang_pred == "und"} == {6, 7}
+    assert languages.identify(twice.limit(0), names, model).count() == 0
+
+
 def test_languages_held_out(spark, sf):
     got = languages.op2_languages(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id")
     right = got.filter("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
@@ -435,25 +480,27 @@ def test_near_duplicates(spark, docs, rows):
 # ------------------------------------------------------------- 10
 
 
-def test_top_k(spark, monkeypatch):
+@pytest.mark.parametrize("side", [1, 2, 16])
+def test_top_k(spark, monkeypatch, side):
     monkeypatch.setattr(topk, "ROWS", 37)
     monkeypatch.setattr(topk, "QUERIES_A_BLOCK", 4)
+    monkeypatch.setattr(topk, "SIDE", side)
     r = np.random.default_rng(8)
     x = np.round(r.normal(0, 0.2, (150, 8)), 2).astype(np.float32)
     x[40:60] = x[20]  # ties
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(500, None), (520, [None] * 8), (540, [float("nan")] * 8), (560, [float("inf")] + [0.0] * 7), (None, x[0].tolist()), (600, x[3].tolist()), (600, x[3].tolist())]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("q", F.lit(1))
-    index = topk.quantised(df)
-    got = {}
-    for s in topk.top_k(index, index.filter("vec_id % 20 = 0"), 20).orderBy("rank").collect():
-        got.setdefault(s.query_id, []).append((s.vec_id, s.score))
-    whole = np.floor(64 * np.concatenate([x, x[3:4]]).astype(float)).astype(int)
-    ids = [*range(150), 600]
-    for i, q in zip(ids, whole, strict=True):
+    good = [*enumerate(x), (600, x[3]), (600, x[3]), (600, x[7]), (7, x[9])]  # repeated ids
+    rows = [(i, v.tolist()) for i, v in good] + [(500, None), (520, [None] * 8), (540, [float("nan")] * 8), (560, [float("inf")] + [0.0] * 7), (None, x[0].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("q", F.lit(1)).withColumn("row", F.lit("x"))
+    index = stage(topk.quantised(df), "t")
+    got = sorted((s.query_id, s.rank, s.vec_id, s.score) for s in topk.top_k(index, index.filter("vec_id % 20 = 0"), 20).collect())
+    whole = [(i, np.floor(64 * v.astype(float)).astype(int)) for i, v in good]
+    want = []
+    for n, (i, q) in enumerate(whole):
         if i % 20 == 0:
-            want = sorted(((-int(q @ v), j) for j, v in zip(ids, whole, strict=True) if j != i))[:20]
-            assert got[i] == [(j, -s) for s, j in want]
-    few = topk.quantised(df.filter("vec_id in (0, 1, 2)"))
+            scored = sorted((-int(q @ v), j) for m, (j, v) in enumerate(whole) if m != n)[:20]
+            want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(scored)]
+    assert got == sorted(want)
+    few = stage(topk.quantised(df.filter("vec_id in (0, 1, 2)")), "t")
     assert topk.top_k(few, few, 20).count() == 6
     none = topk.quantised(df.limit(0))
     assert topk.top_k(none, none).count() == 0
