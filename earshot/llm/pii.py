@@ -1,13 +1,13 @@
 """Personal data in texts (DataFrame only).
 
 Regular expressions propose spans, checksums (Luhn, mod 97) or range tests confirm
-them, and words just before a span move its score.  Spans at or above the threshold
+them, and words near a span, within ``CONTEXT`` characters on either side, move its score.  Spans at or above the threshold
 are reported.  Patterns are written with possessive repeats and start guards, so a
 scan is linear in the text and never recurses over long runs.
 
 Kinds: ``email``, ``ip``, ``card`` (16-19 digits, Luhn), ``phone`` (international)
 are the base and are reported whenever their test holds.  The method adds ``iban``
-(mod 97), ``pan`` (13-15 digits, Luhn, with a payment word before it), ``ssn`` and
+(mod 97), ``pan`` (13-15 digits, Luhn, with a payment word near it), ``ssn`` and
 ``tel`` (national phone numbers), the last two only next to a context word.
 
 Defined cases: null and empty texts have no spans; repeated rows and null ids each
@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import find_all, let, table
+from .common import CONTEXT, find_all, let, table
 
 
 @dataclass(frozen=True)
@@ -30,25 +30,28 @@ class Kind:
     pattern: str
     #: Score of a match that passes its test, before context.
     score: float
-    #: Words that raise the score by ``CONTEXT_GAIN`` when they stand before it.
+    #: Words (English, German, French, Spanish) that raise the score by ``CONTEXT_GAIN`` near it.
     context: str
     base: bool
     #: Only texts with this (a regular expression) are scanned.
     needs: str = "[0-9]"
 
 
+_CARD = r"card|visa|master|amex|credit|pay|karte|kredit|zahl|carte|crédit|tarjeta|crédito|pago"
+_PHONE = r"phone|tel|call|fax|mobile|anruf|handy|appel|portable|llama|móvil|movil"
+
 CONTEXT_GAIN = 0.4
 THRESHOLD = 0.6
 
 KINDS = (
-    Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", 0.9, r"mail|contact", True, "@"),
-    Kind("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", 0.7, r"\bip\b|host|address|server", True, r"[0-9]\.[0-9]"),
-    Kind("card", r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++", 0.9, r"card|visa|master|credit|pay", True, r"(?:[0-9][\x20-]?){16}"),
-    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 0.8, r"phone|tel|call|fax|mobile", True, r"\+[0-9]"),
+    Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", 0.9, r"mail|contact|kontakt|correo|courriel", True, "@"),
+    Kind("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", 0.7, r"\bip\b|host|address|server|adress|direcci|serv", True, r"[0-9]\.[0-9]"),
+    Kind("card", r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++", 0.9, _CARD, True, r"(?:[0-9][\x20-]?){16}"),
+    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 0.8, _PHONE, True, r"\+[0-9]"),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)(?![A-Za-z0-9])", 0.9, r"iban|account|bank|konto|cuenta|compte", False, r"[A-Z]{2}[0-9]{2}"),
-    Kind("pan", r"(?<![0-9A-Za-z.+-])[0-9](?:[\x20-]?[0-9]){12,14}+(?![\x20-]?[0-9])", 0.3, r"card|visa|master|amex|credit|pay", False, r"(?:[0-9][\x20-]?){13}"),
-    Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", 0.3, r"ssn|social|security|insurance", False, r"[0-9]-[0-9]"),
-    Kind("tel", r"(?<![0-9+(.-])(?:\([0-9]{2,5}\)\x20?|[0-9]{2,5}[\x20.-])[0-9]{3,4}[\x20.-]?[0-9]{3,4}(?![0-9])", 0.3, r"phone|tel|call|fax|mobile", False, r"[0-9]"),
+    Kind("pan", r"(?<![0-9A-Za-z.+-])[0-9](?:[\x20-]?[0-9]){12,14}+(?![\x20-]?[0-9])", 0.3, _CARD, False, r"(?:[0-9][\x20-]?){13}"),
+    Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", 0.3, r"ssn|social|security|insurance|sozial|versicherung|sécurité|seguridad", False, r"[0-9]-[0-9]"),
+    Kind("tel", r"(?<![0-9+(.-])(?:\([0-9]{2,5}\)\x20?|[0-9]{2,5}[\x20.-])[0-9]{3,4}[\x20.-]?[0-9]{3,4}(?![0-9])", 0.3, _PHONE, False, r"[0-9]"),
 )
 
 
@@ -95,8 +98,13 @@ def spans_of(text: Column) -> Column:
     """All reported spans, by kind in the order of ``KINDS``, then start."""
 
     def of(k: Kind, t):
+        def near(h):
+            first = F.greatest(h["start"] - CONTEXT, F.lit(0))
+            before = F.substr(t, (first + 1).cast("int"), (h["start"] - first).cast("int"))
+            return F.concat_ws(" ", before, F.substr(t, (h["end"] + 1).cast("int"), F.lit(CONTEXT)))
+
         def scored(h):
-            gain = F.when(F.rlike(h["before"], F.lit(f"(?i){k.context}")), CONTEXT_GAIN).otherwise(0.0)
+            gain = F.when(F.rlike(near(h), F.lit(f"(?iu){k.context}")), CONTEXT_GAIN).otherwise(0.0)
             return F.struct(
                 F.lit(k.name).alias("kind"), h["start"].alias("start"), h["end"].alias("end"),
                 F.round(F.least(F.lit(1.0), F.lit(k.score) + gain), 2).alias("score"), F.lit(k.base).alias("base"),
