@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("operators.text_queries", "operators.scoring", "operators.relational", "operators.signal_queries", "plans.model_queries", "streaming.ingest")
+MODULES = ("operators.text_queries", "operators.scoring", "operators.relational", "operators.signal_queries", "operators.pipeline_queries", "plans.model_queries", "streaming.ingest")
 
 
 def queries() -> dict:

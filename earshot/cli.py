@@ -1,8 +1,10 @@
-"""Command line: transcribe, batch, noise, catalog, models."""
+"""Command line: batch, noise, catalog, models.  On a cluster ``batch`` needs ``--out``, a
+shared folder."""
 
 from __future__ import annotations
 
 import argparse
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -34,10 +36,16 @@ def batch(a: argparse.Namespace) -> None:
     manifest, audio = _inputs(spark, a)
     start = time.time()
     scored = transcribe.score(manifest, transcribe.hear(audio, a.model, a.language, a.task), a.language, a.task)
-    if a.out:
-        writers.write_results(transcribe.results(scored), a.out)
-    report = transcribe.summary(scored, max(time.time() - start, 1e-3))
-    print(report.select(writers.as_json(report)).first()[0])
+    with tempfile.TemporaryDirectory() as own:
+        # Recognition runs once, into these rows; all else reads them.
+        at = (a.out.rstrip("/") if a.out else f"file://{own}") + "/scored"
+        scored.write.mode("overwrite").parquet(at)
+        wall = max(time.time() - start, 1e-3)
+        scored = spark.read.parquet(at)
+        if a.out:
+            writers.write_results(transcribe.results(scored), a.out.rstrip("/") + "/csv")
+        report = transcribe.summary(scored, wall)
+        print(report.select(writers.as_json(report)).first()[0])
 
 
 def noise(a: argparse.Namespace) -> None:

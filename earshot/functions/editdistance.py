@@ -107,35 +107,37 @@ def char_errors(ref: Column, hyp: Column) -> Column:
     return F.levenshtein(ref, hyp)
 
 
+#: Moves of an alignment and the reference and hypothesis tokens each takes.
+_PAIR, _DELETE, _INSERT = range(3)
+_BACK = np.array([[1, 1], [1, 0], [0, 1]])
+
+
 def align(ref: list, hyp: list) -> list[tuple[str, str | None, str | None]]:
-    """One cheapest alignment as (op, hypothesis token, reference token): hits first,
-    then substitutions, deletions, insertions, chosen from the end."""
+    """One cheapest alignment as (op, hypothesis token, reference token): pairs
+    (hits, substitutions) before deletions before insertions, chosen from the end."""
     n, m = len(ref), len(hyp)
-    table = np.zeros((n + 1, m + 1), np.int64)
-    table[:, 0], table[0] = np.arange(n + 1), np.arange(m + 1)
     codes = {t: i for i, t in enumerate(dict.fromkeys([*ref, *hyp]))}
     h = np.array([codes[t] for t in hyp], np.int64)
     steps = np.arange(m + 1)
-    for i in range(1, n + 1):
-        row = np.minimum(table[i - 1, 1:] + 1, table[i - 1, :-1] + (h != codes[ref[i - 1]]))
+    moves = np.full((n + 1, m + 1), _DELETE, np.uint8)
+    moves[0] = _INSERT
+    before = steps
+    for i, token in enumerate(ref, 1):
+        match, drop = before[:-1] + (h != codes[token]), before[1:] + 1
         # Insertions run along the row: the least of entry minus place, plus place.
-        table[i] = np.minimum.accumulate(np.concatenate([[i], row]) - steps) + steps
-    out, i, j = [], n, m
-    while i or j:
-        here = table[i, j]
-        if i and j and ref[i - 1] == hyp[j - 1] and here == table[i - 1, j - 1]:
-            out.append(("H", hyp[j - 1], ref[i - 1]))
-            i, j = i - 1, j - 1
-        elif i and j and here == table[i - 1, j - 1] + 1:
-            out.append(("S", hyp[j - 1], ref[i - 1]))
-            i, j = i - 1, j - 1
-        elif i and here == table[i - 1, j] + 1:
-            out.append(("D", None, ref[i - 1]))
-            i -= 1
-        else:
-            out.append(("I", hyp[j - 1], None))
-            j -= 1
-    return out[::-1]
+        row = np.minimum.accumulate(np.concatenate([[i], np.minimum(match, drop)]) - steps) + steps
+        moves[i, 1:] = np.select([row[1:] == match, row[1:] == drop], [_PAIR, _DELETE], _INSERT)
+        before = row
+    at, path = np.array([n, m]), []
+    while at.any():
+        path.append(moves[tuple(at)])
+        at = at - _BACK[path[-1]]
+    r, y, out = iter(ref), iter(hyp), []
+    for move in reversed(path):
+        a = next(r) if move != _INSERT else None
+        b = next(y) if move != _DELETE else None
+        out.append(({_DELETE: "D", _INSERT: "I"}.get(move, "H" if a == b else "S"), b, a))
+    return out
 
 
 @F.pandas_udf(ALIGNMENT)

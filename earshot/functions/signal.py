@@ -83,6 +83,13 @@ def mean_power(y: Column) -> Column:
     return F.coalesce(F.try_divide(F.aggregate(y, F.lit(0.0), lambda a, v: a + v * v), F.size(y)), F.lit(0.0))
 
 
+def moments(y: Column) -> tuple[Column, Column, Column]:
+    """Mean, population standard deviation and maximum of an array."""
+    mean = F.try_divide(F.aggregate(y, F.lit(0.0), lambda a, v: a + v), F.size(y))
+    spread = _let(mean, lambda m: F.try_divide(F.aggregate(y, F.lit(0.0), lambda a, v: a + (v - m) * (v - m)), F.size(y)))
+    return mean, F.sqrt(spread), F.array_max(y)
+
+
 def rms_db(y: Column) -> Column:
     return 20 * F.log10(F.sqrt(mean_power(y)) + 1e-12)
 

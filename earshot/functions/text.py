@@ -2,7 +2,7 @@
 
 Spoken-text comparison needs one spelling on both sides: case folded, titles and
 numbers spelled out, punctuation gone.  Everything is a built-in expression but the
-NFKC step, which only texts with non-ASCII characters take.
+NFKC step, to which only texts with non-ASCII characters are sent.
 """
 
 from __future__ import annotations
@@ -30,8 +30,9 @@ def _nfkc(x: pd.Series) -> pd.Series:
 
 
 def nfkc(text: Column) -> Column:
-    """Unicode NFKC; texts of ASCII alone skip the Python worker's normaliser."""
-    return F.when(F.rlike(text, F.lit(r"[^\x00-\x7F]")), _nfkc(text)).otherwise(text)
+    """Unicode NFKC; of texts of ASCII alone the Python worker gets a null."""
+    other = F.rlike(text, F.lit(r"[^\x00-\x7F]"))
+    return F.coalesce(_nfkc(F.when(other, text)), text)
 
 
 def fold_case(text: Column) -> Column:

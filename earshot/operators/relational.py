@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.tables import RESULT_SQL, result_rows, table
+from ..schemas import RESULT, RESULT_COLUMNS, TEXT_COLUMNS
 
 # ------------------------------------------------------------------ operators
 
@@ -26,6 +27,26 @@ def attach_references(audio: DataFrame, transcripts: DataFrame, sidecars: DataFr
     return found.withColumn("reference", F.coalesce("reference", F.lit("")))
 
 
+def progress(stages: DataFrame) -> DataFrame:
+    """Completed tasks over all tasks of the active stages (active, completed, tasks)."""
+    x = stages.filter("active").agg(F.sum("completed").alias("completed"), F.sum("tasks").alias("tasks"))
+    return x.select("completed", "tasks", F.round(F.try_divide("completed", "tasks"), 6).alias("share"))
+
+
+def numbered(df: DataFrame, key: str, order: str, width: int = 1 << 16) -> DataFrame:
+    """Adds rn, the place of a row among those of its key by a whole-number column.
+
+    Ranges of ``width`` values are sorted apart and their sizes added up, so no task sorts
+    a whole key, however hot."""
+    x = df.withColumn("_range", F.expr(f"`{order}` div {width}"))
+    x = x.withColumn("_at", F.row_number().over(Window.partitionBy(key, "_range").orderBy(order)))
+    sizes = x.groupBy(F.col(key).alias("_k"), F.col("_range").alias("_r")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_k").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("_k", "_r", before.alias("_before"))
+    met = x.join(sizes, F.col(key).eqNullSafe(F.col("_k")) & F.col("_range").eqNullSafe(F.col("_r")))
+    return met.select(*df.columns, (F.col("_at") + F.col("_before")).alias("rn"))
+
+
 def with_nan_null(df: DataFrame) -> DataFrame:
     """NaN becomes null in every floating column."""
     kinds = dict(df.dtypes)
@@ -90,12 +111,14 @@ P01 = "SELECT coalesce(doc_id::VARCHAR, '') AS id, coalesce(source, '') AS path,
 
 
 def p02(spark, d):
+    """The twenty result columns: what the manifest gives, an empty hypothesis, else nulls."""
     t = table(spark, d, "conversations")
-    empty = [F.lit(None).cast("double").alias(c) for c in ("wer", "cer", "duration_s")]
-    return t.select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.lit("").alias("hypothesis"), *empty)
+    given = {"id": F.concat_ws("-", "conv_id", "turn"), "path": F.lit("x.wav"), "reference": F.md5(F.coalesce("text", F.lit(""))), "hypothesis": F.lit("")}
+    return t.select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in RESULT.fields])
 
 
-P02 = "SELECT conv_id || '-' || turn AS id, '' AS hypothesis, NULL::DOUBLE AS wer, NULL::DOUBLE AS cer, NULL::DOUBLE AS duration_s FROM conversations"
+_EMPTY = ", ".join(f"NULL::{'VARCHAR' if c in TEXT_COLUMNS else 'DOUBLE'} AS {c}" for c in RESULT_COLUMNS[4:])
+P02 = f"SELECT conv_id || '-' || turn AS id, 'x.wav' AS path, md5(coalesce(text, '')) AS reference, '' AS hypothesis, {_EMPTY} FROM conversations"
 
 
 def p03(spark, d):
@@ -331,8 +354,8 @@ SELECT run_no, engine, workers, wall_s, round_even(base / wall_s, 3) AS speedup_
 
 def w06(spark, d):
     """Batches of eight in each source, by id."""
-    at = Window.partitionBy("source").orderBy("doc_id")
-    return table(spark, d, "documents").select("doc_id", F.floor((F.row_number().over(at) - 1) / 8).alias("batch"))
+    x = numbered(table(spark, d, "documents").select("source", "doc_id"), "source", "doc_id")
+    return x.select("doc_id", F.expr("(rn - 1) div 8").alias("batch"))
 
 
 W06 = "SELECT doc_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 8 AS batch FROM documents"
@@ -409,11 +432,16 @@ U04 = "SELECT count(*) = 0 AS complete FROM labels WHERE doc_id NOT IN (SELECT d
 
 def u05(spark, d):
     """Partition each conversation by role and put the turns back in order."""
-    by = Window.partitionBy("conv_id", "role").orderBy("turn")
-    return table(spark, d, "conversations").select("conv_id", "turn", "role", F.row_number().over(by).alias("place"))
+    group = F.struct("turn", "role", F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
+    parts = table(spark, d, "conversations").groupBy("conv_id", "role").agg(F.array_sort(F.collect_list(group)).alias("part"))
+    # What a group yields carries its place, by which the groups interleave again.
+    done = parts.select("conv_id", F.transform("part", lambda t, i: F.struct(t["turn"].alias("turn"), F.concat_ws(":", t["role"], i.cast("string"), t["digest"]).alias("out"))).alias("part"))
+    back = done.groupBy("conv_id").agg(F.array_sort(F.flatten(F.collect_list("part"))).alias("turns"))
+    return back.select("conv_id", F.md5(F.array_join(F.transform("turns", lambda t: t["out"]), ",")).alias("outputs"))
 
 
-U05 = "SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn)::INT AS place FROM conversations"
+U05 = """SELECT conv_id, md5(string_agg(role || ':' || place || ':' || md5(coalesce(text, '')), ',' ORDER BY turn)) AS outputs
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) - 1 AS place FROM conversations) GROUP BY 1"""
 
 _NAMES = {
     "p01_manifest_projection": "p01", "p02_row_template": "p02", "p03_successful": "p03", "p04_scorable": "p04", "p09_language_whitelist": "p09", "p14_classes": "p14", "p15_busy": "p15",

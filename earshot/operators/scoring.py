@@ -149,15 +149,15 @@ def e06(spark, d):
 
 
 def p05(spark, d):
-    """Scoring language of every document, with holes in each of its sources."""
+    """Scoring language of every document, with holes in each of its sources, and the unit."""
     x = table(spark, d, "documents")
     i = F.col("doc_id")
-    lang = score_language(F.when(i % 5 != 0, F.col("lang")), F.when(i % 3 == 0, "fr"), F.when(i % 2 == 0, "de"), F.when(i % 11 == 0, "translate").otherwise("transcribe"))
+    lang = score_language(F.when(i % 5 != 0, F.col("lang")), F.when(i % 3 == 0, "ja"), F.when(i % 2 == 0, "zh"), F.when(i % 11 == 0, "translate").otherwise("transcribe"))
     return x.select("doc_id", lang.alias("score_language"), X.unit_label(lang).alias("unit"))
 
 
-P05 = """SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'en' ELSE coalesce(CASE WHEN doc_id % 5 <> 0 THEN nullif(lang, '') END,
-  CASE WHEN doc_id % 3 = 0 THEN 'fr' END, CASE WHEN doc_id % 2 = 0 THEN 'de' END, 'en') END AS score_language, 'word' AS unit FROM documents"""
+P05 = """SELECT *, CASE WHEN score_language IN ('ja', 'zh') THEN 'char' ELSE 'word' END AS unit FROM (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'en' ELSE coalesce(CASE WHEN doc_id % 5 <> 0 THEN nullif(lang, '') END,
+  CASE WHEN doc_id % 3 = 0 THEN 'ja' END, CASE WHEN doc_id % 2 = 0 THEN 'zh' END, 'en') END AS score_language FROM documents)"""
 
 
 def a01(spark, d):

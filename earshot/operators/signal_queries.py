@@ -100,8 +100,8 @@ FROM e a JOIN e m ON m.k = a.k + 1 JOIN e r ON r.k = a.k + 2, range(0, 201) b(k)
 
 
 def d12(spark, d):
-    x = _waves(spark, d).select("vec_id", F.posexplode(G.pcm16(F.col("y"))).alias("i", "v"))
-    return x.groupBy("vec_id").agg(F.sum(F.col("v") * (F.col("i") + 1)).alias("digest"))
+    weighed = F.transform(G.pcm16(F.col("y")), lambda v, i: v.cast("long") * (i + 1))
+    return _waves(spark, d).select("vec_id", F.aggregate(weighed, F.lit(0).cast("long"), lambda a, v: a + v).alias("digest"))
 
 
 D12 = f"SELECT vec_id, list_sum(list_transform(y, lambda v, i: trunc(greatest(-1, least(1, v)) * 32767)::BIGINT * i))::BIGINT AS digest FROM ({Y})"
@@ -133,8 +133,8 @@ D15 = f"SELECT vec_id, greatest(len(y), 100)::BIGINT AS n, round(y[64], 9) AS la
 
 def a11(spark, d):
     """Mean, population deviation and maximum of every vector."""
-    x = _waves(spark, d).select("vec_id", F.explode("y").alias("v"))
-    return x.groupBy("vec_id").agg(F.round(F.avg("v"), 9).alias("mean"), F.round(F.stddev_pop("v"), 9).alias("std"), F.round(F.max("v"), 9).alias("top"))
+    mean, std, top = G.moments(F.col("y"))
+    return _waves(spark, d).select("vec_id", F.round(mean, 9).alias("mean"), F.round(std, 9).alias("std"), F.round(top, 9).alias("top"))
 
 
 A11 = f"SELECT vec_id, round(avg(v), 9) AS mean, round(stddev_pop(v), 9) AS std, round(max(v), 9) AS top FROM (SELECT vec_id, unnest(y) AS v FROM ({Y})) GROUP BY 1"

@@ -130,10 +130,15 @@ T21 = "SELECT event_id, split_part('node:' || user_id, ':', 2) AS pid FROM event
 
 
 def t22(spark, d):
-    """Noise seeds: CRC32 of the id (no SQL counterpart; tested against zlib)."""
+    """Noise seeds: CRC32 of the id."""
     return table(spark, d, "events").select("event_id", F.crc32(F.col("event_id").cast("string")).alias("seed"))
 
 
+# CRC-32 from its definition: each byte goes in and eight bits are shifted out.
+T22 = """SELECT event_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(event_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+  lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) AS seed FROM events"""
+
+
 def t23(spark, d):
     """Interface tokens: pieces between blanks, and code points."""
     pieces = F.filter(F.split("text", " "), lambda t: t != "")
@@ -180,6 +185,6 @@ ORACLE = {
     "t09_number_words": _digest_sql("doc_id", "documents", spell_sql),
     "t12_collapse": _digest_sql("doc_id", "documents", collapse_sql),
     "t13_normalize": T13, "t15_first_blank": T15, "t16_path_parts": T16, "t17_lower": _digest_sql("item_id", "benchmark", lambda x: f"lower({x})"),
-    "t18_html_escape": T18, "t19_percent_label": T19, "t20_slug": T20, "t21_worker_pid": T21, "t23_pieces": T23,
+    "t18_html_escape": T18, "t19_percent_label": T19, "t20_slug": T20, "t21_worker_pid": T21, "t22_seed": T22, "t23_pieces": T23,
     "a19_text_lengths": A19, "p10_suffix_filter": P10,
 }

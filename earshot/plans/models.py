@@ -62,9 +62,7 @@ def register(family: str, factory) -> None:
 
 def backend(name: str) -> tuple[Backend, float]:
     """The model of this process and the seconds this call took to load it."""
-    family = {r[0]: r[1] for r in [*REGISTRY, STAND_IN]}.get(name)
-    if family is None:
-        raise ValueError(f"unknown model {name!r}; choose from {[r[0] for r in REGISTRY]}")
+    family = _entry(name)[1]
     with _lock:
         if name in _held:
             return _held[name], 0.0
@@ -81,16 +79,24 @@ def registry(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "name string, family string, parameters string, languages array<string>, multilingual boolean, available boolean")
 
 
+def _entry(name: str) -> tuple:
+    for row in (*REGISTRY, STAND_IN):
+        if row[0] == name:
+            return row
+    raise ValueError(f"unknown model {name!r}; choose from {[r[0] for r in REGISTRY]}")
+
+
+def allowed(language: str | None, task: str, languages: list[str], multilingual: bool) -> bool:
+    """The rule once: translation needs a multilingual model, a named language a model that has it."""
+    return (multilingual or task != "translate") and (not language or language in languages)
+
+
 def check_language(name: str, language: str | None, task: str = "transcribe") -> None:
-    found = {r[0]: r for r in [*REGISTRY, STAND_IN]}.get(name)
-    if found is None:
-        raise ValueError(f"unknown model {name!r}; choose from {[r[0] for r in REGISTRY]}")
-    if task == "translate" and not found[4]:
-        raise ValueError(f"{name} can't translate")
-    if language and language not in found[3]:
-        raise ValueError(f"{name} supports only {', '.join(LANGUAGES[x] for x in found[3])}")
+    _, _, _, languages, multilingual = _entry(name)
+    if not allowed(language, task, languages, multilingual):
+        raise ValueError(f"{name} (languages {languages}, {'multilingual' if multilingual else 'one way'}) can't {task} {language or 'any language'}")
 
 
 def can_run(language: Column, task: Column, languages: Column, multilingual: Column) -> Column:
-    """The same guard over rows."""
+    """``allowed`` over rows."""
     return (multilingual | (task != "translate")) & (language.isNull() | (language == "") | F.array_contains(languages, language))

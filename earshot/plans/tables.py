@@ -11,10 +11,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal a small table over the cores before an expensive expression; a table of one
-    file otherwise stays in one task."""
-    spark = df.sparkSession
-    return df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    """A scan of fewer tasks than cores is dealt over the cores before an expensive
+    expression; any larger scan stays as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

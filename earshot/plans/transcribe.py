@@ -104,6 +104,20 @@ def summary(scored: DataFrame, wall_s: float, *keys: str) -> DataFrame:
     return scored.groupBy(*keys).agg(*run_totals(wall_s), *corpus_totals())
 
 
+def listing(jobs: DataFrame, heavy: tuple[str, ...] = ("rows",)) -> DataFrame:
+    """A listing without its heavy columns, which the scan then leaves out."""
+    return jobs.drop(*heavy)
+
+
+def rejoined(heard: DataFrame, key: str) -> DataFrame:
+    """Texts of chunks (key, pos, text, language) in order, and the language most chunks
+    have, ties to the least."""
+    parts = F.array_sort(F.collect_list(F.struct("pos", F.trim("text").alias("text"))))
+    x = heard.groupBy(key).agg(parts.alias("parts"), F.mode("language", True).alias("language"))
+    texts = F.filter(F.transform("parts", lambda p: p["text"]), lambda t: t != "")
+    return x.select(key, F.when(F.col("language") == "ja", F.array_join(texts, "")).otherwise(F.array_join(texts, " ")).alias("text"), "language")
+
+
 def noise_sweep(manifest: DataFrame, audio: DataFrame, model: str, snrs: tuple = (None, 20.0, 10.0, 5.0, 0.0), language: str | None = None) -> DataFrame:
     """Error rates by noise level from one pass over the audio."""
     scored = score(manifest, hear(audio, model, language, snrs=snrs), language)

@@ -27,22 +27,33 @@ def read_manifest(spark: SparkSession, path: str, limit: int | None = None) -> D
     """CSV with header; missing ids become file stems, relative paths resolve against the
     manifest's folder, ``limit`` takes the first rows (none or 0: all)."""
     raw = spark.read.csv(path, header=True, schema=MANIFEST, enforceSchema=False, escape='"', multiLine=True)
-    raw = raw.select("*", F.col("_metadata.file_path").alias("_at"))
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    raw = raw.select("*", F.col("_metadata.file_path").alias("_at"), place.alias("_place"))
+    rows = raw.orderBy("_place").limit(limit) if limit else raw
+    return manifest_rows(rows).select(*MANIFEST.names)
+
+
+def manifest_rows(raw: DataFrame) -> DataFrame:
+    """Rows of a manifest made whole; ``_at`` is the manifest's own path."""
     absolute = F.rlike("path", F.lit(r"^(?:/|[A-Za-z][A-Za-z0-9+.-]*:)"))
     folder = F.regexp_replace(F.regexp_replace("_at", "^file:/+", "/"), "/[^/]*$", "/")
-    rows = raw.select(
+    return raw.select(
         F.coalesce(F.nullif("id", F.lit("")), stem(F.col("path"))).alias("id"), F.when(absolute, F.col("path")).otherwise(F.concat(folder, "path")).alias("path"),
         _blank("reference").alias("reference"), _blank("language").alias("language"),
     )
-    return rows.limit(limit) if limit else rows
 
 
 def read_transcripts(spark: SparkSession, folder: str) -> DataFrame:
     """``*.trans.txt`` lines "key text": id, reference, ordinal; other lines are skipped."""
     lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.trans.txt").text(folder)
-    key, text = after_first_blank(F.col("value"))
     place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
-    return lines.filter(F.instr("value", " ") > 0).select(key.alias("id"), text.alias("reference"), place.alias("ordinal"))
+    return transcript_lines(lines.select("value", place.alias("ordinal")))
+
+
+def transcript_lines(lines: DataFrame) -> DataFrame:
+    """id, reference and further columns of lines (value, ...) that hold a blank."""
+    key, text = after_first_blank(F.col("value"))
+    return lines.filter(F.instr("value", " ") > 0).select(key.alias("id"), text.alias("reference"), *[c for c in lines.columns if c != "value"])
 
 
 def read_sidecars(spark: SparkSession, folder: str) -> DataFrame:
@@ -78,13 +89,21 @@ def audio_bytes(spark: SparkSession, items: list[tuple[str, bytes]]) -> DataFram
 
 def read_audio_parquet(spark: SparkSession, path: str) -> DataFrame:
     """Parquet with id, text and a struct ``audio`` of bytes and path."""
-    return spark.read.parquet(path).select(F.col("id").cast("string").alias("id"), F.col("audio.path").alias("path"), F.col("text").alias("reference"), F.col("audio.bytes").alias("content"))
+    return nested_audio(spark.read.parquet(path))
+
+
+def nested_audio(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("id").cast("string").alias("id"), F.col("audio.path").alias("path"), F.col("text").alias("reference"), F.col("audio.bytes").alias("content"))
 
 
 def read_tsv(spark: SparkSession, path: str) -> DataFrame:
     """Headless TSV of three columns or more: the second names the file, the third is its text."""
+    return tsv_rows(spark.read.text(path))
+
+
+def tsv_rows(lines: DataFrame) -> DataFrame:
     parts = F.split("value", "\t")
-    return spark.read.text(path).filter(F.size(parts) >= 3).select(parts[1].alias("name"), parts[2].alias("reference"))
+    return lines.filter(F.size(parts) >= 3).select(parts[1].alias("name"), parts[2].alias("reference"))
 
 
 class _Member(InputPartition):
@@ -130,8 +149,7 @@ def read_speech_archive(spark: SparkSession, paths: str) -> DataFrame:
     members = spark.read.format("tar").load(paths)
     audio = members.filter(F.col("suffix").isin(*AUDIO_SUFFIXES)).select(F.col("stem").alias("id"), F.col("member").alias("path"), "content")
     lines = members.filter(F.endswith("member", F.lit(".trans.txt"))).select(F.posexplode(F.split(F.decode("content", "utf-8"), "\n")).alias("ordinal", "value"))
-    key, text = after_first_blank(F.col("value"))
-    return attach_references(audio, lines.filter(F.instr("value", " ") > 0).select(key.alias("id"), text.alias("reference"), "ordinal"))
+    return attach_references(audio, transcript_lines(lines))
 
 
 def dataset_catalog(spark: SparkSession, root: str) -> DataFrame:
@@ -147,5 +165,10 @@ def result_history(spark: SparkSession, folder: str, kind: str | None = None) ->
     """Experiment files, newest name first; files that aren't JSON are skipped."""
     schema = "kind string, model string, files long, language string, created string, runs array<map<string,string>>, points array<map<string,string>>, _bad string"
     x = spark.read.schema(schema).option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").option("pathGlobFilter", "*.json").json(folder)
-    x = x.select("*", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file")).filter("_bad is null and kind is not null").drop("_bad")
+    return newest_first(x.select("*", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file")), kind)
+
+
+def newest_first(results: DataFrame, kind: str | None = None) -> DataFrame:
+    """Readable results (kind, file, _bad, ...), of one kind if named."""
+    x = results.filter("_bad is null and kind is not null").drop("_bad")
     return (x.filter(F.col("kind") == kind) if kind else x).orderBy(F.desc("file"))

@@ -14,9 +14,13 @@ from ..schemas import MANIFEST
 
 def write_manifest(rows: DataFrame, path: str) -> None:
     """The four columns with a header, blanks for what is missing; one file."""
+    manifest_columns(rows).coalesce(1).write.mode("overwrite").csv(path, header=True, escape='"', emptyValue="")
+
+
+def manifest_columns(rows: DataFrame) -> DataFrame:
     have = set(rows.columns)
     columns = [(F.coalesce(F.col(c).cast("string"), F.lit("")) if c in have else F.lit("")).alias(c) for c in MANIFEST.names]
-    rows.select(*columns).coalesce(1).write.mode("overwrite").csv(path, header=True, escape='"', emptyValue="")
+    return rows.select(*columns)
 
 
 def write_results(rows: DataFrame, path: str, kind: str = "csv") -> None:
@@ -29,7 +33,16 @@ def write_experiment(payload: DataFrame, path: str) -> None:
     payload.coalesce(1).write.mode("overwrite").json(path + "/json")
     for part in ("runs", "points"):
         if part in payload.columns:
-            payload.select(F.inline(part)).coalesce(1).write.mode("overwrite").csv(path + "/csv", header=True)
+            points(payload, part).coalesce(1).write.mode("overwrite").csv(path + "/csv", header=True)
+
+
+def points(payload: DataFrame, part: str) -> DataFrame:
+    return payload.select(F.inline(part))
+
+
+def benchmark_table(runs: DataFrame) -> DataFrame:
+    """The columns of a benchmark shown on the console."""
+    return runs.select("engine", "workers", "wall_s", "rtfx", "speedup_vs_single", "efficiency", "wer")
 
 
 def as_json(df: DataFrame) -> Column:
