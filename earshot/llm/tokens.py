@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
+#: Punctuation and blanks beyond ASCII, which part tokens, and scripts without blanks,
+#: of which each character is a token.
+_PARTING = re.compile("[\u0080-\u00a9\u00ab-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf\u00d7\u00f7\u2000-\u206f\u20a0-\u20cf\u2190-\u2bff\u3000-\u3004\u3008-\u3020\ufe10-\ufe6f\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
+_DENSE = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff])")
+
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _PIECE = 1 << 20
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -47,9 +54,14 @@ def _hash_piece(x: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def token_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the tokens (lower-cased runs of letters, digits and non-ASCII
-    characters) of all texts in a row, and the index of each token's text."""
-    return _hashes([(t or "").lower().encode("utf-8", "replace") for t in texts], _WORD)
+    """64-bit hashes of the tokens of all texts in a row, and the index of each token's
+    text.  Tokens are lower-cased runs of letters and digits (and of what else is beyond
+    ASCII but punctuation); a character of a script without blanks is a token."""
+
+    def plain(t: str) -> str:
+        return t if t.isascii() else _DENSE.sub(r" \1 ", _PARTING.sub(" ", t))
+
+    return _hashes([plain((t or "").lower()).encode("utf-8", "replace") for t in texts], _WORD)
 
 
 def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
