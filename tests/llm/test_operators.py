@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from earshot.llm import chat, components, decontaminate, languages, lm_score, mixing, pii, secrets, simhash, suffix_dedup, topk
+from earshot.llm import chat, components, decontaminate, languages, lm_score, mixing, pii, secrets, simhash, suffix_dedup, tokens, topk
 from earshot.llm.bitmixer import ORDERS, SLOTS, BitMixer, count_bits
 from earshot.llm.common import find_all, stage, word_count
 
@@ -259,23 +259,44 @@ def test_reply_trees(spark):
 # ------------------------------------------------------------- 5
 
 
+def brute_tiles(a, b, seed):
+    """Look at every pair of places for the longest run of free tokens; first ones first."""
+    in_a, in_b, out = [False] * len(a), [False] * len(b), []
+    while True:
+        best = (seed - 1, 0, 0)
+        for i in range(len(a)):
+            for j in range(len(b)):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and not in_a[i + n] and not in_b[j + n]:
+                    n += 1
+                if n > best[0]:
+                    best = (n, i, j)
+        n, i, j = best
+        if n < seed:
+            return out
+        in_a[i : i + n] = in_b[j : j + n] = [True] * n
+        out.append((i, j, n))
+
+
 def test_tiles():
-    a = np.arange(20, dtype=np.uint64)
-    b = np.concatenate([np.arange(12, 20), [99, 98], np.arange(0, 12)]).astype(np.uint64)  # halves swapped
-    assert sorted(decontaminate.tiles(a, b)) == [(0, 10, 12), (12, 0, 8)]
+    a = np.arange(1, 21, dtype=np.uint64)
+    b = np.concatenate([np.arange(13, 21), [99, 98], np.arange(1, 13)]).astype(np.uint64)  # halves swapped
+    assert decontaminate.tiles(a, b) == [(0, 10, 12), (12, 0, 8)]
     r = np.random.default_rng(3)
-    for _ in range(60):
-        a, b = r.integers(0, 3, 30).astype(np.uint64), r.integers(0, 3, 40).astype(np.uint64)
-        found = decontaminate.tiles(a, b, 3)
-        in_a, in_b = np.zeros(30, bool), np.zeros(40, bool)
-        for x, y, n in found:
-            assert n >= 3 and (a[x : x + n] == b[y : y + n]).all() and not in_a[x : x + n].any() and not in_b[y : y + n].any()
-            in_a[x : x + n] = in_b[y : y + n] = True
-        lengths = [n for _, _, n in found]
-        assert lengths == sorted(lengths, reverse=True)
-        for x in range(28):  # nothing of the least length is left
-            for y in range(38):
-                assert not ((a[x : x + 3] == b[y : y + 3]).all() and not in_a[x : x + 3].any() and not in_b[y : y + 3].any())
+    for k in range(80):
+        a, b = r.integers(1, 3 + k % 4, r.integers(0, 30)).astype(np.uint64), r.integers(1, 3 + k % 4, r.integers(0, 40)).astype(np.uint64)
+        want = brute_tiles(a.tolist(), b.tolist(), 3)
+        assert decontaminate.tiles(a, b, 3) == want
+        near = decontaminate.tiles(a, decontaminate.near_seeds(a, b, 3), 3)
+        assert [(x, n) for x, _, n in near] == [(x, n) for x, _, n in want]
+    same = np.full(20_000, 7, np.uint64)
+    assert decontaminate.tiles(same, same) == [(0, 0, 20_000)]
+
+
+def test_tokens_beyond_ascii():
+    count = lambda t: len(tokens.token_hashes([t])[0])
+    assert [count(t) for t in ("“say” – it’s", "日本語 ok", "naïve café", "a…b", None, "")] == [3, 4, 2, 2, 0, 0]
+    assert np.array_equal(tokens.token_hashes(["“Quoted words—here”"])[0], tokens.token_hashes(['"quoted words-here"'])[0])
 
 
 def test_decontaminate(spark, docs, monkeypatch):
@@ -285,11 +306,15 @@ def test_decontaminate(spark, docs, monkeypatch):
     swapped = " ".join(words[20:]).upper() + "! " + prose(9, 8) + " -- " + ", ".join(words[:20])
     half = " ".join(words[:18])
     more = spark.createDataFrame([(900, swapped), (901, half), (902, item), (902, item)], "doc_id long, text string")
-    for size in (1 << 24, 100):
-        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+    for bits in (1 << 26, 0):  # a bitmap that is full lets everything through
+        if not bits:
+            monkeypatch.setattr(decontaminate, "_bitmap", lambda seeds: np.full(1 << 23, 255, np.uint8))
         got = decontaminate.contamination(docs.select("doc_id", "text").unionByName(more), bench).select("doc_id", F.inline("hits")).collect()
         found = sorted((r.doc_id, r.item_id) for r in got)
         assert found == sorted((d, i) for d in [*range(200, 212), 306, 900, 902, 902] for i in (1, 5))
+        assert all(r.item_tokens == 40 and r.covered >= 32 and r.n_tiles == (2 if r.doc_id == 900 else 1) for r in got)
+    for x, y in ((docs.limit(0), bench), (docs, bench.limit(0))):
+        assert decontaminate.contamination(x, y).filter(F.size("hits") > 0).count() == 0
 
 
 # ------------------------------------------------------------- 6
