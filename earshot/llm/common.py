@@ -62,11 +62,13 @@ PARTITION_BYTES = 16 << 20
 
 
 def partitions(spark: SparkSession, df: DataFrame | None = None) -> int:
-    """Partitions to shuffle into: the session's, or more where ``df`` reads many bytes."""
+    """Partitions to shuffle into: the session's, or more where the files under ``df`` are large."""
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     if df is None:
         return n
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    leaves = [leaves.apply(i) for i in range(leaves.size())]
+    size = sum(int(str(x.stats().sizeInBytes())) for x in leaves if x.getClass().getSimpleName() == "LogicalRelation")
     return max(n, min(-(-size // PARTITION_BYTES), 1 << 17))
 
 
