@@ -382,12 +382,53 @@ def test_lm_without_learning(spark):
     assert [(r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in sorted(got)] == [(3, 0, 0, 0.0), (1, 0, 0, 0.0)]
 
 
+def test_lm_score_brute_force(spark):
+    """The score from its definition, given the spelling's probability; no floor."""
+    r = random.Random(3)
+    rows = [(i, prose(r.randrange(5, 60), 100 + i), r.choice(["en", "fr", None])) for i in range(60)] + [(70, "q" * 1000, "en"), (71, "q" * 20_000, "en"), (72, None, "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({c: F.lit(1) for c in ("batch", "part", "tokens", "class")})
+    got = {x.doc_id: x for x in lm_score.score_texts(df, F.col("doc_id") < 50).collect()}
+    words = {i: lm_score.words((t or "").encode()) for i, t, _ in rows}
+    by, total = {}, {}
+    for i, _, lang in rows[:50]:
+        for w in words[i]:
+            by.setdefault(lang, {})[w] = by.get(lang, {}).get(w, 0) + 1
+            total[w] = total.get(w, 0) + 1
+    n, once = sum(total.values()), sum(c == 1 for c in total.values())
+    new = min(max(once / n, 1e-6), 0.5)
+    counts = np.zeros((len(ORDERS), SLOTS, 2), np.uint32)
+    count_bits([w for w in total if w], counts)
+    parts = lm_score.partitions(spark)
+    mixers, sizes = [], []
+    for p in range(parts):  # as the tasks learn them
+        own = [w for w in total if w and zlib.crc32(w) % parts == p]
+        if own:
+            m = BitMixer(counts)
+            cells = m.learn(sorted(own, key=lambda t: zlib.crc32(t, 2)))
+            mixers.append((m.weights, cells))
+            sizes.append(len(own))
+    m = BitMixer(counts)
+    m.weights = sum(w * k for (w, _), k in zip(mixers, sizes, strict=True)) / sum(sizes)
+    m.refine(sum(c for _, c in mixers))
+    for i in (0, 3, 55, 59, 70, 71, 72):
+        spelled = m.log10(words[i])
+        logs = []
+        for c in by.values():
+            size = sum(c.values())
+            p = [(1 - new) * (c.get(w, 0) + lm_score.PRIOR * total.get(w, 0) / n) / (size + lm_score.PRIOR) for w in words[i]]
+            logs.append(math.log10(size / n) + sum(math.log10(a) if a > 0 and math.log10(a) - s > 30 else s + math.log10(new) + (math.log10(1 + 10 ** (math.log10(a) - s - math.log10(new))) if a else 0) for a, s in zip(p, spelled, strict=True)))
+        top = max(logs)
+        assert got[i].score == pytest.approx(top + math.log10(sum(10 ** (x - top) for x in logs)), rel=2e-3), i
+    assert got[71].score < 5 * got[70].score < got[70].score
+    assert lm_score.score_texts(df.limit(0), F.lit(True)).count() == 0
+
+
 def test_bit_mixer_is_a_distribution():
     counts = np.zeros((len(ORDERS), SLOTS, 2), np.uint32)
     types = [w.encode() for w in VOCAB]
     count_bits(types, counts)
     m = BitMixer(counts)
-    m.learn(types)
+    m.refine(m.learn(types))
     every = [bytes([a]) for a in range(256) if a not in (9, 10, 11, 12, 13, 32)]
     assert (10.0 ** m.log10(every)).sum() < 1
     assert m.log10(types).mean() > m.log10([w[::-1] + b"zz" for w in types]).mean() + 1
