@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from earshot.llm import chat, components, decontaminate, languages, lm_score, mixing, pii, secrets, simhash, suffix_dedup, tokens, topk
-from earshot.llm.bitmixer import ORDERS, SLOTS, BitMixer, count_bits
+from earshot.llm.bitmixer import ORDERS, SLOTS, BitMixer, count_bits, repeats
 from earshot.llm.common import find_all, stage, word_count
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -382,6 +382,42 @@ def test_lm_without_learning(spark):
     assert [(r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in sorted(got)] == [(3, 0, 0, 0.0), (1, 0, 0, 0.0)]
 
 
+def brute_repeats(tokens):
+    """Token by token, with plain counters."""
+    two, three, runs, agree, run, w, out, pending = {}, {}, {}, {}, 0, [0.6, 0.6], [], []
+    for i in range(2, len(tokens)):
+        key, t = tuple(tokens[i - 2 : i]), tokens[i]
+        guess, third = two.get(key), three.get(tuple(tokens[i - 3 : i])) if i > 2 else None
+        if guess is not None:
+            gates = (runs, min(run, 15), 1 - 0.9 / (1 + 2 * min(run, 15))), (agree, 0 if third is None else 2 if third == guess else 1, (0.2, 0.05, 0.8)[0 if third is None else 2 if third == guess else 1])
+            ins = []
+            for held, g, prior in gates:
+                ones, n = held.get(g, (0, 0))
+                q = (ones + 2 * prior) / (n + 2)
+                ins.append(math.log(q / (1 - q)))
+                held[g] = ones + (guess == t), n + 1
+            p = 1 / (1 + math.exp(-sum(a * b for a, b in zip(w, ins, strict=True))))
+            out.append((i, guess == t, min(max(p, 1e-5), 1 - 1e-5)))
+            pending.append(((guess == t) - p, ins))
+            if len(pending) == 32:
+                w = [x + 0.02 * sum(e * v[k] for e, v in pending) for k, x in enumerate(w)]
+                pending = []
+        run = run + 1 if guess == t else 0
+        two[key] = t
+        if i > 2:
+            three[tuple(tokens[i - 3 : i])] = t
+    return out
+
+
+def test_repeats():
+    r = np.random.default_rng(6)
+    line = r.integers(0, 50, 20)
+    for x in (r.integers(0, 4, 300), np.concatenate([line] * 9), r.integers(0, 9, 3), np.zeros(200, np.int64), np.concatenate([r.integers(0, 50, 70), line, r.integers(0, 3, 60), line])):
+        got = list(zip(*(v.tolist() for v in repeats(x)), strict=True))
+        want = brute_repeats(x.tolist())
+        assert [g[:2] for g in got] == [w[:2] for w in want] and np.allclose([g[2] for g in got], [w[2] for w in want])
+
+
 def test_lm_score_brute_force(spark):
     """The score from its definition, given the spelling's probability; no floor."""
     r = random.Random(3)
@@ -412,11 +448,16 @@ def test_lm_score_brute_force(spark):
     m.refine(sum(c for _, c in mixers))
     for i in (0, 3, 55, 59, 70, 71, 72):
         spelled = m.log10(words[i])
+        index = {w: k for k, w in enumerate(dict.fromkeys(words[i]))}
+        told = {place: (hit, p) for place, hit, p in brute_repeats([index[w] for w in words[i]])}
         logs = []
         for c in by.values():
             size = sum(c.values())
             p = [(1 - new) * (c.get(w, 0) + lm_score.PRIOR * total.get(w, 0) / n) / (size + lm_score.PRIOR) for w in words[i]]
-            logs.append(math.log10(size / n) + sum(math.log10(a) if a > 0 and math.log10(a) - s > 30 else s + math.log10(new) + (math.log10(1 + 10 ** (math.log10(a) - s - math.log10(new))) if a else 0) for a, s in zip(p, spelled, strict=True)))
+            each = [s + math.log10(new) if not a else math.log10(a + new * 10**s) for a, s in zip(p, spelled, strict=True)]
+            for k, (hit, q) in told.items():
+                each[k] = math.log10((1 - q) * 10 ** each[k] + q) if hit else each[k] + math.log10(1 - q)
+            logs.append(math.log10(size / n) + sum(each))
         top = max(logs)
         assert got[i].score == pytest.approx(top + math.log10(sum(10 ** (x - top) for x in logs)), rel=2e-3), i
     assert got[71].score < 5 * got[70].score < got[70].score
