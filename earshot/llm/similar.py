@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import partitions, stage
@@ -184,19 +184,24 @@ def crossing(m: Members, place: int, least: float) -> list[tuple[int, int]]:
     return out
 
 
-def proposed(nodes: DataFrame, labels: DataFrame | None, similarity: float) -> DataFrame:
-    """(u, v): pairs of nodes that share a band and may be similar: the edges of forests,
-    or, given the components they made (``labels``), all pairs between those."""
+def shared_bands(nodes: DataFrame) -> DataFrame:
+    """(band, place, fp): the bands that several nodes have."""
+    keys = nodes.select("fp", F.posexplode("bands").alias("place", "band"))
+    n = F.count(F.lit(1)).over(Window.partitionBy("band"))
+    return keys.withColumn("n", n).filter("n > 1").select("band", "place", "fp")
+
+
+def proposed(met: DataFrame, nodes: DataFrame, labels: DataFrame | None, similarity: float) -> DataFrame:
+    """(u, v): pairs of nodes that share a band (``met``) and may be similar: the edges of
+    forests, or, given the components they made (``labels``), all pairs between those."""
     spark = nodes.sparkSession
     if labels is None:
-        live = nodes.withColumn("label", F.col("fp"))
+        met = met.withColumn("label", F.col("fp"))
     else:
-        live = nodes.join(labels, F.col("fp") == F.col("node"), "left").withColumn("label", F.coalesce("label", "fp"))
-    live = live.select("fp", "label", "sim", "marks", "bands")
-    # Only bands that hold several components matter; marks follow where they do.
-    keys = live.select("fp", "label", F.posexplode("bands").alias("place", "band"))
-    several = keys.groupBy("band").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b").select(F.col("band").alias("band2"))
-    met = keys.join(several, F.col("band") == F.col("band2"), "left_semi").join(live.select(F.col("fp").alias("f2"), "sim", "marks"), F.col("fp") == F.col("f2"))
+        met = met.join(labels, F.col("fp") == F.col("node"), "left").select("band", "place", "fp", F.coalesce("label", "fp").alias("label"))
+        several = Window.partitionBy("band")
+        met = met.withColumn("a", F.min("label").over(several)).withColumn("b", F.max("label").over(several)).filter("a < b")
+    met = met.join(nodes.select(F.col("fp").alias("f2"), "sim", "marks"), F.col("fp") == F.col("f2"))
     met = met.select("band", "label", "fp", "sim", "marks", "place").repartition(partitions(spark, nodes), "band").sortWithinPartitions("band", "fp")
     least, every = similarity - SLACK, labels is not None
 
@@ -278,8 +283,9 @@ def similar_rows(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
     def check(pairs: DataFrame) -> DataFrame:
         return stage(verified(pairs, nodes, rows, shingle, similarity), "similar-links")
 
-    first = stage(proposed(nodes, None, similarity), "similar-pairs")
+    met = stage(shared_bands(nodes), "similar-bands")
+    first = stage(proposed(met, nodes, None, similarity), "similar-pairs")
     links = check(first)
-    rest = stage(proposed(nodes, components(links), similarity).join(first, ["u", "v"], "left_anti"), "similar-pairs")
+    rest = stage(proposed(met, nodes, components(links), similarity).join(first, ["u", "v"], "left_anti"), "similar-pairs")
     labels = components(links.unionByName(check(rest)))
     return name_rows(found.select("row", "fp"), nodes.select("fp", "n", "least"), labels)
