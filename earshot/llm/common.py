@@ -52,6 +52,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of longs that are broadcast, at most: about 32 MB in a hash table.
+SMALL_ROWS = 1 << 20
+
+
+def small_side(staged: DataFrame) -> DataFrame:
+    """A staged table of a few longs, to be broadcast if it has at most ``SMALL_ROWS`` rows;
+    beyond that its join shuffles both sides."""
+    return F.broadcast(staged) if staged.count() <= SMALL_ROWS else staged
+
+
 def extended(fields: T.StructType, ddl: str) -> T.StructType:
     """A schema followed by the columns of ``ddl``."""
     return T.StructType([*fields.fields, *T.StructType.fromDDL(ddl).fields])

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, stage
+from .common import partitions, small_side, stage
 from .components import components, name_rows
 from .tokens import shingle_hashes, slices_of, word_hashes
 
@@ -246,8 +246,8 @@ def proposed(met: DataFrame, nodes: DataFrame, labels: DataFrame | None, similar
 def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(u, v): the pairs that are at least as similar."""
     named = pairs.select(F.col("u").alias("f")).union(pairs.select("v")).distinct()
-    places = named.join(nodes, F.col("f") == F.col("fp")).select("f", F.col("row").alias("r2"))
-    texts = rows.join(places, F.col("row") == F.col("r2")).select("f", "text")
+    places = stage(named.join(nodes, F.col("f") == F.col("fp")).select("f", F.col("row").alias("r2")), "similar-places")
+    texts = rows.join(small_side(places), F.col("row") == F.col("r2")).select("f", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
