@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules in the order of their operators' numbers.
-MODULES = ("suffix_dedup", "languages", "pii", "decontaminate", "chat", "mixing", "lm_score", "secrets", "simhash", "topk", "fingerprints")
+MODULES = ("suffix_dedup", "languages", "pii", "decontaminate", "chat", "mixing", "lm_score", "secrets", "simhash", "topk", "fingerprints", "divergence", "resampling")
 
 
 def queries() -> dict:

@@ -62,6 +62,20 @@ def small_side(staged: DataFrame) -> DataFrame:
     return F.broadcast(staged) if staged.count() <= SMALL_ROWS else staged
 
 
+#: Bytes of a staged table that are broadcast, at most.
+SMALL_BYTES = 32 << 20
+
+
+def small_table(df: DataFrame, staged: DataFrame | None = None) -> DataFrame:
+    """``df``, made of the staged table ``staged`` (itself if none is given) without more rows, to be
+    broadcast if the values of that table take at most ``SMALL_BYTES``; beyond that its join shuffles
+    both sides."""
+    held = df if staged is None else staged
+    width = sum((F.octet_length(f"`{c}`") if t == "string" else F.lit(0) for c, t in held.dtypes), F.lit(16 + 8 * len(held.columns)))
+    size = held.agg(F.sum(F.coalesce(width, F.lit(64)).cast("long"))).first()[0] or 0
+    return F.broadcast(df) if size <= SMALL_BYTES else df
+
+
 def extended(fields: T.StructType, ddl: str) -> T.StructType:
     """A schema followed by the columns of ``ddl``."""
     return T.StructType([*fields.fields, *T.StructType.fromDDL(ddl).fields])
