@@ -14,8 +14,8 @@ from ..functions import editdistance as E
 from ..functions import signal as G
 from ..functions import text as X
 from ..plans import transcribe
-from ..plans.tables import RESULT_SQL, result_rows, spread, table
-from ..sources import fixtures, readers, writers
+from ..plans.tables import RESULT_SQL, result_rows, scratch, spread, table
+from ..sources import archives, fixtures, readers, sinks, splits, writers
 from ..sources.decode import decode
 from .relational import W04, progress, relative_runs, snr_label
 from .scoring import corpus_totals
@@ -90,6 +90,76 @@ def s08(spark, d):
 S08 = f"SELECT vec_id, len(y)::BIGINT AS n, 16000::BIGINT AS rate, list_sum(list_transform(y, lambda v: trunc(greatest(-1, least(1, v)) * 32767)::BIGINT))::BIGINT AS total FROM ({Y})"
 
 
+def _speech_tars(spark, d):
+    """Documents as archives in the order of their ids, ten audio members and then their transcripts; every
+    seventh has none.  Returns the archives' paths."""
+    x = table(spark, d, "documents").select("doc_id", F.encode("text", "utf-8").alias("content"), "source")
+    i, block = F.col("doc_id"), F.expr("doc_id div 10")
+    audio = x.select(i.alias("at"), F.lit(0).alias("kind"), F.concat(F.lit("set/"), i.cast("string"), F.lit(".flac")).alias("member"), "content")
+    lines = F.array_join(F.array_sort(F.collect_list(F.when(i % 7 != 0, F.concat_ws(" ", i.cast("string"), "source")))), "\n")
+    texts = x.groupBy(block.alias("b")).agg(lines.alias("t"))
+    texts = texts.select((F.col("b") * 10 + 9).alias("at"), F.lit(1).alias("kind"), F.concat(F.lit("set/"), F.col("b").cast("string"), F.lit(".trans.txt")).alias("member"), F.encode("t", "utf-8").alias("content"))
+    out = scratch(spark, "speech-tars")
+    sinks.write_archives(audio.unionByName(texts).repartitionByRange(4, (F.col("at") / 10).cast("long")).sortWithinPartitions("at", "kind"), out)
+    return out, ",".join(f"{out}/part-{k:05d}.tar" for k in range(4))
+
+
+def s06(spark, d):
+    """The first 25 audio members of archives with their transcripts: scans end behind them."""
+    _, paths = _speech_tars(spark, d)
+    return readers.read_speech_archive(spark, paths, 25).select("id", F.col("reference"), F.md5("content").alias("content"))
+
+
+S06 = """SELECT doc_id::VARCHAR AS id, CASE WHEN doc_id % 7 <> 0 THEN coalesce(source, '') ELSE '' END AS reference, md5(text) AS content
+FROM documents ORDER BY doc_id LIMIT 25"""
+
+
+def s07_archive(spark, d):
+    """Audio of archives that a table of references names, found by a Bloom filter and the join."""
+    _, paths = _speech_tars(spark, d)
+    refs = table(spark, d, "labels").select(F.concat(F.col("doc_id").cast("string"), F.lit(".flac")).alias("name"), F.concat(F.lit("quality "), F.col("quality").cast("string")).alias("reference"))
+    found = archives.referenced_archive(spark, refs.filter("name not like '%3.flac'"), paths, (".flac",))
+    return found.select("id", "path", "reference", F.md5("content").alias("content"))
+
+
+S07_ARCHIVE = """SELECT doc_id::VARCHAR AS id, doc_id || '.flac' AS path, 'quality ' || max(quality) AS reference, any_value(md5(text)) AS content
+FROM documents JOIN labels USING (doc_id) WHERE doc_id % 10 <> 3 GROUP BY doc_id"""
+
+
+def s05_splits(spark, d):
+    """A published set of three splits read by two of them: files and rows are chosen inside the scan."""
+    x = table(spark, d, "documents")
+    audio = F.struct(F.encode("text", "utf-8").alias("bytes"), F.concat(F.lit("clips/"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 == 0, ".wav").otherwise(".flac")).alias("path"))
+    split = F.element_at(F.array(F.lit("clean"), F.lit("noisy"), F.lit("far")), (F.col("doc_id") % 3 + 1).cast("int"))
+    rows = x.select(F.when(F.col("doc_id") % 5 != 0, F.col("doc_id").cast("string")).alias("id"), F.col("source").alias("text"), audio.alias("audio"), split.alias("part"))
+    root = scratch(spark, "speech-set")
+    for part in ("clean", "noisy", "far"):
+        rows.filter(F.col("part") == part).drop("part").write.parquet(f"{root}/{part}")
+    found = splits.read_splits(spark, root).filter(F.col("split").isin("clean", "far") & F.endswith("path", F.lit(".wav")) | (F.col("split") == "nowhere"))
+    kept = splits.read_splits(spark, root).filter(F.col("split").isin("clean", "far")).filter(F.col("path").startswith("clips/1"))
+    return kept.select("split", "id", "path", "reference", F.md5("content").alias("content"), F.lit("starts").alias("how")).unionByName(
+        found.select("split", "id", "path", "reference", F.md5("content").alias("content"), F.lit("ends").alias("how")))
+
+
+S05_SPLITS = """WITH x AS (SELECT ['clean', 'noisy', 'far'][doc_id % 3 + 1] AS split, doc_id::VARCHAR AS id, 'clips/' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '.wav' ELSE '.flac' END AS path,
+  source AS reference, md5(text) AS content FROM documents)
+SELECT *, 'starts' AS how FROM x WHERE split IN ('clean', 'far') AND starts_with(path, 'clips/1') UNION ALL SELECT *, 'ends' FROM x WHERE split IN ('clean', 'far') AND path LIKE '%.wav'"""
+
+
+def k03_files(spark, d):
+    """Experiments saved one by a nation's region under their times, twice, and read again."""
+    n = table(spark, d, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct(F.col("n_name").alias("label"), (F.col("n_nationkey") / 100).alias("wer")))).alias("points"))
+    created = F.concat(F.lit("2024-01-0"), (F.col("n_regionkey") + 1).cast("string"), F.lit("T10:00:00"))
+    payload = n.select(F.lit("noise").alias("kind"), created.alias("created"), F.size("points").alias("files"), "points")
+    out = scratch(spark, "experiments")
+    sinks.save_experiment(payload, out)
+    sinks.save_experiment(payload, out)
+    return readers.result_history(spark, out, "noise").select("file", "files", F.size("points").cast("long").alias("points"))
+
+
+K03_FILES = """SELECT 'noise_2024010' || (n_regionkey + 1) || '_100000.json' AS file, count(*) AS files, count(*) AS points FROM nation GROUP BY n_regionkey"""
+
+
 def s13(spark, d):
     """Result files of events, some unreadable, newest first, one kind."""
     e = table(spark, d, "events")
@@ -368,7 +438,7 @@ B15 = f"""SELECT count(DISTINCT source) AS datasets, count(*) AS files, (SELECT
   (SELECT bool_or(error IS NULL AND infer_s > 0) FROM ({RESULT_SQL})) AS busy FROM documents"""
 
 _NAMES = {
-    "s01_manifest_rows": "s01", "s03_transcript_lines": "s03", "s04_sidecars": "s04", "s05_nested_audio": "s05", "s07_tsv": "s07", "s08_wav_round_trip": "s08", "s13_history": "s13", "s16_tones": "s16",
+    "s01_manifest_rows": "s01", "s03_transcript_lines": "s03", "s04_sidecars": "s04", "s05_nested_audio": "s05", "s05_splits": "s05_splits", "s06_archive_limit": "s06", "s07_archive_names": "s07_archive", "k03_experiment_files": "k03_files", "s07_tsv": "s07", "s08_wav_round_trip": "s08", "s13_history": "s13", "s16_tones": "s16",
     "k01_manifest": "k01", "k02_upload": "k02", "k03_points": "k03", "k07_json": "k07", "k08_benchmark_table": "k08", "p13_kind": "p13", "p16_listing": "p16", "a16_noise_sweep": "a16",
     "a17_progress": "a17", "o02_sorted_paths": "o02", "o06_top_names": "o06", "o07_first_match": "o07", "o08_early_stop": "o08", "t06_kana": "t06", "e05_alignment": "e05", "d02_resample": "d02",
     "d09_log_mel": "d09", "d10_features": "d10", "d11_stages": "d11", "x01_batch_stage": "x01", "x05_long_audio": "x05", "b15_status": "b15",

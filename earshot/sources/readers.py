@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-import tarfile
-from collections.abc import Iterator
-from pathlib import PurePosixPath
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.text import after_first_blank, stem, strip, suffix
 from ..operators.relational import attach_references
 from ..schemas import MANIFEST
+from .archives import speech_archive
 
 # What counts as audio.
 AUDIO_SUFFIXES = (".wav", ".flac", ".mp3", ".ogg", ".m4a", ".webm", ".opus", ".aiff", ".aif")
@@ -106,50 +101,10 @@ def tsv_rows(lines: DataFrame) -> DataFrame:
     return lines.filter(F.size(parts) >= 3).select(parts[1].alias("name"), parts[2].alias("reference"))
 
 
-class _Member(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
-
-
-class TarReader(DataSourceReader):
-    """One partition an archive; members stream out in order."""
-
-    def __init__(self, options: dict):
-        self.paths = [p for p in options["path"].split(",") if p]
-        self.suffixes = tuple(s for s in options.get("suffixes", "").split(",") if s)
-
-    def partitions(self) -> list[_Member]:
-        return [_Member(p) for p in self.paths]
-
-    def read(self, partition: _Member) -> Iterator[tuple]:
-        with tarfile.open(partition.path, "r|*") as tar:
-            for m in tar:
-                if m.isfile() and (not self.suffixes or m.name.lower().endswith(self.suffixes)):
-                    name = PurePosixPath(m.name)
-                    yield partition.path, m.name, name.stem, name.suffix.lower(), tar.extractfile(m).read()
-
-
-class TarSource(DataSource):
-    """``spark.read.format("tar").option("suffixes", ".flac,.txt").load("a.tar.gz,b.tar")``"""
-
-    @classmethod
-    def name(cls) -> str:
-        return "tar"
-
-    def schema(self) -> T.StructType:
-        return T.StructType([*(T.StructField(c, T.StringType()) for c in ("archive", "member", "stem", "suffix")), T.StructField("content", T.BinaryType())])
-
-    def reader(self, schema: T.StructType) -> TarReader:
-        return TarReader(self.options)
-
-
-def read_speech_archive(spark: SparkSession, paths: str) -> DataFrame:
-    """Audio of tar archives with the transcripts found in the same archives."""
-    spark.dataSource.register(TarSource)
-    members = spark.read.format("tar").load(paths)
-    audio = members.filter(F.col("suffix").isin(*AUDIO_SUFFIXES)).select(F.col("stem").alias("id"), F.col("member").alias("path"), "content")
-    lines = members.filter(F.endswith("member", F.lit(".trans.txt"))).select(F.posexplode(F.split(F.decode("content", "utf-8"), "\n")).alias("ordinal", "value"))
-    return attach_references(audio, transcript_lines(lines))
+def read_speech_archive(spark: SparkSession, paths: str, limit: int | None = None, max_bytes: int | None = None) -> DataFrame:
+    """id, path, reference, content of the audio of tar archives with the transcripts found in the same
+    archives; with a limit, scans end once they have that many with their transcripts."""
+    return speech_archive(spark, paths, AUDIO_SUFFIXES, limit, max_bytes)
 
 
 def dataset_catalog(spark: SparkSession, root: str) -> DataFrame:
