@@ -1,8 +1,9 @@
 """Signal processing on arrays of samples.
 
 Framing, loudness, trimming, scaling and envelopes are Column expressions over
-``ARRAY<DOUBLE>``; resampling, seeded noise and the log-mel transform have no built-in
-and are numpy kernels for Arrow stages.  All arithmetic is in double precision.
+``ARRAY<DOUBLE>``; resampling and the log-mel transform have no built-in
+and are numpy kernels for Arrow stages.  Seeded noise is both: each sample is a function of the seed and its
+place alone, so it is the same however rows are dealt out.  All arithmetic is in double precision.
 """
 
 from __future__ import annotations
@@ -103,6 +104,46 @@ def noise_sigma(y: Column, snr_db: Column) -> Column:
     return F.sqrt((mean_power(y) + 1e-12) / F.pow(F.lit(10.0), snr_db / 10))
 
 
+#: Modulus of the noise generator; its fifth powers are a permutation.
+PRIME = 2**31 - 1
+
+
+def _fifth(x):
+    """x**5 modulo ``PRIME`` of numbers below it, columns or numpy arrays, without overflow."""
+    if isinstance(x, Column):
+        return _let(x * x % PRIME, lambda s: s * s % PRIME * x % PRIME)
+    s = x * x % PRIME
+    return s * s % PRIME * x % PRIME
+
+
+def _uniform(seed, at):
+    """Between 0 and 1, from a seed and a counter (columns or numpy arrays of longs): two rounds of
+    fifth powers, each keyed by the seed."""
+    one, two = _fifth((seed % PRIME + 12345) % PRIME), _fifth((seed % PRIME * 48271 + 97) % PRIME)
+    return (_fifth((_fifth((one + at) % PRIME) + two) % PRIME) + 0.5) / PRIME
+
+
+def white_noise(seed: Column, n: Column) -> Column:
+    """``n`` standard normal samples (Box and Muller); sample i uses the counters 2i and 2i + 1."""
+    seed = seed.cast("long")
+
+    def one(i):
+        return F.sqrt(-2 * F.ln(_uniform(seed, 2 * i))) * F.cos(2 * np.pi * _uniform(seed, 2 * i + 1))
+
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1), one)).otherwise(F.array().cast("array<double>"))
+
+
+def noisy(y: Column, snr_db: Column, seed: Column) -> Column:
+    """``y`` with white noise at a signal-to-noise ratio."""
+    return _let(F.struct(noise_sigma(y, snr_db).alias("s"), white_noise(seed, F.size(y)).alias("n")), lambda x: F.zip_with(y, x["n"], lambda v, e: v + x["s"] * e))
+
+
+def noise_array(seed: int, n: int) -> np.ndarray:
+    """``white_noise`` for Arrow stages."""
+    at, seed_ = 2 * np.arange(n, dtype=np.int64), np.int64(seed)
+    return np.sqrt(-2 * np.log(_uniform(seed_, at))) * np.cos(2 * np.pi * _uniform(seed_, at + 1))
+
+
 def chunks(y: Column, step: int = CHUNK_SECONDS * RATE) -> Column:
     """Consecutive pieces, the last one short; an empty signal gives one empty piece."""
     last = F.floor((F.greatest(F.size(y), F.lit(1)) - 1) / step).cast("int")
@@ -183,7 +224,7 @@ def resample(y: np.ndarray, rate: int, to: int = RATE) -> np.ndarray:
 
 def add_noise(y: np.ndarray, snr_db: float, seed: int) -> np.ndarray:
     sigma = np.sqrt((np.mean(np.square(y)) + 1e-12) / 10 ** (snr_db / 10))
-    return y + np.random.default_rng(seed).normal(0, sigma, size=len(y))
+    return y + sigma * noise_array(seed, len(y))
 
 
 @lru_cache(maxsize=16)

@@ -162,27 +162,47 @@ P05 = """SELECT *, CASE WHEN score_language IN ('ja', 'zh') THEN 'char' ELSE 'wo
 
 def a01(spark, d):
     """Run summary: times over rows without errors, counts over all rows."""
-    return run_summary(result_rows(spark, d), 60.0)
+    return run_summary(result_rows(spark, d), 60.0).withColumn("detected_languages", F.to_json("detected_languages"))
 
 
 def run_totals(wall_s: float) -> list[Column]:
-    """Aggregates over result rows (id, duration_s, infer_s, worker, error)."""
+    """Aggregates over result rows (id, duration_s, preprocess_s, infer_s, model_load_s, worker, error)."""
     good = F.col("error").isNull()
     seconds = lambda c: F.coalesce(F.sum(F.when(good, F.col(c))), F.lit(0.0))
     n, wall = F.count(F.lit(1)), F.lit(float(wall_s))
     return [
         n.alias("files"), F.count_if(~good).alias("failed"), F.bround(seconds("duration_s"), 2).alias("audio_s"), F.bround(F.try_divide(n, wall), 3).alias("files_per_s"),
-        F.bround(F.try_divide(seconds("duration_s"), wall), 3).alias("rtfx"), F.bround(seconds("infer_s"), 3).alias("infer_s_total"), F.countDistinct("worker").alias("distinct_workers"),
+        F.bround(F.try_divide(seconds("duration_s"), wall), 3).alias("rtfx"), F.bround(seconds("preprocess_s"), 3).alias("preprocess_s_total"), F.bround(seconds("infer_s"), 3).alias("infer_s_total"),
+        F.bround(F.coalesce(F.sum("model_load_s"), F.lit(0.0)), 3).alias("model_load_s_total"), F.countDistinct("worker").alias("distinct_workers"),
     ]
 
 
-def run_summary(rows: DataFrame, wall_s: float, *keys: str) -> DataFrame:
-    return rows.groupBy(*keys).agg(*run_totals(wall_s))
+def detected_languages(rows: DataFrame, *keys: str) -> DataFrame:
+    """Files without error by detected language, as one map, by keys if any."""
+    each = rows.filter("error is null and language is not null").groupBy(*keys, "language").agg(F.count(F.lit(1)).alias("n"))
+    return each.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("language", "n")))).alias("detected_languages"))
 
 
-A01 = f"""SELECT count(*) AS files, count(*) FILTER (WHERE error IS NOT NULL) AS failed, round_even(sum(duration_s) FILTER (WHERE error IS NULL), 2) AS audio_s,
+def run_summary(rows: DataFrame, wall_s: float, *keys: str, more: list[Column] | None = None) -> DataFrame:
+    """Totals of a run and its detected languages, by keys if any; one row without keys."""
+    further = more or []
+    totals, found = rows.groupBy(*keys).agg(*run_totals(wall_s), *further), detected_languages(rows, *keys)
+    named = found.toDF(*[f"_{k}" for k in keys], "detected_languages")
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    # Without keys both sides are one row.
+    out = totals.join(named, same, "left") if keys else totals.crossJoin(named)
+    nothing = F.expr("cast(map() as map<string, bigint>)")
+    return out.select(*totals.columns, F.coalesce("detected_languages", nothing).alias("detected_languages"))
+
+
+A01 = f"""WITH r AS ({RESULT_SQL})
+SELECT count(*) AS files, count(*) FILTER (WHERE error IS NOT NULL) AS failed, round_even(sum(duration_s) FILTER (WHERE error IS NULL), 2) AS audio_s,
   round_even(count(*) / 60.0, 3) AS files_per_s, round_even(sum(duration_s) FILTER (WHERE error IS NULL) / 60.0, 3) AS rtfx,
-  round_even(sum(infer_s) FILTER (WHERE error IS NULL), 3) AS infer_s_total, count(DISTINCT worker) AS distinct_workers FROM ({RESULT_SQL})"""
+  round_even(sum(preprocess_s) FILTER (WHERE error IS NULL), 3) AS preprocess_s_total, round_even(sum(infer_s) FILTER (WHERE error IS NULL), 3) AS infer_s_total,
+  round_even(sum(model_load_s), 3) AS model_load_s_total, count(DISTINCT worker) AS distinct_workers,
+  (SELECT '{{' || string_agg('"' || language || '":' || n, ',' ORDER BY language) || '}}' FROM (SELECT language, count(*) AS n FROM r WHERE error IS NULL AND language IS NOT NULL GROUP BY 1)) AS detected_languages FROM r"""
 
 
 def e08(spark, d):

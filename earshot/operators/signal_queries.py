@@ -66,6 +66,24 @@ def d06(spark, d):
 D06 = f"SELECT vec_id, round(sqrt((p + 1e-12) / 10), 9) AS sigma, round(20 * log10(sqrt(p) + 1e-12), 7) AS rms_db FROM (SELECT vec_id, list_sum(list_transform(y, lambda v: v * v)) / len(y) AS p FROM ({Y}))"
 
 
+def d06_samples(spark, d):
+    """The vectors with seeded noise at 10 dB: a sum of every sample times its place, and the first sample."""
+    x = _waves(spark, d).select("vec_id", "y", G.noisy(F.col("y"), F.lit(10.0), F.col("vec_id")).alias("z"))
+    weighed = F.transform(F.zip_with("z", "y", lambda a, b: a - b), lambda v, i: v * (i + 1))
+    return x.select("vec_id", F.round(F.aggregate(weighed, F.lit(0.0), lambda a, v: a + v), 6).alias("digest"), F.round(F.element_at("z", 1), 9).alias("first"))
+
+
+# The generator with fifth powers written as (a**2 % p)**2 % p * a % p.
+_POW = lambda x: f"((({x}) * ({x}) % {G.PRIME}) * (({x}) * ({x}) % {G.PRIME}) % {G.PRIME} * ({x}) % {G.PRIME})"
+D06_SAMPLES = f"""WITH v AS (SELECT vec_id::BIGINT AS vec_id, y, unnest(range(0, 2 * len(y)))::BIGINT AS c FROM ({Y})),
+a AS (SELECT *, (vec_id % {G.PRIME} + 12345) % {G.PRIME} AS a, (vec_id % {G.PRIME} * 48271 + 97) % {G.PRIME} AS b FROM v),
+b AS (SELECT vec_id, y, c, ({_POW("a")} + c) % {G.PRIME} AS x, {_POW("b")} AS two FROM a),
+e AS (SELECT vec_id, y, c, ({_POW("x")} + two) % {G.PRIME} AS w FROM b), u AS (SELECT vec_id, y, c, ({_POW("w")} + 0.5::DOUBLE) / {G.PRIME} AS u FROM e),
+n AS (SELECT a.vec_id, a.y, a.c // 2 AS i, sqrt(-2 * ln(a.u)) * cos(2 * pi() * b.u) AS n FROM u a JOIN u b ON a.vec_id = b.vec_id AND b.c = a.c + 1 WHERE a.c % 2 = 0),
+s AS (SELECT *, sqrt((list_sum(list_transform(y, lambda v: v * v)) / len(y) + 1e-12) / 10) AS sigma FROM n)
+SELECT vec_id, round(sum(sigma * n * (i + 1)), 6) AS digest, round(any_value(y[1]) + max(CASE WHEN i = 0 THEN sigma * n END), 9) AS first FROM s GROUP BY vec_id"""
+
+
 def d01(spark, d):
     """Downmix of a vector and its reverse."""
     x = _waves(spark, d).select("vec_id", G.downmix(F.array("y", F.reverse("y"))).alias("m"))
@@ -151,7 +169,7 @@ X07 = f"""SELECT vec_id, array_to_string(list_filter(list_transform(s, lambda v,
 FROM (SELECT vec_id, list_transform(y, lambda v: CASE WHEN v > 0.1 THEN 2 WHEN v < -0.1 THEN 1 ELSE 0 END) AS s FROM ({Y}))"""
 
 _NAMES = {
-    "w01_frames": "w01", "d01_downmix": "d01", "d03_frame_db": "d03", "d04_trim": "d04", "d05_peak": "d05", "d06_noise_level": "d06", "d07_mel_scale": "d07", "d08_filter_bank": "d08",
+    "w01_frames": "w01", "d01_downmix": "d01", "d03_frame_db": "d03", "d04_trim": "d04", "d05_peak": "d05", "d06_noise_level": "d06", "d06_noise_samples": "d06_samples", "d07_mel_scale": "d07", "d08_filter_bank": "d08",
     "d12_pcm16": "d12", "d13_chunks": "d13", "d14_envelope": "d14", "d15_padding": "d15", "a11_moments": "a11", "x07_ctc_collapse": "x07",
 }
 QUERIES = {k: globals()[v] for k, v in _NAMES.items()}

@@ -56,7 +56,8 @@ _lock = threading.Lock()
 
 
 def register(family: str, factory) -> None:
-    """Plug in a backend family; ``factory(name)`` loads a model once a process."""
+    """Plug in a backend family; ``factory(name)`` loads a model once a process.  Call it in a module that
+    the plan names in ``plugins``, so that it runs in every worker."""
     FACTORIES[family] = factory
 
 

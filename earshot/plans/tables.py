@@ -37,6 +37,7 @@ def result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.select(
         F.col("event_id").alias("id"), F.col("value").alias("duration_s"), (F.col("value") / 10 + 0.05).alias("infer_s"),
+        (F.col("value") / 64).alias("preprocess_s"), F.when(F.col("event_id") % 8 == 0, F.col("user_id") / 16).alias("model_load_s"),
         F.concat(F.lit("node:"), F.col("user_id").cast("string")).alias("worker"),
         F.when(F.col("event_type") == "error", F.lit("inference: stopped")).alias("error"),
         F.when(F.col("user_id") % 5 != 0, F.element_at(F.array(*map(F.lit, ("en", "fr", "de", "es"))), (F.col("user_id") % 4 + 1).cast("int"))).alias("language"),
@@ -44,6 +45,7 @@ def result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The same rows in SQL.
-RESULT_SQL = """SELECT event_id AS id, value AS duration_s, value / 10 + 0.05 AS infer_s, 'node:' || user_id AS worker,
+RESULT_SQL = """SELECT event_id AS id, value AS duration_s, value / 10 + 0.05 AS infer_s,
+  value / 64 AS preprocess_s, CASE WHEN event_id % 8 = 0 THEN user_id / 16 END AS model_load_s, 'node:' || user_id AS worker,
   CASE WHEN event_type = 'error' THEN 'inference: stopped' END AS error,
   CASE WHEN user_id % 5 <> 0 THEN ['en', 'fr', 'de', 'es'][user_id % 4 + 1] END AS language FROM events"""

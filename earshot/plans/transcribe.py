@@ -10,8 +10,10 @@ from __future__ import annotations
 import os
 import socket
 import time
+import uuid
 import zlib
 from collections.abc import Iterator
+from importlib import import_module
 
 import numpy as np
 import pyarrow as pa
@@ -20,66 +22,119 @@ from pyspark.sql import functions as F
 
 from ..functions import signal as G
 from ..operators.relational import snr_label
-from ..operators.scoring import corpus_scores, corpus_totals, run_totals, scorable, score_language, scored_pairs
+from ..operators.scoring import corpus_scores, corpus_totals, run_summary, scorable, score_language, scored_pairs
 from ..schemas import RESULT_COLUMNS
 from ..sources.decode import decode
 from .models import backend, check_language
 
 FACTS = ("orig_sr", "duration_s", "processed_s", "rms_db", "mel_mean", "mel_std", "speech_ratio")
-HEARD = "id string, snr_db double, hypothesis string, language string, " + ", ".join(f"{c} double" for c in FACTS) + ", preprocess_s double, infer_s double, model_load_s double, worker string, error string"
-BATCH, CHUNK = 8, G.CHUNK_SECONDS * G.RATE
-
-
-def _recognise(model, wave: np.ndarray, language: str | None, task: str) -> tuple[str, str | None]:
-    """Thirty-second chunks, joined; the language most chunks have, ties to the least."""
-    parts = [wave[i : i + CHUNK] for i in range(0, max(1, len(wave)), CHUNK)]
-    parts = [p if len(p) else np.zeros(G.RATE // 10) for p in parts]
-    heard = [h for i in range(0, len(parts), BATCH) for h in model.transcribe(parts[i : i + BATCH], language, task)]
-    tongues = [t for _, t in heard if t]
-    tongue = min(set(tongues), key=lambda t: (-tongues.count(t), t)) if tongues else language
-    texts = [t.strip() for t, _ in heard if t.strip()]
-    return ("" if tongue == "ja" else " ").join(texts), tongue
-
-
-def hear(audio: DataFrame, model: str, language: str | None = None, task: str = "transcribe", snrs: tuple = (None,), trimmed: bool = True) -> DataFrame:
-    """(id, snr_db, hypothesis, ...) of rows (id, content), one for each noise level.
-
-    A file that can't be read or recognised gives an error row; others go on."""
+#: One row a chunk; what belongs to the file is on its first.
+HEARD = "id string, owner string, snr_db double, pos int, text string, language string, " + ", ".join(f"{c} double" for c in FACTS) + ", preprocess_s double, infer_s double, model_load_s double, worker string, error string"
+_ARROW = pa.schema([(n, {"string": pa.string(), "double": pa.float64(), "int": pa.int32()}[t]) for n, t in (x.split() for x in HEARD.split(", "))])
+BATCH = 8
+
+
+def chunk_waves(wave: np.ndarray, samples: int) -> list[np.ndarray]:
+    """Pieces of so many samples, the last one short; an empty signal is a tenth of a second of silence."""
+    return np.split(wave, range(samples, len(wave), samples)) if len(wave) else [np.zeros(G.RATE // 10)]
+
+
+def heard_batch(model: str, batch: list[tuple[dict, np.ndarray]], language: str | None, task: str) -> list[dict]:
+    """Rows of the chunks in ``batch`` with what the model heard.  If it fails on them together, each is
+    tried alone, so that only those that fail themselves are in error."""
+    start = time.perf_counter()
+
+    def told(pieces: list[tuple[dict, np.ndarray]]) -> list[tuple[str, str | None]]:
+        held, seconds = backend(model)
+        if seconds:
+            pieces[0][0]["model_load_s"] = round(seconds, 4)
+        out = held.transcribe([w for _, w in pieces], language, task)
+        if len(out) != len(pieces):
+            raise RuntimeError(f"{len(out)} results for {len(pieces)} chunks")
+        return out
+
+    try:
+        answers = told(batch)
+    except Exception:  # noqa: BLE001  found out one by one
+        answers = []
+        for piece in batch:
+            try:
+                answers += told([piece])
+            except Exception as e:  # noqa: BLE001
+                answers.append(e)
+    each = round((time.perf_counter() - start) / len(batch), 4)
+    for (row, _), answer in zip(batch, answers, strict=True):
+        row["infer_s"] = each
+        if isinstance(answer, Exception):
+            row["error"] = f"inference: {type(answer).__name__}: {answer}"
+        else:
+            row["text"], row["language"] = answer[0], answer[1] or language
+    return [row for row, _ in batch]
+
+
+def hear_chunks(audio: DataFrame, model: str, language: str | None = None, task: str = "transcribe", snrs: tuple = (None,), trimmed: bool = True, batch: int = BATCH, seconds: float = G.CHUNK_SECONDS, plugins: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of chunks (``HEARD``) of rows (id, content), one set for each noise level.
+
+    Chunks of ``seconds`` of all files of a task go to the model in batches of ``batch``; ``owner`` says which file
+    each is of.  Workers import ``plugins``, modules that register backends."""
     check_language(model, language, task)
-    schema = HEARD
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loaded, names = None, [x.split()[0] for x in schema.split(", ")]
         who = f"{socket.gethostname()}:{os.getpid()}"
-        for b in batches:
-            rows = []
-            for key, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                y = failed = None
-                try:
-                    y, rate = decode(data or b"")
-                except Exception as e:  # noqa: BLE001
-                    failed = f"preprocess: {type(e).__name__}: {e}"
-                for snr in snrs:
-                    row = dict.fromkeys(names) | {"id": key, "snr_db": snr, "hypothesis": "", "worker": who, "error": failed}
-                    rows.append(row)
-                    if failed:
-                        continue
-                    start = time.perf_counter()
-                    x, facts = G.preprocess(y, rate, trimmed, snr, zlib.crc32(key.encode()))
-                    row |= facts | {"preprocess_s": round(time.perf_counter() - start, 4)}
-                    start = time.perf_counter()
+        for name in plugins:
+            import_module(name)
+
+        def pieces() -> Iterator[tuple[dict, np.ndarray | None]]:
+            for b in batches:
+                for key, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    owner, y, failed = uuid.uuid4().hex, None, None
                     try:
-                        if loaded is None:
-                            loaded, seconds = backend(model)
-                            row["model_load_s"] = round(seconds, 4)
-                        row["hypothesis"], row["language"] = _recognise(loaded, x, language, task)
+                        y, rate = decode(data or b"")
                     except Exception as e:  # noqa: BLE001
-                        row["error"] = f"inference: {type(e).__name__}: {e}"
-                    row["infer_s"] = round(time.perf_counter() - start, 4)
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([(n, pa.string() if t == "string" else pa.float64()) for n, t in (x.split() for x in schema.split(", "))]))
+                        failed = f"preprocess: {type(e).__name__}: {e}"
+                    for snr in snrs:
+                        first = {"id": key, "owner": owner, "snr_db": snr, "worker": who, "error": failed, "pos": 0}
+                        if failed:
+                            yield first, None
+                            continue
+                        start = time.perf_counter()
+                        x, facts = G.preprocess(y, rate, trimmed, snr, zlib.crc32((key or "").encode()))
+                        first |= facts | {"preprocess_s": round(time.perf_counter() - start, 4)}
+                        for pos, w in enumerate(chunk_waves(x, int(seconds * G.RATE))):
+                            yield (first if pos == 0 else {"id": key, "owner": owner, "snr_db": snr, "worker": who, "pos": pos}), w
+
+        rows, waiting = [], []
+        for row, wave in pieces():
+            if wave is None:
+                rows.append(row)
+            else:
+                waiting.append((row, wave))
+            if len(waiting) >= batch:
+                rows += heard_batch(model, waiting, language, task)
+                waiting = []
+            if len(rows) >= 1024:
+                yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+                rows = []
+        if waiting:
+            rows += heard_batch(model, waiting, language, task)
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+
+    return audio.select("id", "content").mapInArrow(work, HEARD)
+
+
+def hear(audio: DataFrame, model: str, language: str | None = None, task: str = "transcribe", snrs: tuple = (None,), trimmed: bool = True, batch: int = BATCH, seconds: float = G.CHUNK_SECONDS, plugins: tuple[str, ...] = ()) -> DataFrame:
+    """(id, snr_db, hypothesis, ...) of rows (id, content), one for each noise level.
 
-    return audio.select("id", "content").mapInArrow(work, schema)
+    A file that can't be read or recognised gives an error row; others go on.  Chunks are dealt by id alone,
+    so a task that runs again sends a file where its first run did."""
+    chunks = hear_chunks(audio, model, language, task, snrs, trimmed, batch, seconds, plugins).repartition("id")
+    first = lambda c: F.max(c).alias(c)
+    told = [first(c) for c in (*FACTS, "preprocess_s", "model_load_s", "worker")]
+    x = rejoined(chunks, "id", "owner", "snr_db", more=[*told, F.sum("infer_s").alias("infer_s"), F.min_by("error", F.when(F.col("error").isNotNull(), F.col("pos"))).alias("error")])
+    good = F.col("error").isNull()
+    columns = ["id", "snr_db", F.when(good, F.col("text")).otherwise("").alias("hypothesis"), F.when(good, F.col("language")).alias("language"), *FACTS]
+    return x.select(*columns, "preprocess_s", F.when(F.col("infer_s").isNotNull(), F.bround("infer_s", 4)).alias("infer_s"), "model_load_s", "worker", "error")
 
 
 def score(manifest: DataFrame, heard: DataFrame, language: str | None = None, task: str = "transcribe") -> DataFrame:
@@ -101,7 +156,7 @@ def results(scored: DataFrame) -> DataFrame:
 
 def summary(scored: DataFrame, wall_s: float, *keys: str) -> DataFrame:
     """Run summary with corpus scores, by keys if any."""
-    return scored.groupBy(*keys).agg(*run_totals(wall_s), *corpus_totals())
+    return run_summary(scored, wall_s, *keys, more=corpus_totals())
 
 
 def listing(jobs: DataFrame, heavy: tuple[str, ...] = ("rows",)) -> DataFrame:
@@ -109,16 +164,18 @@ def listing(jobs: DataFrame, heavy: tuple[str, ...] = ("rows",)) -> DataFrame:
     return jobs.drop(*heavy)
 
 
-def rejoined(heard: DataFrame, key: str) -> DataFrame:
-    """Texts of chunks (key, pos, text, language) in order, and the language most chunks
-    have, ties to the least."""
+def rejoined(heard: DataFrame, *keys: str, more: list | None = None) -> DataFrame:
+    """Texts of chunks (keys, pos, text, language) in order, the language most chunks
+    have, ties to the least, and the aggregates ``more``."""
     parts = F.array_sort(F.collect_list(F.struct("pos", F.trim("text").alias("text"))))
-    x = heard.groupBy(key).agg(parts.alias("parts"), F.mode("language", True).alias("language"))
+    further = more or []
+    x = heard.groupBy(*keys).agg(parts.alias("parts"), F.mode("language", True).alias("language"), *further)
     texts = F.filter(F.transform("parts", lambda p: p["text"]), lambda t: t != "")
-    return x.select(key, F.when(F.col("language") == "ja", F.array_join(texts, "")).otherwise(F.array_join(texts, " ")).alias("text"), "language")
+    carried = [c for c in x.columns if c not in (*keys, "parts", "language")]
+    return x.select(*keys, F.when(F.col("language") == "ja", F.array_join(texts, "")).otherwise(F.array_join(texts, " ")).alias("text"), "language", *carried)
 
 
-def noise_sweep(manifest: DataFrame, audio: DataFrame, model: str, snrs: tuple = (None, 20.0, 10.0, 5.0, 0.0), language: str | None = None) -> DataFrame:
+def noise_sweep(manifest: DataFrame, audio: DataFrame, model: str, snrs: tuple = (None, 20.0, 10.0, 5.0, 0.0), language: str | None = None, plugins: tuple[str, ...] = ()) -> DataFrame:
     """Error rates by noise level from one pass over the audio."""
-    scored = score(manifest, hear(audio, model, language, snrs=snrs), language)
+    scored = score(manifest, hear(audio, model, language, snrs=snrs, plugins=plugins), language)
     return corpus_scores(scored.withColumn("label", snr_label(F.col("snr_db"))), "label")

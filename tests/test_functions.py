@@ -159,3 +159,28 @@ def test_nfkc_sends_other_texts_only(spark):
     assert [r[0] for r in df.select(X.nfkc(F.col("t"))).collect()] == [unicodedata.normalize("NFKC", t), "plain", None]
     plan = df.select(X.nfkc(F.col("t")).alias("x"))._jdf.queryExecution().executedPlan().toString()
     assert "_nfkc(pythonUDF" not in plan and "_nfkc(CASE WHEN" in plan or "CASE WHEN RLIKE" in plan.split("ArrowEvalPython")[1]
+
+
+def test_noise_is_a_function_of_seed_and_place(spark):
+    """The same samples natively and in numpy, on 1 and 8 partitions; level and spread as asked."""
+    from earshot.functions import signal as G
+
+    n = 20_000
+    tone = 0.4 * np.sin(2 * np.pi * 440 * np.arange(n) / 16_000)
+    rows = [(int(s), tone[: n - 100 * s].tolist()) for s in range(4)]
+    df = spark.createDataFrame(rows, "seed long, y array<double>")
+    got = {}
+    for parts in (1, 8):
+        x = df.repartition(parts).select("seed", "y", G.noisy(F.col("y"), F.lit(10.0), F.col("seed")).alias("z")).collect()
+        got[parts] = {r.seed: np.array(r.z) for r in x}
+    for s in range(4):
+        assert np.array_equal(got[1][s], got[8][s])
+        clean = tone[: n - 100 * s]
+        assert np.allclose(got[1][s], G.add_noise(clean, 10.0, s), atol=1e-9)
+        noise = got[1][s] - clean
+        assert abs(10 * np.log10(np.mean(clean**2) / np.mean(noise**2)) - 10.0) < 0.3
+        z = noise / noise.std()
+        assert abs(z.mean()) < 0.03 and abs((z**4).mean() - 3) < 0.2 and abs(np.corrcoef(z[:-1], z[1:])[0, 1]) < 0.03
+    assert np.abs(np.corrcoef([got[1][s][: n - 300] - tone[: n - 300] for s in range(4)]) - np.eye(4)).max() < 0.03
+    empty = spark.createDataFrame([(5, [])], "seed long, y array<double>").select(G.noisy(F.col("y"), F.lit(0.0), F.col("seed"))).first()[0]
+    assert empty == [] and len(G.add_noise(np.zeros(0), 0.0, 5)) == 0
