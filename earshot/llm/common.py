@@ -169,6 +169,31 @@ SPAN = "array<struct<start:bigint,end:bigint,hit:string,before:string>>"
 CONTEXT = 48
 
 
+def _found(text: Column, pattern: str) -> Column:
+    return F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("gaps"))
+
+
+def _spans(x: Column) -> Column:
+    def spans(p):
+        return F.transform(
+            F.arrays_zip(x["hits"].alias("hit"), F.slice(x["gaps"], 1, F.size(x["hits"])).alias("gap"), p.alias("at")),
+            lambda z: let(
+                z["at"] + F.length(z["gap"]),
+                lambda s: F.struct(
+                    s.cast("long").alias("start"),
+                    (s + F.length(z["hit"])).cast("long").alias("end"),
+                    z["hit"].alias("hit"),
+                    F.substring(z["gap"], -CONTEXT, CONTEXT).alias("before"),
+                ),
+            ),
+        )
+
+    lengths = F.zip_with(
+        F.slice(x["gaps"], 1, F.size(x["hits"])), x["hits"], lambda g, h: (F.length(g) + F.length(h)).cast("long")
+    )
+    return F.when(F.size(x["hits"]) > 0, let(running_sums(lengths), spans)).otherwise(F.array().cast(SPAN))
+
+
 def find_all(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches of a pattern that never matches nothing:
     array of (start, end, hit, before) in code points, end exclusive.
@@ -176,28 +201,38 @@ def find_all(text: Column, pattern: str) -> Column:
     The pieces between matches give the offsets, so the cost is two scans and the
     number of matches.
     """
+    return let(_found(text, pattern), _spans)
 
-    def use(x):
-        def spans(p):
-            return F.transform(
-                F.arrays_zip(x["hits"].alias("hit"), F.slice(x["gaps"], 1, F.size(x["hits"])).alias("gap"), p.alias("at")),
-                lambda z: let(
-                    z["at"] + F.length(z["gap"]),
-                    lambda s: F.struct(
-                        s.cast("long").alias("start"),
-                        (s + F.length(z["hit"])).cast("long").alias("end"),
-                        z["hit"].alias("hit"),
-                        F.substring(z["gap"], -CONTEXT, CONTEXT).alias("before"),
-                    ),
-                ),
-            )
 
-        lengths = F.zip_with(
-            F.slice(x["gaps"], 1, F.size(x["hits"])), x["hits"], lambda g, h: (F.length(g) + F.length(h)).cast("long")
+#: Matches on either side that ``CONTEXT`` characters can reach across: none is shorter than five.
+ACROSS = 10
+
+
+def judge_all(text: Column, pattern: str, good, use) -> Column:
+    """``use(span, near)`` of the spans of ``find_all`` for which ``good(span)`` holds; ``near`` are the ``CONTEXT``
+    characters before a match, a blank, and those after it.
+
+    The sides are put together from the ends of the pieces around a match, at most ``ACROSS`` matches away,
+    so the cost of a match does not hang on its place.
+    """
+
+    def side(pieces, k):
+        """Of the pieces (gap, hit, gap, ...) hit ``k`` is the one at 2k + 1."""
+        first = F.greatest(2 * k + 1 - 2 * ACROSS, F.lit(0))
+        before = F.slice(pieces, first + 1, 2 * k + 1 - first)
+        after = F.slice(pieces, 2 * k + 3, F.lit(2 * ACROSS))
+        text = lambda side, end: F.array_join(F.transform(side, lambda p: p[end]), "")
+        return F.concat_ws(" ", F.substring(text(before, "last"), -CONTEXT, CONTEXT), F.substring(text(after, "first"), 1, CONTEXT))
+
+    def judged(x):
+        ends = lambda p: F.struct(F.substring(p, 1, CONTEXT).alias("first"), F.substring(p, -CONTEXT, CONTEXT).alias("last"))
+        n = F.size(x["hits"])
+        both = F.flatten(F.zip_with(F.slice(x["gaps"], 1, n), x["hits"], lambda g, h: F.array(ends(g), ends(h))))
+        numbered = F.filter(F.transform(_spans(x), lambda s, k: F.struct(s.alias("span"), k.alias("k"))), lambda z: good(z["span"]))
+        pieces = F.concat(both, F.array(ends(F.element_at(x["gaps"], -1))))
+        return let(
+            numbered,
+            lambda zs: F.when(F.size(zs) > 0, let(pieces, lambda p: F.transform(zs, lambda z: use(z["span"], side(p, z["k"]))))),
         )
-        return F.when(F.size(x["hits"]) > 0, let(running_sums(lengths), spans)).otherwise(F.array().cast(SPAN))
 
-    found = F.struct(
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("gaps")
-    )
-    return let(found, use)
+    return let(_found(text, pattern), judged)

@@ -1,7 +1,7 @@
 """Personal data in texts (DataFrame only).
 
 Regular expressions propose spans, checksums (Luhn, mod 97) or range tests confirm
-them, and words near a span, within ``CONTEXT`` characters on either side, move its score.  Spans at or above the threshold
+them, and words near a span, within ``common.CONTEXT`` characters on either side, move its score.  Spans at or above the threshold
 are reported.  Patterns are written with possessive repeats and start guards, so a
 scan is linear in the text and never recurses over long runs.
 
@@ -10,6 +10,8 @@ are the base and are reported whenever their test holds.  The method adds ``iban
 (mod 97), ``pan`` (13-15 digits, Luhn, with a payment word near it), ``ssn`` and
 ``tel`` (national phone numbers), the last two only next to a context word.
 
+Its cost grows with the text and with the number of matches, wherever they are.
+
 Defined cases: null and empty texts have no spans; repeated rows and null ids each
 give their own row; an empty table gives no rows.
 """
@@ -21,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CONTEXT, find_all, let, table
+from .common import judge_all, let, table
 
 
 @dataclass(frozen=True)
@@ -98,23 +100,21 @@ def spans_of(text: Column) -> Column:
     """All reported spans, by kind in the order of ``KINDS``, then start."""
 
     def of(k: Kind, t):
-        def near(h):
-            first = F.greatest(h["start"] - CONTEXT, F.lit(0))
-            before = F.substr(t, (first + 1).cast("int"), (h["start"] - first).cast("int"))
-            return F.concat_ws(" ", before, F.substr(t, (h["end"] + 1).cast("int"), F.lit(CONTEXT)))
-
-        def scored(h):
-            gain = F.when(F.rlike(near(h), F.lit(f"(?iu){k.context}")), CONTEXT_GAIN).otherwise(0.0)
+        def good(h):
+            own = confirmed(k.name, h["hit"])
+            if k.name in ("pan", "tel"):  # not the tail of an international number
+                own &= ~F.rlike(h["before"], F.lit(r"\+[0-9][\x20().0-9-]*$"))
+            return own
+
+        def scored(h, near):
+            gain = F.when(F.rlike(near, F.lit(f"(?iu){k.context}")), CONTEXT_GAIN).otherwise(0.0)
             return F.struct(
                 F.lit(k.name).alias("kind"), h["start"].alias("start"), h["end"].alias("end"),
                 F.round(F.least(F.lit(1.0), F.lit(k.score) + gain), 2).alias("score"), F.lit(k.base).alias("base"),
             )
 
-        good = F.filter(find_all(t, k.pattern), lambda h: confirmed(k.name, h["hit"]))
-        if k.name in ("pan", "tel"):  # not the tail of an international number
-            good = F.filter(good, lambda h: ~F.rlike(h["before"], F.lit(r"\+[0-9][\x20().0-9-]*$")))
-        kept = F.filter(F.transform(good, scored), lambda s: s["base"] | (s["score"] >= THRESHOLD))
-        return F.when(F.rlike(t, F.lit(k.needs)), kept).otherwise(F.array().cast(FOUND))
+        kept = F.filter(judge_all(t, k.pattern, good, scored), lambda s: s["base"] | (s["score"] >= THRESHOLD))
+        return F.coalesce(F.when(F.rlike(t, F.lit(k.needs)), kept), F.array().cast(FOUND))
 
     every = lambda t: F.flatten(F.array(*[of(k, t) for k in KINDS]))
     t = F.coalesce(text, F.lit(""))

@@ -5,6 +5,7 @@ import math
 import random
 import re
 import string
+import time
 import zlib
 
 import numpy as np
@@ -228,6 +229,30 @@ def test_pii_added(spark):
     assert got[None] == set() and pii.find_pii(df.limit(0)).count() == 0
 
 
+def test_context_reaches_across_matches(spark):
+    """Context is what stands 48 characters before and after, other matches included."""
+    from earshot.llm.common import CONTEXT, judge_all
+
+    r = random.Random(12)
+    texts = ["", "a@b.c", "a@b.ca@b.c"] + ["".join(r.choice(["a@b.c", "é😀", " ", "card ", "x" * 60, "k.l@m.n-o.p "]) for _ in range(n)) for n in (5, 40, 400)]
+    pattern = r"[a-z.]+@[a-z]+(?:\.[a-z]+)"
+    near = judge_all(F.col("t"), pattern, lambda h: h["hit"] != "a@b.ca", lambda h, n: F.struct(h["start"], h["end"], n))
+    for t, row in zip(texts, spark.createDataFrame([(t,) for t in texts], "t string").select(near.alias("s")).collect(), strict=True):
+        want = [(m.start(), m.end(), t[max(0, m.start() - CONTEXT) : m.start()] + " " + t[m.end() : m.end() + CONTEXT]) for m in re.finditer(pattern, t) if m.group() != "a@b.ca"]
+        assert [tuple(x) for x in row.s or []] == want
+
+
+def test_pii_of_one_long_text_is_linear(spark):
+    """Forty and eighty thousand matches in one text."""
+    took = {}
+    for n in (1000, 40_000, 80_000):
+        df = spark.createDataFrame([("1.2.3.4 " * n,)], "text string")
+        start = time.time()
+        assert df.select(F.size(pii.spans_of(F.col("text")))).first()[0] == n
+        took[n] = time.time() - start
+    assert took[80_000] < 3 * took[40_000] + 2, took
+
+
 # ------------------------------------------------------------- 4
 
 
