@@ -8,10 +8,12 @@
 3. Inside a band the pivot rows discard pairs by their maximum coordinate difference, the
    fingerprints by their distance, and the minima estimate the similarity of survivors.
    ``REACH`` bits are five standard deviations above the distance expected at 0.8;
-   an estimate ``SLACK`` under the threshold is nearly three below it.
+   an estimate ``SLACK`` under the threshold is four below it.
 4. Survivors are verified by their true similarity.  First only the edges of a spanning
-   forest of the largest estimates are; what they link is one component.  Then every surviving pair between different components is verified, so no
-   pair that steps 2 and 3 leave is lost, and a group of copies costs about its size.
+   forest of the largest estimates are; what they link is one component.  Then every
+   surviving pair between different components is verified, so no pair that steps 2 and 3
+   leave is lost.  A band costs its members outside its largest component times all of
+   them, so a group of copies costs about its size.
 
 Defined cases: sets are of lower-cased words parted by white space; null text is empty;
 texts without words are equal; fewer words than a shingle give one shingle; repeated rows
@@ -34,7 +36,9 @@ from .tokens import shingle_hashes, slices_of, word_hashes
 
 SEED, BANDS, ROWS, PIVOTS = 42, 32, 6, 16
 MINIMA = BANDS * ROWS
-REACH, SLACK = 24, 0.08
+REACH, SLACK = 24, 0.12
+#: Pairs a task holds before it hands them on.
+PAIRS = 1 << 16
 #: Members of a band compared together; of what was linked before, one stands for all.
 CHUNK = 2048
 _RANDOM = np.random.default_rng(5)
@@ -172,23 +176,25 @@ def forest(m: Members, least: float) -> tuple[list[tuple[int, int]], np.ndarray]
     return edges, np.array(stands, np.int64)
 
 
-def crossing(m: Members, place: int, least: float) -> list[tuple[int, int]]:
-    """All pairs between different labels that may be similar and share no band before
-    the one at ``place``."""
-    out = []
-    for i in range(len(m.fp) - 1):
-        later = np.arange(i + 1, len(m.fp))
-        at, _ = m.near(i, later[m.label[later] != m.label[i]], least)
-        shared = (m.small[at] == m.small[i]).reshape(-1, ROWS, BANDS)[:, :, :place].all(axis=1)
-        out += [(i, j) for j in at[~shared.any(axis=1)].tolist()]
-    return out
+def crossing(m: Members, least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(member, others): all pairs between different labels that may be similar.  The largest
+    label's members are only compared with the rest, never among themselves."""
+    names, of, sizes = np.unique(m.label, return_inverse=True, return_counts=True)
+    largest = of == int(np.argmax(sizes)) if len(names) else np.zeros(0, bool)
+    order = np.concatenate([np.flatnonzero(~largest), np.flatnonzero(largest)])
+    m, of = m.take(order), of[order]
+    for i in range(int((~largest).sum())):
+        later = np.arange(i + 1, len(order))
+        at, _ = m.near(i, later[of[later] != of[i]], least)
+        if len(at):
+            yield int(order[i]), order[at]
 
 
 def shared_bands(nodes: DataFrame) -> DataFrame:
-    """(band, place, fp): the bands that several nodes have."""
-    keys = nodes.select("fp", F.posexplode("bands").alias("place", "band"))
+    """(band, fp): the bands that several nodes have."""
+    keys = nodes.select("fp", F.explode("bands").alias("band"))
     n = F.count(F.lit(1)).over(Window.partitionBy("band"))
-    return keys.withColumn("n", n).filter("n > 1").select("band", "place", "fp")
+    return keys.withColumn("n", n).filter("n > 1").select("band", "fp")
 
 
 def proposed(met: DataFrame, nodes: DataFrame, labels: DataFrame | None, similarity: float) -> DataFrame:
@@ -198,43 +204,54 @@ def proposed(met: DataFrame, nodes: DataFrame, labels: DataFrame | None, similar
     if labels is None:
         met = met.withColumn("label", F.col("fp"))
     else:
-        met = met.join(labels, F.col("fp") == F.col("node"), "left").select("band", "place", "fp", F.coalesce("label", "fp").alias("label"))
+        met = met.join(labels, F.col("fp") == F.col("node"), "left").select("band", "fp", F.coalesce("label", "fp").alias("label"))
         several = Window.partitionBy("band")
         met = met.withColumn("a", F.min("label").over(several)).withColumn("b", F.max("label").over(several)).filter("a < b")
     met = met.join(nodes.select(F.col("fp").alias("f2"), "sim", "marks"), F.col("fp") == F.col("f2"))
-    met = met.select("band", "label", "fp", "sim", "marks", "place").repartition(partitions(spark, nodes), "band").sortWithinPartitions("band", "fp")
+    met = met.select("band", "label", "fp", "sim", "marks").repartition(partitions(spark, nodes), "band").sortWithinPartitions("band", "fp")
     least, every = similarity - SLACK, labels is not None
 
-    def edges(m: Members, place: int) -> pa.RecordBatch:
-        pairs, n = [], len(m.fp)
+    def edges(m: Members) -> Iterator[pa.RecordBatch]:
+        def batch(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            u, v = (np.concatenate([x[k] for x in pairs]) for k in range(2))
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+
+        held, size, n = [], 0, len(m.fp)
         if every:
-            pairs = [(m.fp[i], m.fp[j]) for i, j in crossing(m, place, least)]
+            for i, others in crossing(m, least):
+                held.append((np.full(len(others), m.fp[i]), m.fp[others]))
+                size += len(others)
+                if size >= PAIRS:
+                    yield batch(held)
+                    held, size = [], 0
         else:
             kept = m.take(np.arange(min(n, CHUNK)))
             for k in range(CHUNK, n + CHUNK, CHUNK):
                 found, stands = forest(kept, least)
-                pairs += [(kept.fp[i], kept.fp[j]) for i, j in found]
+                if found:
+                    at = np.array(found)
+                    held.append((kept.fp[at[:, 0]], kept.fp[at[:, 1]]))
                 if k < n:
                     kept = kept.take(stands).join(m.take(np.arange(k, min(n, k + CHUNK))))
-        u, v = np.array(pairs, np.int64).reshape(-1, 2).T
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+        if held:
+            yield batch(held)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def groups(last: bool) -> Iterator[pa.RecordBatch]:
-            band, label, fp, sim, marks, place = (np.concatenate(x) for x in zip(*held, strict=True))
+            band, label, fp, sim, marks = (np.concatenate(x) for x in zip(*held, strict=True))
             cut = len(band) if last else int(np.searchsorted(band, band[-1]))
             begin = np.flatnonzero(np.concatenate([[True], band[1:cut] != band[: max(cut - 1, 0)]])) if cut else []
             for a, b in zip(begin, [*begin[1:], cut], strict=True):
                 if b - a > 1:
-                    yield edges(Members(fp[a:b], label[a:b], sim[a:b], marks[a:b]), int(place[a]))
-            held[:] = [(band[cut:], label[cut:], fp[cut:], sim[cut:], marks[cut:], place[cut:])] if cut < len(band) else []
+                    yield from edges(Members(fp[a:b], label[a:b], sim[a:b], marks[a:b]))
+            held[:] = [(band[cut:], label[cut:], fp[cut:], sim[cut:], marks[cut:])] if cut < len(band) else []
 
         for b in batches:
             if b.num_rows:
                 blob = np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint8).reshape(b.num_rows, -1)
-                held.append((*(b.column(i).to_numpy() for i in range(3)), b.column(3).to_numpy().view(np.uint64), blob, b.column(5).to_numpy()))
+                held.append((*(b.column(i).to_numpy() for i in range(3)), b.column(3).to_numpy().view(np.uint64), blob))
                 if sum(len(h[0]) for h in held) > 1 << 15:
                     yield from groups(False)
         if held:

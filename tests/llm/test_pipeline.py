@@ -148,5 +148,48 @@ def test_forest_spans_what_crossing_finds():
     for i, j in edges:
         assert root[i] != root[j]
         root[root == root[i]] = root[j]
-    pairs = similar.crossing(m, 0, 0.7)
+    pairs = [(i, j) for i, others in similar.crossing(m, 0.7) for j in others.tolist()]
+    alike = {(min(i, j), max(i, j)) for i in range(80) for j in m.near(i, np.arange(80), 0.7)[0].tolist() if label[i] != label[j]}
+    assert len(pairs) == len(alike) and {(min(p), max(p)) for p in pairs} == alike
     assert pairs and all(root[i] == root[j] for i, j in pairs) and len(stands) == len(set(root.tolist()))
+
+
+def marks_of(sets):
+    sim = np.array([similar.simhash(s) for s in sets], np.uint64)
+    far = np.bitwise_count(sim[:, None] ^ similar.PIVOT[None, :]).astype(np.uint8)
+    least = [similar.minima(s) for s in sets]
+    small = [((m * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8) for m in least]
+    return sim, np.stack([np.concatenate([a, b]) for a, b in zip(far, small, strict=True)]), [similar.bands(m) for m in least]
+
+
+def test_no_pair_at_the_threshold_is_lost():
+    """Pairs of similarity 0.8 to 0.9: what bands propose is never dropped later."""
+    r = np.random.default_rng(7)
+    lost = {0.8: 0, 0.85: 0, 0.9: 0}
+    for share in lost:
+        for _ in range(700):
+            n = 180
+            common = int(round(n * 2 * share / (1 + share)))
+            base = r.integers(0, 1 << 63, 2 * n - common).astype(np.uint64)
+            a, b = np.sort(base[:n]), np.sort(base[n - common :])
+            sim, marks, keys = marks_of([a, b])
+            m = similar.Members(np.array([1, 2]), np.array([1, 2]), sim, marks)
+            met = bool((keys[0] == keys[1]).any())
+            lost[share] += not (met and list(similar.crossing(m, 0.8 - similar.SLACK)))
+    assert lost[0.8] <= 1 and lost[0.85] == lost[0.9] == 0, lost
+
+
+def test_large_band_costs_its_outsiders():
+    """A band of a hundred thousand members of one component and a few others."""
+    import time
+
+    r = np.random.default_rng(2)
+    n = 100_000
+    own = np.unique(r.integers(0, 1 << 63, 100).astype(np.uint64))
+    sim, marks, _ = marks_of([own])
+    label = np.where(np.arange(n) % 20_000 == 7, np.arange(n), 3)
+    m = similar.Members(np.arange(n), label, np.repeat(sim, n), np.repeat(marks, n, axis=0))
+    start = time.time()
+    pairs = sum(len(x) for _, x in similar.crossing(m, 0.7))
+    outside = int((label != 3).sum())
+    assert pairs == outside * (n - outside) + outside * (outside - 1) // 2 and time.time() - start < 20
