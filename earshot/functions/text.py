@@ -112,13 +112,14 @@ def katakana_to_hiragana(text: Column) -> Column:
     return F.translate(text, kata, "".join(chr(ord(c) - 0x60) for c in kata))
 
 
-def normalize(text: Column, lang: Column) -> Column:
-    """The normal form of ``text`` by language; null or empty language is English."""
+def normalize(text: Column, lang: Column, kana=katakana_to_hiragana) -> Column:
+    """The normal form of ``text`` by language; null or empty language is English.  ``kana`` turns Japanese
+    into hiragana (``readings.to_kana`` with a table of readings)."""
     other = normalize_other(text)
     dense = F.regexp_replace(other, r"(?U)\s+", "")
     return (
         F.when(lang.isNull() | lang.isin("", "en"), normalize_english(text))
-        .when(lang == "ja", katakana_to_hiragana(dense))
+        .when(lang == "ja", kana(dense))
         .when(lang.isin(*CHARACTER_LANGUAGES), dense)
         .otherwise(other)
     )

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions import editdistance as E
+from ..functions import readings as R
 from ..functions import signal as G
 from ..functions import text as X
 from ..plans import transcribe
@@ -315,6 +316,42 @@ def t06(spark, d):
 T06 = "SELECT p_partkey, 'かたかな・はなし' || p_name || 'ん' AS reading FROM part"
 
 
+def t06_readings(spark, d):
+    """Kanji readings from a table made of the nations: numbers written in kanji, read by the longest cheap words."""
+    digits = "〇一二三四五六七八九"
+    n = table(spark, d, "nation")
+    kanji = lambda c: F.translate(c.cast("string"), "0123456789", digits)
+    words = n.select(kanji(F.col("n_nationkey")).alias("surface"), F.concat(F.lit("<"), F.lower("n_name"), F.lit(">")).alias("reading"))
+    x = table(spark, d, "part").select("p_partkey", F.concat(kanji(F.col("p_size")), F.lit("ノ"), kanji(F.col("p_partkey"))).alias("t"))
+    return x.select("p_partkey", R.to_kana(F.col("t"), x, R.load_readings(words)).alias("reading"))
+
+
+# Two digits are one word where the table has it; the cut with the fewest words, of equal ones that with the longest last word.
+T06_READINGS = """WITH RECURSIVE p AS (SELECT p_partkey, p_size || 'の' || p_partkey AS t FROM part), w AS (SELECT n_nationkey::VARCHAR AS s, '<' || lower(n_name) || '>' AS r FROM nation),
+go AS (SELECT p_partkey, t, 0::BIGINT AS pos, 0::BIGINT AS cost, '' AS reading, '' AS way FROM p UNION ALL
+  SELECT p_partkey, t, pos + n, cost + CASE WHEN w.r IS NULL THEN 100 ELSE 1 END, reading || coalesce(w.r, translate(substr(t, (pos + 1)::INT, n), '0123456789', '〇一二三四五六七八九')), n::VARCHAR || way
+  FROM go JOIN (VALUES (1), (2)) k(n) ON pos + n <= length(t) LEFT JOIN w ON w.s = substr(t, (pos + 1)::INT, n) WHERE n = 1 OR w.r IS NOT NULL)
+SELECT p_partkey, reading FROM go WHERE pos = length(t) QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY cost, way DESC) = 1"""
+
+
+def e05_mixed(spark, d):
+    """Alignments with words lost, changed and added: counts of every operation and the words they leave."""
+    x = spread(table(spark, d, "benchmark")).select("item_id", X.tokens(F.lower("text")).alias("r"))
+    heard = F.flatten(F.transform("r", lambda t, i: F.when(i % 11 == 3, F.array().cast("array<string>")).when(i % 11 == 6, F.array(F.lit("zq#"))).when(i % 11 == 9, F.array(t, F.lit("zq+"))).otherwise(F.array(t))))
+    x = x.select("item_id", "r", heard.alias("h"))
+    x = x.select("item_id", "r", "h", E.alignment(F.col("r"), F.col("h")).alias("a"))
+    count = lambda op: F.size(F.filter("a", lambda z: z["op"] == op)).cast("long")
+    side = lambda c: F.transform(F.filter("a", lambda z: z[c].isNotNull()), lambda z: z[c])
+    return x.select(
+        "item_id", count("H").alias("hits"), count("S").alias("substitutions"), count("D").alias("deletions"), count("I").alias("insertions"),
+        ((side("ref") == F.col("r")) & (side("hyp") == F.col("h"))).alias("whole"),
+    )
+
+
+E05_MIXED = r"""SELECT item_id, (n - (n + 7) // 11 - (n + 4) // 11)::BIGINT AS hits, ((n + 4) // 11)::BIGINT AS substitutions, ((n + 7) // 11)::BIGINT AS deletions, ((n + 1) // 11)::BIGINT AS insertions, true AS whole
+FROM (SELECT item_id, len(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda t: t <> '')) AS n FROM benchmark)"""
+
+
 def e05(spark, d):
     """Alignments with every seventh word dropped: only hits and deletions, all in place."""
     x = spread(table(spark, d, "benchmark")).select("item_id", X.tokens(F.lower("text")).alias("r"))
@@ -440,7 +477,7 @@ B15 = f"""SELECT count(DISTINCT source) AS datasets, count(*) AS files, (SELECT
 _NAMES = {
     "s01_manifest_rows": "s01", "s03_transcript_lines": "s03", "s04_sidecars": "s04", "s05_nested_audio": "s05", "s05_splits": "s05_splits", "s06_archive_limit": "s06", "s07_archive_names": "s07_archive", "k03_experiment_files": "k03_files", "s07_tsv": "s07", "s08_wav_round_trip": "s08", "s13_history": "s13", "s16_tones": "s16",
     "k01_manifest": "k01", "k02_upload": "k02", "k03_points": "k03", "k07_json": "k07", "k08_benchmark_table": "k08", "p13_kind": "p13", "p16_listing": "p16", "a16_noise_sweep": "a16",
-    "a17_progress": "a17", "o02_sorted_paths": "o02", "o06_top_names": "o06", "o07_first_match": "o07", "o08_early_stop": "o08", "t06_kana": "t06", "e05_alignment": "e05", "d02_resample": "d02",
+    "a17_progress": "a17", "o02_sorted_paths": "o02", "o06_top_names": "o06", "o07_first_match": "o07", "o08_early_stop": "o08", "t06_kana": "t06", "e05_alignment": "e05", "e05_alignment_mixed": "e05_mixed", "t06_readings": "t06_readings", "d02_resample": "d02",
     "d09_log_mel": "d09", "d10_features": "d10", "d11_stages": "d11", "x01_batch_stage": "x01", "x05_long_audio": "x05", "b15_status": "b15",
 }
 QUERIES = {k: globals()[v] for k, v in _NAMES.items()}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import ctc as C
 from ..functions import signal as G
 from ..plans.tables import spread, table
 
@@ -161,16 +162,46 @@ A11 = f"SELECT vec_id, round(avg(v), 9) AS mean, round(stddev_pop(v), 9) AS std,
 def x07(spark, d):
     """CTC collapse: runs of equal symbols become one, blanks (0) go."""
     x = _waves(spark, d).select("vec_id", F.transform("y", lambda v: F.when(v > 0.1, 2).when(v < -0.1, 1).otherwise(0)).alias("s"))
-    kept = F.filter(F.transform("s", lambda v, i: F.when((i == 0) | (v != F.get(F.col("s"), i - 1)), v)), lambda v: v.isNotNull() & (v != 0))
-    return x.select("vec_id", F.array_join(kept, "").alias("symbols"))
+    return x.select("vec_id", F.array_join(C.collapse(F.col("s")), "").alias("symbols"))
 
 
 X07 = f"""SELECT vec_id, array_to_string(list_filter(list_transform(s, lambda v, i: CASE WHEN i = 1 OR v <> s[i - 1] THEN v END), lambda v: v IS NOT NULL AND v <> 0), '') AS symbols
 FROM (SELECT vec_id, list_transform(y, lambda v: CASE WHEN v > 0.1 THEN 2 WHEN v < -0.1 THEN 1 ELSE 0 END) AS s FROM ({Y}))"""
 
+
+def _scores(spark, d):
+    """Vectors as score matrices, four symbols a frame."""
+    return _waves(spark, d).select("vec_id", G.chunks(F.col("y"), 4).alias("s"))
+
+
+def x07_greedy(spark, d):
+    """The best symbol of every frame, collapsed."""
+    return _scores(spark, d).select("vec_id", F.array_join(C.greedy(F.col("s")), "").alias("symbols"))
+
+
+X07_GREEDY = f"""WITH f AS (SELECT vec_id, list_transform(range(0, len(y) // 4), lambda k: y[k * 4 + 1:k * 4 + 4]) AS f FROM ({Y})),
+s AS (SELECT vec_id, list_transform(f, lambda r: list_position(r, list_max(r)) - 1) AS s FROM f)
+SELECT vec_id, array_to_string(list_filter(list_transform(s, lambda v, i: CASE WHEN i = 1 OR v <> s[i - 1] THEN v END), lambda v: v IS NOT NULL AND v <> 0), '') AS symbols FROM s"""
+
+
+def x07_beam(spark, d):
+    """The likeliest text of the first four frames by prefix beam search, wide enough to hold all of them."""
+    x = _scores(spark, d).select("vec_id", C.beam_search(F.slice("s", 1, 4), 256).alias("b"))
+    return x.select("vec_id", F.array_join("b.symbols", "").alias("symbols"), F.round("b.log_p", 6).alias("log_p"))
+
+
+# All paths of four frames, added up by their text.
+X07_BEAM = f"""WITH f AS (SELECT vec_id, t, list_transform(y[t * 4 + 1:t * 4 + 4], lambda v: exp(v)) AS e FROM ({Y}), range(0, 4) r(t)),
+p AS (SELECT vec_id, t, k, ln(e[k + 1] / list_sum(e)) AS l FROM f, range(0, 4) r(k)),
+q AS (SELECT vec_id, a.k AS a, b.k AS b, c.k AS c, d.k AS d, exp(a.l + b.l + c.l + d.l) AS p
+  FROM p a JOIN p b USING (vec_id) JOIN p c USING (vec_id) JOIN p d USING (vec_id) WHERE a.t = 0 AND b.t = 1 AND c.t = 2 AND d.t = 3),
+s AS (SELECT vec_id, CASE WHEN a > 0 THEN a::VARCHAR ELSE '' END || CASE WHEN b > 0 AND b <> a THEN b::VARCHAR ELSE '' END || CASE WHEN c > 0 AND c <> b THEN c::VARCHAR ELSE '' END
+  || CASE WHEN d > 0 AND d <> c THEN d::VARCHAR ELSE '' END AS symbols, sum(p) AS p FROM q GROUP BY ALL)
+SELECT vec_id, symbols, round(ln(p), 6) AS log_p FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY p DESC) = 1"""
+
 _NAMES = {
     "w01_frames": "w01", "d01_downmix": "d01", "d03_frame_db": "d03", "d04_trim": "d04", "d05_peak": "d05", "d06_noise_level": "d06", "d06_noise_samples": "d06_samples", "d07_mel_scale": "d07", "d08_filter_bank": "d08",
-    "d12_pcm16": "d12", "d13_chunks": "d13", "d14_envelope": "d14", "d15_padding": "d15", "a11_moments": "a11", "x07_ctc_collapse": "x07",
+    "d12_pcm16": "d12", "d13_chunks": "d13", "d14_envelope": "d14", "d15_padding": "d15", "a11_moments": "a11", "x07_ctc_collapse": "x07", "x07_ctc_greedy": "x07_greedy", "x07_ctc_beam": "x07_beam",
 }
 QUERIES = {k: globals()[v] for k, v in _NAMES.items()}
 ORACLE = {k: globals()[v.upper()] for k, v in _NAMES.items()}
