@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import threading
 import time
+from importlib import import_module
 from importlib.util import find_spec
 from typing import Protocol
 
@@ -74,6 +75,18 @@ def backend(name: str) -> tuple[Backend, float]:
         return _held[name], time.perf_counter() - start
 
 
+def warm_up(name: str, plugins: tuple[str, ...] = ()) -> float:
+    """Loads a model in this process ahead of its first use; the seconds that took."""
+    for p in plugins:
+        import_module(p)
+    return backend(name)[1]
+
+
+def available_count(models: DataFrame) -> DataFrame:
+    """How many models of a registry can run."""
+    return models.agg(F.count_if("available").alias("available"))
+
+
 def registry(spark: SparkSession) -> DataFrame:
     """name, family, parameters, languages, multilingual, available."""
     rows = [(*r, all(find_spec(m) for m in NEEDS[r[1]])) for r in REGISTRY]

@@ -1,4 +1,5 @@
 import io
+import json
 import tarfile
 
 import numpy as np
@@ -125,9 +126,48 @@ def test_stream(spark, folder, tmp_path):
     assert spark.read.parquet(out).count() == 4
 
 
-def test_cli(spark, folder, capsys):
-    cli.main(["batch", "--manifest", str(folder / "manifest.csv")])
+def test_cli(spark, folder, tmp_path, capsys):
+    files, out = ["--manifest", str(folder / "manifest.csv")], str(tmp_path / "out")
+    cli.main(["batch", *files])
     assert '"failed":1' in capsys.readouterr().out
+    for _ in range(2):  # nothing is replaced
+        cli.main(["batch", *files, "--out", out])
+    shown = capsys.readouterr()
+    assert '"detected_languages":{"en":2}' in shown.out and "tasks" in shown.err
+    runs = sorted((tmp_path / "out").glob("batch-*/csv"))
+    assert len(runs) == 2 and spark.read.csv(str(runs[0]), header=True).count() == 3
+
+
+def test_cli_transcribe(spark, folder, capsys):
+    cli.main(["transcribe", str(folder / "one.wav"), "--reference", "alpha bravo"])
+    found = json.loads(capsys.readouterr().out)
+    assert found["hypothesis"] and found["wer"] >= 0 and found["orig_sr"] == 16000
+    with pytest.raises(SystemExit):
+        cli.main(["transcribe", str(folder / "bad.wav")])
+    assert "preprocess: " in json.loads(capsys.readouterr().out)["error"]
+
+
+def test_cli_experiments(spark, folder, tmp_path, capsys):
+    files, out = ["--manifest", str(folder / "manifest.csv")], str(tmp_path / "out")
+    cli.main(["benchmark", *files, "--out", out, "--workers", "1,2"])
+    assert "efficiency" in capsys.readouterr().out
+    cli.main(["noise", *files, "--out", out])
+    assert "10 dB" in capsys.readouterr().out
+    kinds = {r.kind: r for r in readers.result_history(spark, out).collect()}
+    assert len(kinds["benchmark"].runs) == 3 and len(kinds["noise"].points) == 5
+    cli.main(["prefetch"])
+    assert "seconds" in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        cli.main(["batch"])
+
+
+def test_cli_needs_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    far = SimpleNamespace(sparkContext=SimpleNamespace(master="spark://h:7077"))
+    with pytest.raises(SystemExit):
+        cli._place(far, None, "batch")
+    assert cli._place(far, "/shared", "batch").startswith("/shared/batch-")
 
 
 def test_plans_stay_in_catalyst(spark, sf):
@@ -146,6 +186,7 @@ def test_experiments(spark, tmp_path):
     assert all(r.n == 1300 and r.m < 200 for r in t)
     runs = experiments.scaling(spark, lambda n: None, [1, 2], lambda: None)
     assert [r.engine for r in runs.orderBy("run_no").collect()] == ["local", "spark", "spark"]
+    assert [experiments.worker_counts(n) for n in (0, 1, 2, 6, 8)] == [[1], [1], [1, 2], [1, 2, 4, 6], [1, 2, 4, 8]]
     payload = experiments.benchmark_payload(runs, "stand-in", 3)
     writers.write_experiment(payload, str(tmp_path / "x"))
     assert spark.read.csv(str(tmp_path / "x/csv"), header=True).count() == 3
