@@ -41,7 +41,7 @@ def _inputs(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame, Data
 def _place(spark: SparkSession, out: str | None, name: str) -> str:
     """A new folder for a run's rows."""
     if not out:
-        if not spark.sparkContext.master.startswith("local["):
+        if session.needs_shipping(spark.sparkContext.master):
             raise SystemExit("executors are not on this machine: name a shared folder with --out")
         return "file://" + scratch(spark, name)
     return f"{out.rstrip('/')}/{name}-{time.strftime('%Y%m%d-%H%M%S')}-{uuid.uuid4().hex[:8]}"

@@ -179,6 +179,18 @@ def mel_to_hz(m: Column) -> Column:
     return 700.0 * (F.pow(F.lit(10.0), m / 2595.0) - 1)
 
 
+def mel_bank(f: Column, rate: int = RATE, mels: int = MELS) -> Column:
+    """Weights of all bands at a frequency: triangles even on the mel scale, of equal area."""
+    top = 2595.0 * F.log10(F.lit(1 + rate / 2 / 700.0))
+    edge = lambda k: mel_to_hz(k * top / (mels + 1))
+
+    def band(k):
+        left, mid, right = edge(k), edge(k + 1), edge(k + 2)
+        return F.greatest(F.lit(0.0), F.least((f - left) / (mid - left), (right - f) / (right - mid))) * 2 / (right - left)
+
+    return F.transform(F.sequence(F.lit(0), F.lit(mels - 1)), band)
+
+
 # ------------------------------------------------------------- numpy kernels
 
 
@@ -223,6 +235,8 @@ def resample(y: np.ndarray, rate: int, to: int = RATE) -> np.ndarray:
 
 
 def add_noise(y: np.ndarray, snr_db: float, seed: int) -> np.ndarray:
+    if not len(y):
+        return y
     sigma = np.sqrt((np.mean(np.square(y)) + 1e-12) / 10 ** (snr_db / 10))
     return y + sigma * noise_array(seed, len(y))
 

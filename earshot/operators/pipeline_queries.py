@@ -20,7 +20,7 @@ from ..sources import archives, fixtures, readers, sinks, splits, writers
 from ..sources.decode import decode
 from .relational import W04, progress, relative_runs, snr_label
 from .scoring import corpus_totals
-from .signal_queries import D08, Y, _waves
+from .signal_queries import BANK, Y, _waves
 
 # ------------------------------------------------------------------ sources and sinks
 
@@ -174,11 +174,12 @@ S13 = "SELECT printf('%09d.json', event_id) AS file, event_type AS kind, event_i
 
 
 def s16(spark, d):
-    t = fixtures.tones(spark, 40, 0.05, 2000)
+    """A tone for every supplier, as WAV bytes' worth of samples: their number and absolute sum."""
+    t = fixtures.tones_of(table(spark, d, "supplier").select(F.col("s_suppkey").alias("id")), 0.05, 2000)
     return t.select("id", F.size("y").cast("long").alias("n"), F.round(F.aggregate("y", F.lit(0.0), lambda a, v: a + F.abs(v)), 6).alias("total"))
 
 
-S16 = """SELECT id, 2500::BIGINT AS n, round(list_sum(list_transform(range(0, 100), lambda i: abs(sin(i * ((id % 24) * 20 + 220) * (2 * pi() / 2000)) * 0.5))), 6) AS total FROM range(0, 40) t(id)"""
+S16 = """SELECT s_suppkey AS id, 2500::BIGINT AS n, round(list_sum(list_transform(range(0, 100), lambda i: abs(sin(i * ((s_suppkey % 24) * 20 + 220) * (2 * pi() / 2000)) * 0.5))), 6) AS total FROM supplier"""
 
 
 def k01(spark, d):
@@ -394,7 +395,7 @@ def d09(spark, d):
 
 
 _HANN = "(0.5 - 0.5 * cos(2 * pi() * (i - 1) / 399))"
-D09 = f"""WITH bank AS ({D08.replace("round(greatest", "(greatest").replace(", 10) AS weight", ") AS weight")}),
+D09 = f"""WITH bank AS ({BANK}),
 v AS (SELECT vec_id, y FROM ({Y}) WHERE vec_id % 10 = 0),
 p AS (SELECT vec_id, b.k AS bin, pow(list_sum(list_transform(y, lambda x, i: x * {_HANN} * cos(2 * pi() * b.k * (i - 1) / 400))), 2)
   + pow(list_sum(list_transform(y, lambda x, i: x * {_HANN} * sin(2 * pi() * b.k * (i - 1) / 400))), 2) AS power FROM v, range(0, 201) b(k))

@@ -103,18 +103,19 @@ D07 = "SELECT p_partkey, round(2595 * log10(1 + p_retailprice / 700), 6) AS mel,
 
 
 def d08(spark, d):
-    """The filter bank as rows (band, bin, weight above zero)."""
-    top = 2595.0 * F.log10(F.lit(1 + G.RATE / 2 / 700.0))
-    edge = lambda k: G.mel_to_hz(k * top / (G.MELS + 1))
-    bands = spark.range(G.MELS).select(F.col("id").alias("band"), F.explode(F.sequence(F.lit(0), F.lit(G.FRAME // 2))).alias("bin"))
-    l, m, r = (edge(F.col("band") + i) for i in range(3))
-    f = F.col("bin") * (G.RATE / G.FRAME)
-    w = F.greatest(F.lit(0.0), F.least((f - l) / (m - l), (r - f) / (r - m))) * 2 / (r - l)
-    return bands.select("band", "bin", F.round(w, 10).alias("weight")).filter("weight > 0")
-
-
-D08 = f"""WITH e AS (SELECT k, 700 * (pow(10, k * log10(1 + {G.RATE / 2} / 700) / {G.MELS + 1}) - 1) AS hz FROM range(0, {G.MELS + 2}) t(k))
-SELECT a.k AS band, b.k::INT AS bin, round(greatest(0, least((b.k * 40.0 - a.hz) / (m.hz - a.hz), (r.hz - b.k * 40.0) / (r.hz - m.hz))) * 2 / (r.hz - a.hz), 10) AS weight
+    """The filter bank at the prices of parts, taken as frequencies: the bands that hear one, and their weights."""
+    p = table(spark, d, "part").select("p_partkey", F.col("p_retailprice").cast("double").alias("f"))
+    x = p.select("p_partkey", F.posexplode(G.mel_bank(F.col("f"))).alias("band", "weight")).filter("weight > 0")
+    return x.select("p_partkey", "band", F.round("weight", 10).alias("weight"))
+
+
+_EDGES = f"SELECT k, 700 * (pow(10, k * log10(1 + {G.RATE / 2} / 700) / {G.MELS + 1}) - 1) AS hz FROM range(0, {G.MELS + 2}) t(k)"
+_TRIANGLE = "greatest(0, least(({f} - a.hz) / (m.hz - a.hz), (r.hz - {f}) / (r.hz - m.hz))) * 2 / (r.hz - a.hz)"
+D08 = f"""WITH e AS ({_EDGES}) SELECT p_partkey, a.k::INT AS band, round({_TRIANGLE.format(f="p_retailprice")}, 10) AS weight
+FROM part JOIN e a ON a.hz < p_retailprice JOIN e m ON m.k = a.k + 1 JOIN e r ON r.k = a.k + 2 AND r.hz > p_retailprice"""
+#: The bank at the bins of a frame, as rows (band, bin, weight).
+BANK = f"""WITH e AS ({_EDGES})
+SELECT a.k AS band, b.k::INT AS bin, {_TRIANGLE.format(f="b.k * 40.0")} AS weight
 FROM e a JOIN e m ON m.k = a.k + 1 JOIN e r ON r.k = a.k + 2, range(0, 201) b(k) WHERE weight > 0"""
 
 

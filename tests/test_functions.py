@@ -184,3 +184,8 @@ def test_noise_is_a_function_of_seed_and_place(spark):
     assert np.abs(np.corrcoef([got[1][s][: n - 300] - tone[: n - 300] for s in range(4)]) - np.eye(4)).max() < 0.03
     empty = spark.createDataFrame([(5, [])], "seed long, y array<double>").select(G.noisy(F.col("y"), F.lit(0.0), F.col("seed"))).first()[0]
     assert empty == [] and len(G.add_noise(np.zeros(0), 0.0, 5)) == 0
+
+
+def test_bank_at_bins_is_the_matrix(spark):
+    got = spark.range(201).select(G.mel_bank(F.col("id") * 40.0).alias("w")).collect()
+    assert np.allclose(np.array([r.w for r in got]).T, G.mel_weights(), atol=1e-12)
