@@ -383,6 +383,49 @@ def test_mixing_sub_cells(spark, monkeypatch):
         assert abs(r.t - r.g) <= 3 and r.m - r.k <= 1
 
 
+def numpy_rates(size, n, target, cap):
+    """The same dual solved alone, by bisection."""
+    mean = (size * n).sum() / n.sum()
+    words = lambda lam: (n * size * np.minimum(cap, np.exp(np.minimum(lam * size / mean, np.log(cap))))).sum()
+    lo, hi = -60.0 * mean / size.min(), 60.0 * mean / size.min()
+    for _ in range(300):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if words(mid) < target else (lo, mid)
+    return np.minimum(cap, np.exp(np.minimum(lo * size / mean, np.log(cap))))
+
+
+@pytest.mark.parametrize("long", [mixing.LONG, 30])
+def test_mixing_rates_against_a_solver(spark, monkeypatch, long):
+    """Multipliers of several sources, and copies that stay near along the sizes."""
+    monkeypatch.setattr(mixing, "LONG", long)
+    r = np.random.default_rng(6)
+    rows = [(s, int(z), int(k)) for s in ("a", "b", "c", None) for z, k in zip(*np.unique(r.geometric(0.01, 400), return_counts=True), strict=True)]
+    hist = stage(spark.createDataFrame(rows, "source string, size long, n long"), "t-hist")
+    targets = stage(mixing.source_targets(hist, (1, 2, 3), 3), "t-targets")
+    cells = mixing.tilts(hist, targets, 3).collect()
+    assert len(cells) == len(rows)
+    for t in targets.collect():
+        own = sorted((c for c in cells if c.source == t.source), key=lambda c: -c.size)
+        size, n, m = (np.array([getattr(c, k) for c in own], float) for k in ("size", "n", "m"))
+        rate = np.array([c.rate for c in own])
+        assert np.allclose(rate, numpy_rates(size, n, t.target, 3), rtol=1e-6)
+        assert (m <= 3 * n).all() and (m >= 0).all()
+        off = np.cumsum(m * size - n * size * rate)
+        assert np.abs(off).max() <= size.max() and abs((m * size).sum() - t.target) <= (size.min() if long > 1000 or size.min() < long else size.max() / 2) + 1
+
+
+def test_mixing_many_sizes_in_one_source(spark):
+    """A hundred thousand sizes: no single task has them all, and it ends soon."""
+    hist = stage(spark.range(1, 100_001).select(F.lit("s").alias("source"), F.col("id").alias("size"), (F.col("id") % 3 + 1).alias("n")).union(spark.sql("select 't', 5L, 10L")), "t-hist")
+    targets = stage(mixing.source_targets(hist, (1, 2, 3), 3), "t-targets")
+    start = time.time()
+    got = mixing.tilts(hist, targets, 3).groupBy("source").agg(F.sum(F.col("m") * F.col("size")).alias("w"), F.count(F.lit(1)).alias("k"))
+    by = {x.source: x for x in got.collect()}
+    want = {x.source: x.target for x in targets.collect()}
+    assert by["s"].k == 100_000 and abs(by["s"].w - want["s"]) <= 1 + mixing.CLOSE * want["s"] and abs(by["t"].w - want["t"]) <= 5
+    assert time.time() - start < 120
+
+
 # ------------------------------------------------------------- 7
 
 
