@@ -158,10 +158,32 @@ def percent_text(x: Column, digits: int = 1) -> Column:
     return F.when(x.isNull() | F.isnan(x), F.lit("—")).otherwise(F.concat(F.format_string(f"%.{digits}f", x * 100), F.lit("%")))
 
 
-def slug(name: Column, default: str = "upload") -> Column:
-    """A name for a folder: trimmed, blanks as underscores."""
+def number_text(x: Column, digits: int = 2) -> Column:
+    """A fixed number of digits, rounded from the binary value (exact halves to even), a dash for what is missing."""
+    return F.when(x.isNull() | F.isnan(x), F.lit("—")).otherwise(F.replace(F.format_number(x.cast("double"), digits), F.lit(","), F.lit("")))
+
+
+def slug(name: Column, default: str = "upload", suffix: Column | None = None) -> Column:
+    """A name for a folder: trimmed, blanks as underscores; ``suffix`` (``random_suffix`` for one that
+    is new each time) keeps equal names apart."""
     s = F.regexp_replace(F.trim(F.coalesce(name, F.lit(""))), r"\s+", "_")
-    return F.when(s == "", F.lit(default)).otherwise(s)
+    s = F.when(s == "", F.lit(default)).otherwise(s)
+    return s if suffix is None else F.concat(s, F.lit("_"), suffix)
+
+
+def random_suffix(n: int = 6) -> Column:
+    """``n`` random hex digits, new in each row and run."""
+    return F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, n)
+
+
+def pieces(text: Column) -> Column:
+    """What stands between blanks."""
+    return F.filter(F.split(text, " "), lambda t: t != "")
+
+
+def points(text: Column) -> Column:
+    """Single code points."""
+    return F.filter(F.split(text, ""), lambda c: c != "")
 
 
 def unit_label(lang: Column) -> Column:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions import ctc as C
 from ..functions import signal as G
 from ..plans.tables import spread, table
+from .relational import snr_label
 
 SIZE, HOP = 16, 4
 
@@ -76,15 +80,65 @@ def d06_samples(spark, d):
 
 # The generator with fifth powers written as (a**2 % p)**2 % p * a % p.
 _POW = lambda x: f"((({x}) * ({x}) % {G.PRIME}) * (({x}) * ({x}) % {G.PRIME}) % {G.PRIME} * ({x}) % {G.PRIME})"
-D06_SAMPLES = f"""WITH v AS (SELECT vec_id::BIGINT AS vec_id, y, unnest(range(0, 2 * len(y)))::BIGINT AS c FROM ({Y})),
+#: (vec_id, i, n): the standard normal sample of every place of a vector.
+NOISE = f"""(WITH v AS (SELECT vec_id::BIGINT AS vec_id, unnest(range(0, 2 * len(embedding)))::BIGINT AS c FROM embeddings),
 a AS (SELECT *, (vec_id % {G.PRIME} + 12345) % {G.PRIME} AS a, (vec_id % {G.PRIME} * 48271 + 97) % {G.PRIME} AS b FROM v),
-b AS (SELECT vec_id, y, c, ({_POW("a")} + c) % {G.PRIME} AS x, {_POW("b")} AS two FROM a),
-e AS (SELECT vec_id, y, c, ({_POW("x")} + two) % {G.PRIME} AS w FROM b), u AS (SELECT vec_id, y, c, ({_POW("w")} + 0.5::DOUBLE) / {G.PRIME} AS u FROM e),
-n AS (SELECT a.vec_id, a.y, a.c // 2 AS i, sqrt(-2 * ln(a.u)) * cos(2 * pi() * b.u) AS n FROM u a JOIN u b ON a.vec_id = b.vec_id AND b.c = a.c + 1 WHERE a.c % 2 = 0),
-s AS (SELECT *, sqrt((list_sum(list_transform(y, lambda v: v * v)) / len(y) + 1e-12) / 10) AS sigma FROM n)
+b AS (SELECT vec_id, c, ({_POW("a")} + c) % {G.PRIME} AS x, {_POW("b")} AS two FROM a),
+e AS (SELECT vec_id, c, ({_POW("x")} + two) % {G.PRIME} AS w FROM b), u AS (SELECT vec_id, c, ({_POW("w")} + 0.5::DOUBLE) / {G.PRIME} AS u FROM e)
+SELECT a.vec_id, a.c // 2 AS i, sqrt(-2 * ln(a.u)) * cos(2 * pi() * b.u) AS n FROM u a JOIN u b ON a.vec_id = b.vec_id AND b.c = a.c + 1 WHERE a.c % 2 = 0)"""
+_POWER = "list_sum(list_transform(y, lambda v: v * v)) / len(y) + 1e-12"
+D06_SAMPLES = f"""WITH s AS (SELECT vec_id, y, i, n, sqrt(({_POWER}) / 10) AS sigma FROM ({Y}) JOIN {NOISE} USING (vec_id))
 SELECT vec_id, round(sum(sigma * n * (i + 1)), 6) AS digest, round(any_value(y[1]) + max(CASE WHEN i = 0 THEN sigma * n END), 9) AS first FROM s GROUP BY vec_id"""
 
 
+def _heard_symbols(y):
+    return F.array_join(C.collapse(F.transform(y, lambda v: F.when(v > 0.1, 2).when(v < -0.1, 1).otherwise(0))), "")
+
+
+def a16_noise(spark, d):
+    """A noise sweep over samples: the symbols heard through noise at every level against those heard without,
+    with error rates by level."""
+    x = spread(table(spark, d, "embeddings")).select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("y"))
+    levels = F.array(*[F.lit(v).cast("double") for v in (None, 20.0, 10.0, 5.0, 0.0)])
+    x = x.select("vec_id", "y", F.explode(levels).alias("snr"))
+    z = F.when(F.col("snr").isNull(), F.col("y")).otherwise(G.noisy(F.col("y"), F.col("snr"), F.col("vec_id")))
+    x = x.select("snr", _heard_symbols(F.col("y")).alias("r"), _heard_symbols(z).alias("h"))
+    x = x.select(snr_label(F.col("snr")).alias("label"), F.levenshtein("r", "h").cast("long").alias("errors"), F.length("r").cast("long").alias("n"))
+    return x.groupBy("label").agg(F.sum("errors").alias("errors"), F.sum("n").alias("symbols")).select("label", "errors", "symbols", F.round(F.try_divide("errors", "symbols"), 9).alias("cer"))
+
+
+_SYMBOLS = """array_to_string(list_filter(list_transform({s}, lambda v, i: CASE WHEN i = 1 OR v <> {s}[i - 1] THEN v END), lambda v: v IS NOT NULL AND v <> 0), '')"""
+_SIGN = "lambda v: CASE WHEN v > 0.1 THEN 2 WHEN v < -0.1 THEN 1 ELSE 0 END"
+A16_NOISE = f"""WITH l AS (SELECT unnest(['clean', '20 dB', '10 dB', '5 dB', '0 dB']) AS label, unnest([NULL, 20.0, 10.0, 5.0, 0.0]) AS snr),
+s AS (SELECT vec_id, y, label, i, y[i + 1] + CASE WHEN snr IS NULL THEN 0 ELSE sqrt(({_POWER}) / pow(10, snr / 10)) * n END AS z FROM ({Y}) JOIN {NOISE} USING (vec_id), l),
+w AS (SELECT vec_id, label, any_value(y) AS y, list(z ORDER BY i) AS z FROM s GROUP BY ALL),
+q AS (SELECT label, list_transform(y, {_SIGN}) AS a, list_transform(z, {_SIGN}) AS b FROM w),
+t AS (SELECT label, {_SYMBOLS.format(s="a")} AS r, {_SYMBOLS.format(s="b")} AS h FROM q)
+SELECT label, sum(levenshtein(r, h))::BIGINT AS errors, sum(length(r))::BIGINT AS symbols, round(sum(levenshtein(r, h)) / sum(length(r)), 9) AS cer FROM t GROUP BY label"""
+
+
+def d02_values(spark, d):
+    """Samples of the vectors after resampling from half and from three quarters of the rate: sum, sum by place, and one sample."""
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def go(y: pd.Series, rate: pd.Series) -> pd.Series:
+        return pd.Series([G.resample(np.asarray(v), int(r)) for v, r in zip(y, rate, strict=True)])
+
+    x = _waves(spark, d).filter("vec_id % 4 = 0").withColumn("rate", F.when(F.col("vec_id") % 8 == 0, 8000).otherwise(12000)).withColumn("x", go("y", "rate"))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+    return x.select("vec_id", "rate", F.size("x").cast("long").alias("n"), F.round(total("x"), 6).alias("total"), F.round(total(F.transform("x", lambda v, i: v * i)), 5).alias("moment"), F.round(F.element_at("x", 21), 9).alias("one"))
+
+
+# The filter from its definition: a windowed sinc whose window is a ratio of Bessel series, at the distance of an output's place from each sample.
+D02_VALUES = f"""WITH r AS (SELECT * FROM (VALUES (8000, 2, 1), (12000, 4, 3)) t(rate, up, down)),
+h AS (SELECT rate, up, down, t, CASE WHEN t = 0 THEN 1 ELSE sin(pi() * t / up) / (pi() * t / up) END / up * list_sum(list_transform(range(0, 40), lambda k: pow(2.5 * sqrt(greatest(0, 1 - pow(t / (10.0 * up), 2))), 2 * k) / pow(gamma(k + 1), 2)))
+  / list_sum(list_transform(range(0, 40), lambda k: pow(2.5, 2 * k) / pow(gamma(k + 1), 2))) AS h FROM (SELECT *, unnest(range(-10 * up, 10 * up + 1)) AS t FROM r)),
+g AS (SELECT *, up * h / sum(h) OVER (PARTITION BY rate) AS g FROM h),
+v AS (SELECT vec_id, CASE WHEN vec_id % 8 = 0 THEN 8000 ELSE 12000 END AS rate, y, unnest(range(0, len(y))) AS j FROM ({Y}) WHERE vec_id % 4 = 0),
+o AS (SELECT vec_id, v.rate, (v.j * up + t) // down AS k, sum(y[v.j + 1] * g) AS x FROM v JOIN g ON g.rate = v.rate AND (v.j * up + t) % down = 0 AND v.j * up + t >= 0 AND (v.j * up + t) // down < ceil(len(y) * up / down) GROUP BY ALL)
+SELECT vec_id, rate, count(*) AS n, round(sum(x), 6) AS total, round(sum(x * k), 5) AS moment, round(max(CASE WHEN k = 20 THEN x END), 9) AS one FROM o GROUP BY ALL"""
+
+
 def d01(spark, d):
     """Downmix of a vector and its reverse."""
     x = _waves(spark, d).select("vec_id", G.downmix(F.array("y", F.reverse("y"))).alias("m"))
@@ -201,7 +255,7 @@ s AS (SELECT vec_id, CASE WHEN a > 0 THEN a::VARCHAR ELSE '' END || CASE WHEN b
 SELECT vec_id, symbols, round(ln(p), 6) AS log_p FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY p DESC) = 1"""
 
 _NAMES = {
-    "w01_frames": "w01", "d01_downmix": "d01", "d03_frame_db": "d03", "d04_trim": "d04", "d05_peak": "d05", "d06_noise_level": "d06", "d06_noise_samples": "d06_samples", "d07_mel_scale": "d07", "d08_filter_bank": "d08",
+    "w01_frames": "w01", "d01_downmix": "d01", "d03_frame_db": "d03", "d04_trim": "d04", "d05_peak": "d05", "d06_noise_level": "d06", "d06_noise_samples": "d06_samples", "a16_noise_errors": "a16_noise", "d02_resample_values": "d02_values", "d07_mel_scale": "d07", "d08_filter_bank": "d08",
     "d12_pcm16": "d12", "d13_chunks": "d13", "d14_envelope": "d14", "d15_padding": "d15", "a11_moments": "a11", "x07_ctc_collapse": "x07", "x07_ctc_greedy": "x07_greedy", "x07_ctc_beam": "x07_beam",
 }
 QUERIES = {k: globals()[v] for k, v in _NAMES.items()}

@@ -115,6 +115,26 @@ def t19(spark, d):
 T19 = "SELECT coalesce(printf('%.0f', l_discount * 100) || '%', '—') AS label, count(*) AS n FROM lineitem GROUP BY l_discount"
 
 
+def t19_numbers(spark, d):
+    """Numbers with two digits, every fifth missing or not a number."""
+    k = F.col("p_partkey")
+    x = F.when(k % 10 == 0, F.lit(float("nan"))).when(k % 5 != 0, F.col("p_retailprice") / 8)
+    return table(spark, d, "part").select("p_partkey", X.number_text(x).alias("label"))
+
+
+T19_NUMBERS = "SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN '—' ELSE printf('%.2f', p_retailprice / 8) END AS label FROM part"
+
+
+def t20_suffix(spark, d):
+    """Names that a suffix keeps apart."""
+    x = table(spark, d, "supplier")
+    return x.select("s_suppkey", X.slug(F.when(F.col("s_suppkey") % 4 != 0, F.col("s_name")), "upload", F.substring(F.md5(F.col("s_suppkey").cast("string")), 1, 6)).alias("slug"))
+
+
+T20_SUFFIX = r"""SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 OR trim(s_name) = '' THEN 'upload' ELSE regexp_replace(trim(s_name), '\s+', '_', 'g') END || '_' || substr(md5(s_suppkey::VARCHAR), 1, 6) AS slug
+FROM supplier"""
+
+
 def t20(spark, d):
     return table(spark, d, "part").select("p_partkey", X.slug(F.concat(F.lit("  "), F.col("p_name"), F.lit("  "))).alias("slug"))
 
@@ -141,13 +161,23 @@ T22 = """SELECT event_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_
 
 def t23(spark, d):
     """Interface tokens: pieces between blanks, and code points."""
-    pieces = F.filter(F.split("text", " "), lambda t: t != "")
-    return table(spark, d, "documents").select("doc_id", F.size(pieces).cast("long").alias("pieces"), F.length("text").cast("long").alias("points"))
+    return table(spark, d, "documents").select("doc_id", F.size(X.pieces(F.col("text"))).cast("long").alias("pieces"), F.length("text").cast("long").alias("points"))
 
 
 T23 = "SELECT doc_id, len(list_filter(string_split(text, ' '), lambda t: t <> ''))::BIGINT AS pieces, length(text)::BIGINT AS points FROM documents"
 
 
+def t23_digests(spark, d):
+    """The tokens themselves: pieces of all texts, code points of the benchmark's, joined and hashed."""
+    docs = table(spark, d, "documents").select(F.lit("pieces").alias("kind"), F.col("doc_id").alias("id"), F.md5(F.array_join(X.pieces(F.col("text")), "|")).alias("digest"))
+    marks = table(spark, d, "benchmark").select(F.lit("points").alias("kind"), F.col("item_id").alias("id"), F.md5(F.array_join(X.points(F.col("text")), "|")).alias("digest"))
+    return docs.unionByName(marks)
+
+
+T23_DIGESTS = """SELECT 'pieces' AS kind, doc_id AS id, md5(array_to_string(list_filter(string_split(text, ' '), lambda t: t <> ''), '|')) AS digest FROM documents
+UNION ALL SELECT 'points', item_id, md5(array_to_string(string_split(text, ''), '|')) FROM benchmark"""
+
+
 def a19(spark, d):
     """Words and non-blank characters of every text."""
     c = table(spark, d, "conversations")
@@ -173,7 +203,7 @@ QUERIES = {
     "t09_number_words": _digest("doc_id", "documents", X.spell_numbers),
     "t12_collapse": _digest("doc_id", "documents", X.collapse),
     "t13_normalize": t13, "t15_first_blank": t15, "t16_path_parts": t16, "t17_lower": _digest("item_id", "benchmark", F.lower),
-    "t18_html_escape": t18, "t19_percent_label": t19, "t20_slug": t20, "t21_worker_pid": t21, "t22_seed": t22, "t23_pieces": t23,
+    "t18_html_escape": t18, "t19_percent_label": t19, "t19_number_label": t19_numbers, "t20_slug": t20, "t20_slug_suffix": t20_suffix, "t23_digests": t23_digests, "t21_worker_pid": t21, "t22_seed": t22, "t23_pieces": t23,
     "a19_text_lengths": a19, "p10_suffix_filter": p10,
 }
 ORACLE = {
@@ -185,6 +215,6 @@ ORACLE = {
     "t09_number_words": _digest_sql("doc_id", "documents", spell_sql),
     "t12_collapse": _digest_sql("doc_id", "documents", collapse_sql),
     "t13_normalize": T13, "t15_first_blank": T15, "t16_path_parts": T16, "t17_lower": _digest_sql("item_id", "benchmark", lambda x: f"lower({x})"),
-    "t18_html_escape": T18, "t19_percent_label": T19, "t20_slug": T20, "t21_worker_pid": T21, "t22_seed": T22, "t23_pieces": T23,
+    "t18_html_escape": T18, "t19_percent_label": T19, "t19_number_label": T19_NUMBERS, "t20_slug": T20, "t20_slug_suffix": T20_SUFFIX, "t23_digests": T23_DIGESTS, "t21_worker_pid": T21, "t22_seed": T22, "t23_pieces": T23,
     "a19_text_lengths": A19, "p10_suffix_filter": P10,
 }
