@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+from .writers import upload_manifest
+
 
 @dataclass
 class Staged(WriterCommitMessage):
@@ -77,6 +79,14 @@ class StagedWriter(DataSourceWriter):
         raise NotImplementedError
 
 
+def put_text(staging: str, target: str, name: str, text: str) -> None:
+    """A whole file at once, by renaming."""
+    at = os.path.join(staging, name)
+    with open(at, "w", encoding="utf-8") as out:
+        out.write(text)
+    os.replace(at, os.path.join(target, name))
+
+
 class ArchiveWriter(StagedWriter):
     """A tar archive a task, of rows (member, content)."""
 
@@ -118,20 +128,43 @@ class ExperimentWriter(StagedWriter):
     def show(self, payload: dict) -> None:
         stamp = "".join(c if c.isdigit() else "" for c in str(payload.get("created", "")))[:14]
         name = f"{payload['kind']}_{stamp[:8]}_{stamp[8:]}"
-        self._put(name + ".json", json.dumps(payload, indent=1, ensure_ascii=False))
+        put_text(self.staging, self.target, name + ".json", json.dumps(payload, indent=1, ensure_ascii=False))
         for part in ("runs", "points"):
             if payload.get(part):
                 text = io.StringIO()
                 table = csv.DictWriter(text, list(dict.fromkeys(k for row in payload[part] for k in row)), lineterminator="\n")
                 table.writeheader()
                 table.writerows(payload[part])
-                self._put(name + ".csv", text.getvalue())
+                put_text(self.staging, self.target, name + ".csv", text.getvalue())
+
+
+class UploadWriter(StagedWriter):
+    """Audio files under their own names and a manifest of them, of rows (id, path, reference, language, content)."""
+
+    COLUMNS = ("id", "path", "reference", "language")
+
+    def fill(self, file: str, rows: Iterator[Row]) -> int:
+        n = 0
+        with open(file, "w", encoding="utf-8") as out:
+            for r in rows:
+                n += 1
+                with open(f"{file}.{n}", "wb") as audio:
+                    audio.write(bytes(r["content"]))
+                out.write(json.dumps([f"{file}.{n}", *(r[c] for c in self.COLUMNS)]) + "\n")
+        return n
 
-    def _put(self, name: str, text: str) -> None:
-        at = os.path.join(self.staging, name)
-        with open(at, "w", encoding="utf-8") as out:
-            out.write(text)
-        os.replace(at, os.path.join(self.target, name))
+    def place(self, files: list[str]) -> None:
+        rows = []
+        for f in files:
+            with open(f, encoding="utf-8") as lines:
+                rows += map(json.loads, lines)
+        for staged, _, path, *_ in rows:
+            os.replace(staged, os.path.join(self.target, os.path.basename(path)))
+        text = io.StringIO()
+        table = csv.writer(text, lineterminator="\n")
+        table.writerow(self.COLUMNS)
+        table.writerows(sorted((r[1:] for r in rows), key=lambda r: r[1]))
+        put_text(self.staging, self.target, "manifest.csv", text.getvalue())
 
 
 class ArchiveSink(DataSource):
@@ -143,6 +176,15 @@ class ArchiveSink(DataSource):
         return ArchiveWriter(self.options)
 
 
+class UploadSink(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "upload_sink"
+
+    def writer(self, schema, overwrite: bool) -> StagedWriter:
+        return UploadWriter(self.options)
+
+
 class ExperimentSink(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -167,3 +209,17 @@ def save_experiment(payload: DataFrame, path: str) -> None:
     """Payload rows (kind, created, runs or points, ...) as ``<kind>_<date>_<time>.json`` and, where they have
     runs or points, ``.csv`` beside it.  The same payload again replaces its files."""
     _save(payload.select(F.to_json(F.struct(*payload.columns), {"ignoreNullFields": "false"}).alias("payload")), ExperimentSink, path)
+
+
+def save_upload(files: DataFrame, path: str) -> None:
+    """Uploaded files (name, content): audio under its own names and ``manifest.csv`` with the references of the
+    text files beside it.  Names without audio among them, or one name twice, are refused before anything is written."""
+    base = files.select(F.element_at(F.split("name", "/"), -1).alias("name"), "content")
+    texts = base.filter(F.endswith(F.lower("name"), F.lit(".txt"))).select("name", F.decode("content", "utf-8").alias("value"))
+    rows = upload_manifest(base.select("name"), texts)
+    twice = rows.groupBy("path").count().filter("count > 1").orderBy("path").first()
+    if twice:
+        raise ValueError(f"{twice.path} was uploaded twice")
+    if rows.isEmpty():
+        raise ValueError("no audio among the uploaded files")
+    _save(rows.join(base, F.col("path") == F.col("name")).select(*UploadWriter.COLUMNS, "content"), UploadSink, path)

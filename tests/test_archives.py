@@ -188,3 +188,20 @@ def test_experiment_sink(spark, tmp_path):
         assert sorted(p.name for p in (tmp_path / "r").iterdir()) == ["noise_20240506_070809.csv", "noise_20240506_070809.json"]
     assert (tmp_path / "r" / "noise_20240506_070809.csv").read_text() == "label,wer\nclean,0.5\n5 dB,\n"
     assert [r.file for r in readers.result_history(spark, str(tmp_path / "r")).collect()] == ["noise_20240506_070809.json"]
+
+
+def test_upload_sink(spark, tmp_path):
+    files = [("b/one.wav", b"1"), ("two.FLAC", b"22"), ("one.txt", " first text \n".encode()), ("list.csv", b"x"), ("three.ogg", b"")]
+    df = spark.createDataFrame([(n, bytearray(d)) for n, d in files], "name string, content binary").repartition(3)
+    for _ in range(2):
+        sinks.save_upload(df, str(tmp_path / "up"))
+        assert sorted(p.name for p in (tmp_path / "up").iterdir()) == ["manifest.csv", "one.wav", "three.ogg", "two.FLAC"]
+    assert (tmp_path / "up/two.FLAC").read_bytes() == b"22"
+    rows = {r.id: r for r in readers.read_manifest(spark, str(tmp_path / "up/manifest.csv")).collect()}
+    assert rows["one"].reference == "first text" and rows["one"].path == str(tmp_path / "up/one.wav") and rows["two"].reference == ""
+    for bad in (df.filter("name like '%.csv' or name like '%.txt'"), df.unionByName(df)):
+        with pytest.raises(ValueError):
+            sinks.save_upload(bad, str(tmp_path / "none"))
+    with pytest.raises(Exception):
+        sinks.save_upload(df.withColumn("content", F.when(F.col("name") == "two.FLAC", F.raise_error(F.lit("stop"))).otherwise(F.col("content"))), str(tmp_path / "none"))
+    assert not (tmp_path / "none").exists()
