@@ -71,7 +71,7 @@ def small_table(df: DataFrame, staged: DataFrame | None = None) -> DataFrame:
     broadcast if the values of that table take at most ``SMALL_BYTES``; beyond that its join shuffles
     both sides."""
     held = df if staged is None else staged
-    width = sum((F.octet_length(f"`{c}`") if t == "string" else F.lit(0) for c, t in held.dtypes), F.lit(16 + 8 * len(held.columns)))
+    width = sum((F.octet_length(f"`{c}`") if t in ("string", "binary") else F.lit(0) for c, t in held.dtypes), F.lit(16 + 8 * len(held.columns)))
     size = held.agg(F.sum(F.coalesce(width, F.lit(64)).cast("long"))).first()[0] or 0
     return F.broadcast(df) if size <= SMALL_BYTES else df
 

@@ -2,18 +2,21 @@
 
 1. Equal sets are one node, named by a 64-bit hash of the set.  A node carries its
    SimHash, its row of the pivot table (Hamming distances to the reference fingerprints)
-   and ``MINIMA`` minima of hash functions over its shingles, one byte of each.
+   and ``MINIMA`` minima of hash functions over its shingles, one byte of each, and four bytes
+   of the key of each of its bands.
 2. Bands of the minima propose pairs: ``BANDS`` keys of ``ROWS`` minima.  A pair of
    similarity 0.8 shares none with probability (1 - 0.8**6)**32 = 6e-5.
 3. Inside a band the pivot rows discard pairs by their maximum coordinate difference, the
    fingerprints by their distance, and the minima estimate the similarity of survivors.
    ``REACH`` bits are five standard deviations above the distance expected at 0.8;
-   an estimate ``SLACK`` under the threshold is four below it.
+   an estimate ``SLACK`` under the threshold is three and a half below it.
 4. Survivors are verified by their true similarity.  First only the edges of a spanning
-   forest of the largest estimates are; what they link is one component.  Then every
-   surviving pair between different components is verified, so no pair that steps 2 and 3
-   leave is lost.  A band costs its members outside its largest component times all of
-   them, so a group of copies costs about its size.
+   forest of the largest estimates are; what they link is one component.  Then, of every
+   member outside a band's largest component, the best partner in each other component.
+   At last every surviving pair between components that are still apart, once, in the first band
+   it shares (two keys that differ agree in four bytes with probability 2e-10), so no pair
+   that steps 2 and 3 leave is lost.  A band costs its members outside its largest component times
+   all of them, so a group of copies costs about its size.
 
 Defined cases: sets are of lower-cased words parted by white space; null text is empty;
 texts without words are equal; fewer words than a shingle give one shingle; repeated rows
@@ -30,13 +33,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, small_side, stage
+from .common import partitions, small_side, small_table, stage
 from .components import components, name_rows
 from .tokens import shingle_hashes, slices_of, word_hashes
 
 SEED, BANDS, ROWS, PIVOTS = 42, 32, 6, 16
 MINIMA = BANDS * ROWS
-REACH, SLACK = 24, 0.12
+REACH, SLACK = 24, 0.1
 #: Pairs a task holds before it hands them on.
 PAIRS = 1 << 16
 #: Members of a band compared together; of what was linked before, one stands for all.
@@ -94,12 +97,14 @@ def bands(least: np.ndarray) -> np.ndarray:
     return key
 
 
+#: Bytes of marks: pivot distances, minima, band keys.
+_KEYS = PIVOTS + MINIMA
 MARKS = "row long, fp long, sim long, marks binary, bands array<long>"
 
 
 def marked(rows: DataFrame, shingle: int) -> DataFrame:
-    """row, fp (the set's hash), sim, marks (pivot distances, then a byte of each
-    minimum), bands (none for an empty set); ``rows``: row, text."""
+    """row, fp (the set's hash), sim, marks (pivot distances, a byte of each minimum, four of
+    each band's key), bands (none for an empty set); ``rows``: row, text."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -111,7 +116,8 @@ def marked(rows: DataFrame, shingle: int) -> DataFrame:
             small = [((m * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8) for m in least]
             keys = [bands(m).view(np.int64) if len(s) else np.zeros(0, np.int64) for s, m in zip(sets, least, strict=True)]
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
-            blobs = pa.array([p.tobytes() + m.tobytes() for p, m in zip(far, small, strict=True)], pa.binary())
+            short = [k.astype(np.uint32) if len(k) else np.zeros(BANDS, np.uint32) for k in keys]
+            blobs = pa.array([p.tobytes() + m.tobytes() + k.tobytes() for p, m, k in zip(far, small, short, strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(fps.view(np.int64)), pa.array(sims.view(np.int64)), blobs, lists], ["row", "fp", "sim", "marks", "bands"]
             )
@@ -120,23 +126,27 @@ def marked(rows: DataFrame, shingle: int) -> DataFrame:
 
 
 class Members:
-    """Nodes of one band: names, components, fingerprints, pivot rows, bytes of minima."""
+    """Nodes of one band: names, components, fingerprints, pivot rows, bytes of minima, band keys."""
+
+    FIELDS = ("fp", "label", "sim", "far", "small", "keys")
 
     def __init__(self, fp, label, sim, marks):
         self.fp, self.label, self.sim = fp, label, sim
-        self.far, self.small = marks[:, :PIVOTS].astype(np.int8), marks[:, PIVOTS:]
+        self.far, self.small = marks[:, :PIVOTS].astype(np.int8), marks[:, PIVOTS:_KEYS]
+        self.keys = np.ascontiguousarray(marks[:, _KEYS:]).view(np.uint32)
+
+    @classmethod
+    def _of(cls, fields) -> Members:
+        out = object.__new__(cls)
+        for name, x in zip(cls.FIELDS, fields, strict=True):
+            setattr(out, name, x)
+        return out
 
     def take(self, at: np.ndarray) -> Members:
-        out = object.__new__(Members)
-        out.fp, out.label, out.sim, out.far, out.small = (x[at] for x in (self.fp, self.label, self.sim, self.far, self.small))
-        return out
+        return self._of(getattr(self, name)[at] for name in self.FIELDS)
 
     def join(self, other: Members) -> Members:
-        out = object.__new__(Members)
-        out.fp, out.label, out.sim, out.far, out.small = (
-            np.concatenate(x) for x in ((self.fp, other.fp), (self.label, other.label), (self.sim, other.sim), (self.far, other.far), (self.small, other.small))
-        )
-        return out
+        return self._of(np.concatenate([getattr(self, name), getattr(other, name)]) for name in self.FIELDS)
 
     def near(self, i: int, others: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
         """Of ``others`` those that may be as similar to ``i``, and the estimates."""
@@ -176,49 +186,57 @@ def forest(m: Members, least: float) -> tuple[list[tuple[int, int]], np.ndarray]
     return edges, np.array(stands, np.int64)
 
 
-def crossing(m: Members, least: float) -> Iterator[tuple[int, np.ndarray]]:
-    """(member, others): all pairs between different labels that may be similar.  The largest
-    label's members are only compared with the rest, never among themselves."""
+def crossing(m: Members, least: float, place: int | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """(member, others): pairs between different labels that may be similar.  Members of the largest
+    label are only compared with the rest, never among themselves.
+
+    Given the ``place`` of the band, all pairs that share no band before it; without, of every member
+    compared the best partner in each other label."""
     names, of, sizes = np.unique(m.label, return_inverse=True, return_counts=True)
     largest = of == int(np.argmax(sizes)) if len(names) else np.zeros(0, bool)
     order = np.concatenate([np.flatnonzero(~largest), np.flatnonzero(largest)])
     m, of = m.take(order), of[order]
     for i in range(int((~largest).sum())):
         later = np.arange(i + 1, len(order))
-        at, _ = m.near(i, later[of[later] != of[i]], least)
+        at, value = m.near(i, later[of[later] != of[i]], least)
+        if place is None:
+            best = at[np.argsort(-value, kind="stable")]
+            at = best[np.unique(of[best], return_index=True)[1]]
+        elif len(at):
+            at = at[~(m.keys[at, :place] == m.keys[i, :place]).any(axis=1)]
         if len(at):
             yield int(order[i]), order[at]
 
 
 def shared_bands(nodes: DataFrame) -> DataFrame:
-    """(band, fp): the bands that several nodes have."""
-    keys = nodes.select("fp", F.explode("bands").alias("band"))
+    """(band, place, fp): the bands that several nodes have."""
+    keys = nodes.select("fp", F.posexplode("bands").alias("place", "band"))
     n = F.count(F.lit(1)).over(Window.partitionBy("band"))
-    return keys.withColumn("n", n).filter("n > 1").select("band", "fp")
+    return keys.withColumn("n", n).filter("n > 1").select("band", "place", "fp")
 
 
-def proposed(met: DataFrame, nodes: DataFrame, labels: DataFrame | None, similarity: float) -> DataFrame:
+def proposed(met: DataFrame, nodes: DataFrame, labels: DataFrame | None, similarity: float, every: bool = False) -> DataFrame:
     """(u, v): pairs of nodes that share a band (``met``) and may be similar: the edges of
-    forests, or, given the components they made (``labels``), all pairs between those."""
+    forests, or, given the components found so far (``labels``), best or all pairs between those."""
     spark = nodes.sparkSession
     if labels is None:
         met = met.withColumn("label", F.col("fp"))
     else:
-        met = met.join(labels, F.col("fp") == F.col("node"), "left").select("band", "fp", F.coalesce("label", "fp").alias("label"))
+        met = met.join(labels, F.col("fp") == F.col("node"), "left").select("band", "place", "fp", F.coalesce("label", "fp").alias("label"))
         several = Window.partitionBy("band")
         met = met.withColumn("a", F.min("label").over(several)).withColumn("b", F.max("label").over(several)).filter("a < b")
     met = met.join(nodes.select(F.col("fp").alias("f2"), "sim", "marks"), F.col("fp") == F.col("f2"))
-    met = met.select("band", "label", "fp", "sim", "marks").repartition(partitions(spark, nodes), "band").sortWithinPartitions("band", "fp")
-    least, every = similarity - SLACK, labels is not None
+    met = met.select("band", "label", "fp", "sim", "marks", "place").repartition(partitions(spark, nodes), "band").sortWithinPartitions("band", "fp")
+    least, grown = similarity - SLACK, labels is not None
 
-    def edges(m: Members) -> Iterator[pa.RecordBatch]:
+    def edges(m: Members, place: int) -> Iterator[pa.RecordBatch]:
         def batch(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
             u, v = (np.concatenate([x[k] for x in pairs]) for k in range(2))
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
 
         held, size, n = [], 0, len(m.fp)
-        if every:
-            for i, others in crossing(m, least):
+        if grown:
+            for i, others in crossing(m, least, place if every else None):
                 held.append((np.full(len(others), m.fp[i]), m.fp[others]))
                 size += len(others)
                 if size >= PAIRS:
@@ -240,18 +258,18 @@ def proposed(met: DataFrame, nodes: DataFrame, labels: DataFrame | None, similar
         held: list[tuple] = []
 
         def groups(last: bool) -> Iterator[pa.RecordBatch]:
-            band, label, fp, sim, marks = (np.concatenate(x) for x in zip(*held, strict=True))
+            band, label, fp, sim, marks, place = (np.concatenate(x) for x in zip(*held, strict=True))
             cut = len(band) if last else int(np.searchsorted(band, band[-1]))
             begin = np.flatnonzero(np.concatenate([[True], band[1:cut] != band[: max(cut - 1, 0)]])) if cut else []
             for a, b in zip(begin, [*begin[1:], cut], strict=True):
                 if b - a > 1:
-                    yield from edges(Members(fp[a:b], label[a:b], sim[a:b], marks[a:b]))
-            held[:] = [(band[cut:], label[cut:], fp[cut:], sim[cut:], marks[cut:])] if cut < len(band) else []
+                    yield from edges(Members(fp[a:b], label[a:b], sim[a:b], marks[a:b]), int(place[a]))
+            held[:] = [(band[cut:], label[cut:], fp[cut:], sim[cut:], marks[cut:], place[cut:])] if cut < len(band) else []
 
         for b in batches:
             if b.num_rows:
                 blob = np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint8).reshape(b.num_rows, -1)
-                held.append((*(b.column(i).to_numpy() for i in range(3)), b.column(3).to_numpy().view(np.uint64), blob))
+                held.append((*(b.column(i).to_numpy() for i in range(3)), b.column(3).to_numpy().view(np.uint64), blob, b.column(5).to_numpy()))
                 if sum(len(h[0]) for h in held) > 1 << 15:
                     yield from groups(False)
         if held:
@@ -271,9 +289,11 @@ def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, shingle: int,
             own = [s.tobytes() for s in shingle_sets(b.column(1).cast(pa.binary()).to_pylist(), shingle)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.binary())], ["f", "own"])
 
+    # Few sets stand in many pairs where near copies are many; then they go to the pairs, not pairs to them.
     held = stage(texts.mapInArrow(sets, "f long, own binary"), "similar-sets")
-    both = pairs.join(held, F.col("u") == F.col("f")).select("u", "v", F.col("own").alias("a"))
-    both = both.join(held, F.col("v") == F.col("f")).select("u", "v", "a", F.col("own").alias("b"))
+    few = small_table(held)
+    both = pairs.join(few, F.col("u") == F.col("f")).select("u", "v", F.col("own").alias("a"))
+    both = both.join(few, F.col("v") == F.col("f")).select("u", "v", "a", F.col("own").alias("b"))
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -301,8 +321,10 @@ def similar_rows(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
         return stage(verified(pairs, nodes, rows, shingle, similarity), "similar-links")
 
     met = stage(shared_bands(nodes), "similar-bands")
-    first = stage(proposed(met, nodes, None, similarity), "similar-pairs")
-    links = check(first)
-    rest = stage(proposed(met, nodes, components(links), similarity).join(first, ["u", "v"], "left_anti"), "similar-pairs")
-    labels = components(links.unionByName(check(rest)))
-    return name_rows(found.select("row", "fp"), nodes.select("fp", "n", "least"), labels)
+    tried = stage(proposed(met, nodes, None, similarity), "similar-pairs")
+    links = check(tried)
+    for every in (False, True):
+        more = proposed(met, nodes, components(links), similarity, every).join(tried, ["u", "v"], "left_anti")
+        more = stage(more, "similar-pairs")
+        links, tried = links.unionByName(check(more)), tried.unionByName(more)
+    return name_rows(found.select("row", "fp"), nodes.select("fp", "n", "least"), components(links))

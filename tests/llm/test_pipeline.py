@@ -140,7 +140,8 @@ def test_forest_spans_what_crossing_finds():
     sets = [np.unique(np.concatenate([rng.choice(base[:60], rng.integers(40, 60), False), rng.choice(base, 4)])) for _ in range(80)]
     sim = np.array([similar.simhash(s) for s in sets], np.uint64)
     far = np.bitwise_count(sim[:, None] ^ similar.PIVOT[None, :]).astype(np.uint8)
-    marks = np.stack([np.concatenate([f, (similar.minima(s) >> np.uint32(24)).astype(np.uint8)]) for f, s in zip(far, sets, strict=True)])
+    keys = np.stack([similar.bands(similar.minima(s)).astype(np.uint32) for s in sets])
+    marks = np.stack([np.concatenate([f, (similar.minima(s) >> np.uint32(24)).astype(np.uint8), k.view(np.uint8)]) for f, s, k in zip(far, sets, keys, strict=True)])
     label = np.repeat(np.arange(40), 2)
     m = similar.Members(np.arange(80), label, sim, marks)
     edges, stands = similar.forest(m, 0.7)
@@ -148,9 +149,15 @@ def test_forest_spans_what_crossing_finds():
     for i, j in edges:
         assert root[i] != root[j]
         root[root == root[i]] = root[j]
-    pairs = [(i, j) for i, others in similar.crossing(m, 0.7) for j in others.tolist()]
+    listed = lambda *a: [(i, j) for i, others in similar.crossing(m, 0.7, *a) for j in others.tolist()]
+    pairs, best = listed(0), listed()
     alike = {(min(i, j), max(i, j)) for i in range(80) for j in m.near(i, np.arange(80), 0.7)[0].tolist() if label[i] != label[j]}
     assert len(pairs) == len(alike) and {(min(p), max(p)) for p in pairs} == alike
+    # A pair is listed in the first band it shares; the best of each label are among all.
+    for place in range(similar.BANDS):
+        fresh = {p for p in alike if not (keys[p[0], :place] == keys[p[1], :place]).any()}
+        assert {(min(p), max(p)) for p in listed(place)} == fresh
+    assert {(i, label[j]) for i, j in best} == {(i, label[j]) for i, j in pairs} and set(best) <= set(pairs) and len(best) == len({(i, label[j]) for i, j in best})
     assert pairs and all(root[i] == root[j] for i, j in pairs) and len(stands) == len(set(root.tolist()))
 
 
@@ -159,7 +166,8 @@ def marks_of(sets):
     far = np.bitwise_count(sim[:, None] ^ similar.PIVOT[None, :]).astype(np.uint8)
     least = [similar.minima(s) for s in sets]
     small = [((m * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8) for m in least]
-    return sim, np.stack([np.concatenate([a, b]) for a, b in zip(far, small, strict=True)]), [similar.bands(m) for m in least]
+    keys = [similar.bands(m) for m in least]
+    return sim, np.stack([np.concatenate([a, b, k.astype(np.uint32).view(np.uint8)]) for a, b, k in zip(far, small, keys, strict=True)]), keys
 
 
 def test_no_pair_at_the_threshold_is_lost():
@@ -174,8 +182,8 @@ def test_no_pair_at_the_threshold_is_lost():
             a, b = np.sort(base[:n]), np.sort(base[n - common :])
             sim, marks, keys = marks_of([a, b])
             m = similar.Members(np.array([1, 2]), np.array([1, 2]), sim, marks)
-            met = bool((keys[0] == keys[1]).any())
-            lost[share] += not (met and list(similar.crossing(m, 0.8 - similar.SLACK)))
+            place = np.flatnonzero(keys[0] == keys[1])
+            lost[share] += not (len(place) and list(similar.crossing(m, 0.8 - similar.SLACK, int(place[0]))))
     assert lost[0.8] <= 1 and lost[0.85] == lost[0.9] == 0, lost
 
 
@@ -190,6 +198,6 @@ def test_large_band_costs_its_outsiders():
     label = np.where(np.arange(n) % 20_000 == 7, np.arange(n), 3)
     m = similar.Members(np.arange(n), label, np.repeat(sim, n), np.repeat(marks, n, axis=0))
     start = time.time()
-    pairs = sum(len(x) for _, x in similar.crossing(m, 0.7))
+    pairs = sum(len(x) for _, x in similar.crossing(m, 0.7, 0))
     outside = int((label != 3).sum())
     assert pairs == outside * (n - outside) + outside * (outside - 1) // 2 and time.time() - start < 20
