@@ -66,14 +66,16 @@ def small_side(staged: DataFrame) -> DataFrame:
 SMALL_BYTES = 32 << 20
 
 
+def is_small(staged: DataFrame) -> bool:
+    """Whether the values of a staged table take at most ``SMALL_BYTES``."""
+    width = sum((F.octet_length(f"`{c}`") if t in ("string", "binary") else F.lit(0) for c, t in staged.dtypes), F.lit(16 + 8 * len(staged.columns)))
+    return (staged.agg(F.sum(F.coalesce(width, F.lit(64)).cast("long"))).first()[0] or 0) <= SMALL_BYTES
+
+
 def small_table(df: DataFrame, staged: DataFrame | None = None) -> DataFrame:
     """``df``, made of the staged table ``staged`` (itself if none is given) without more rows, to be
-    broadcast if the values of that table take at most ``SMALL_BYTES``; beyond that its join shuffles
-    both sides."""
-    held = df if staged is None else staged
-    width = sum((F.octet_length(f"`{c}`") if t in ("string", "binary") else F.lit(0) for c, t in held.dtypes), F.lit(16 + 8 * len(held.columns)))
-    size = held.agg(F.sum(F.coalesce(width, F.lit(64)).cast("long"))).first()[0] or 0
-    return F.broadcast(df) if size <= SMALL_BYTES else df
+    broadcast if that table ``is_small``; beyond that its join shuffles both sides."""
+    return F.broadcast(df) if is_small(df if staged is None else staged) else df
 
 
 def extended(fields: T.StructType, ddl: str) -> T.StructType:

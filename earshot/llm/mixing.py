@@ -29,7 +29,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small_table, stage, table, word_count
+from .common import is_small, small_table, stage, table, word_count
 
 #: Newton steps; each keeps a bracket, so 60 also bound pure bisection.
 NEWTON_STEPS = 60
@@ -80,16 +80,23 @@ def rate(size, mean, lam, cap: float):
 def solve(hist: DataFrame, targets: DataFrame, cap: float) -> DataFrame:
     """(source, mean, lam): the multipliers, by Newton steps on aggregates of ``hist``."""
     log_cap = F.log(F.lit(float(cap)))
-    least = hist.filter("size > 0").groupBy(F.col("source").alias("s0")).agg(F.min("size").alias("least"))
+    exact = lambda c: F.sum(c.cast("decimal(30,8)")).cast("double")
+    squares = exact(F.col("n") * F.col("size").cast("double") * F.col("size"))
+    least = hist.filter("size > 0").groupBy(F.col("source").alias("s0")).agg(F.min("size").alias("least"), squares.alias("squares"))
     x = targets.filter("source_size > 0").join(least, _same("source", "s0")).select(
-        "source", "target", (F.col("source_size") / F.col("docs")).alias("mean"), "least", F.log(F.col("target") / F.col("source_size")).alias("log_rate")
+        "source", "target", (F.col("source_size") / F.col("docs")).alias("mean"), "least", F.log(F.col("target") / F.col("source_size")).alias("log_rate"),
+        (F.col("squares") / F.col("source_size")).alias("typical"),
     )
     z = F.col("least") / F.col("mean")
     x = x.withColumn("lo", F.when(F.col("log_rate") < 0, F.col("log_rate") / z).otherwise(0.0)).withColumn("hi", F.when(F.col("log_rate") > 0, log_cap / z).otherwise(0.0))
-    state = stage(x.select("source", "target", "mean", "lo", "hi", ((F.col("lo") + F.col("hi")) / 2).alias("lam"), F.lit(False).alias("done")), "mix-state")
-    exact = lambda c: F.sum(c.cast("decimal(30,8)")).cast("double")
+    # The tilt that would do if all words stood in documents of their mean size.
+    guess = F.col("log_rate") * F.col("mean") / F.col("typical")
+    start = F.when((guess > F.col("lo")) & (guess < F.col("hi")), guess).otherwise((F.col("lo") + F.col("hi")) / 2)
+    state = stage(x.select("source", "target", "mean", "lo", "hi", start.alias("lam"), F.lit(False).alias("done")), "mix-state")
+    few = is_small(state)  # it keeps its rows
     for _ in range(NEWTON_STEPS):
-        now = small_table(state.filter("not done").select(F.col("source").alias("s1"), "mean", "lam"), state)
+        now = state.filter("not done").select(F.col("source").alias("s1"), "mean", "lam")
+        now = F.broadcast(now) if few else now
         z = F.col("size") / F.col("mean")
         words = F.col("n") * F.col("size") * rate(F.col("size"), F.col("mean"), F.col("lam"), cap)
         slope = F.when(F.col("lam") * z >= log_cap, 0.0).otherwise(words * z)
