@@ -32,6 +32,8 @@ SHINGLE, BINS, BITS = 5, 256, 4
 PROBES = 8
 #: Quantiles of the ids that bound cells, at most, and cells in all.
 QUANTILES, CELLS = 4096, 1 << 18
+#: Cells a partition gets on average; many, so that partitions are of about one size.
+EACH = 16
 _PER_LONG = 64 // BITS
 #: The lowest bit of every packed bin.
 _ONES = int("1" * _PER_LONG, 16)
@@ -140,7 +142,7 @@ def _cells(ids: DataFrame, n: int) -> Column:
     """An order-preserving cell of ``_id`` (descending) and ``_h`` (ascending), from about
     ``n`` quantiles of the ids; what lies between two quantiles is cut evenly."""
     q = min(max(n, 1), QUANTILES)
-    shares = F.array(*[F.lit(k / q) for k in range(1, q)]) if q > 1 else F.array(F.lit(0.5))
+    shares = F.expr("array(" + ",".join(f"{k}D/{q}" for k in range(1, q)) + ")") if q > 1 else F.array(F.lit(0.5))
     # At most QUANTILES longs reach the driver.
     cuts = ids.agg(F.percentile_approx("_id", shares, 20 * QUANTILES), F.min("_id"), F.max("_id")).first()
     if cuts[1] is None:
@@ -181,7 +183,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     n = partitions(spark, docs)
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)).alias("_id"), text.alias("text"), F.xxhash64(text).alias("_h"))
-    rows = rows.withColumn("_cell", _cells(rows.select("_id"), 2 * n))
+    rows = rows.withColumn("_cell", _cells(rows.select("_id"), EACH * n))
     # One row a cell from here on, at most CELLS and QUANTILES.
     order = F.struct((-1 - F.col("_id")).alias("turned"), "_h")
     heads = rows.groupBy("_cell").agg(F.min(order).alias("o"))
