@@ -147,6 +147,35 @@ S05_SPLITS = """WITH x AS (SELECT ['clean', 'noisy', 'far'][doc_id % 3 + 1] AS s
 SELECT *, 'starts' AS how FROM x WHERE split IN ('clean', 'far') AND starts_with(path, 'clips/1') UNION ALL SELECT *, 'ends' FROM x WHERE split IN ('clean', 'far') AND path LIKE '%.wav'"""
 
 
+def _uploaded(spark, d):
+    """Suppliers as uploaded files: audio, every third with a text beside it; the folder."""
+    x = table(spark, d, "supplier")
+    audio = x.select(F.concat(F.col("s_suppkey").cast("string"), F.when(F.col("s_suppkey") % 2 == 0, ".wav").otherwise(".FLAC")).alias("name"), F.encode("s_name", "utf-8").alias("content"))
+    texts = x.filter("s_suppkey % 3 = 0").select(F.concat(F.col("s_suppkey").cast("string"), F.lit(".txt")).alias("name"), F.encode(F.concat(F.lit(" supplied, by "), "s_name", F.lit("\n")), "utf-8").alias("content"))
+    out = scratch(spark, "uploads")
+    sinks.save_upload(audio.unionByName(texts), out)
+    return out
+
+
+def s01_file(spark, d):
+    """The manifest of an upload read back: ids, paths beside it, references."""
+    rows = readers.read_manifest(spark, _uploaded(spark, d) + "/manifest.csv")
+    return rows.select("id", F.substring_index("path", "/", -1).alias("file"), F.startswith("path", F.lit("/")).alias("absolute"), "reference", "language")
+
+
+S01_FILE = """SELECT s_suppkey::VARCHAR AS id, s_suppkey || CASE WHEN s_suppkey % 2 = 0 THEN '.wav' ELSE '.FLAC' END AS file, true AS absolute,
+  CASE WHEN s_suppkey % 3 = 0 THEN 'supplied, by ' || s_name ELSE '' END AS reference, '' AS language FROM supplier"""
+
+
+def s02(spark, d):
+    """A folder scan over the uploaded files: what has an audio suffix, with its length; the manifest is none."""
+    rows = readers.scan_folder(spark, _uploaded(spark, d))
+    return rows.select("id", F.substring_index("path", "/", -1).alias("file"), F.col("length").cast("long").alias("length"), "reference")
+
+
+S02 = """SELECT s_suppkey::VARCHAR AS id, s_suppkey || CASE WHEN s_suppkey % 2 = 0 THEN '.wav' ELSE '.FLAC' END AS file, strlen(s_name)::BIGINT AS length, '' AS reference FROM supplier"""
+
+
 def k03_files(spark, d):
     """Experiments saved one by a nation's region under their times, twice, and read again."""
     n = table(spark, d, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct(F.col("n_name").alias("label"), (F.col("n_nationkey") / 100).alias("wer")))).alias("points"))
@@ -335,11 +364,15 @@ go AS (SELECT p_partkey, t, 0::BIGINT AS pos, 0::BIGINT AS cost, '' AS reading,
 SELECT p_partkey, reading FROM go WHERE pos = length(t) QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY cost, way DESC) = 1"""
 
 
+def _mixed(r):
+    """Words with some lost, changed and added, by their place."""
+    return F.flatten(F.transform(r, lambda t, i: F.when(i % 11 == 3, F.array().cast("array<string>")).when(i % 11 == 6, F.array(F.lit("zq#"))).when(i % 11 == 9, F.array(t, F.lit("zq+"))).otherwise(F.array(t))))
+
+
 def e05_mixed(spark, d):
     """Alignments with words lost, changed and added: counts of every operation and the words they leave."""
     x = spread(table(spark, d, "benchmark")).select("item_id", X.tokens(F.lower("text")).alias("r"))
-    heard = F.flatten(F.transform("r", lambda t, i: F.when(i % 11 == 3, F.array().cast("array<string>")).when(i % 11 == 6, F.array(F.lit("zq#"))).when(i % 11 == 9, F.array(t, F.lit("zq+"))).otherwise(F.array(t))))
-    x = x.select("item_id", "r", heard.alias("h"))
+    x = x.select("item_id", "r", _mixed(F.col("r")).alias("h"))
     x = x.select("item_id", "r", "h", E.alignment(F.col("r"), F.col("h")).alias("a"))
     count = lambda op: F.size(F.filter("a", lambda z: z["op"] == op)).cast("long")
     side = lambda c: F.transform(F.filter("a", lambda z: z[c].isNotNull()), lambda z: z[c])
@@ -349,6 +382,21 @@ def e05_mixed(spark, d):
     )
 
 
+def e06_rendered(spark, d):
+    """Every step of the same alignments in order, by operation: what was heard and what was meant."""
+    x = spread(table(spark, d, "benchmark")).select("item_id", X.tokens(F.lower("text")).alias("r"))
+    x = x.select("item_id", F.transform("r", lambda t, i: F.concat(t, F.lit("~"), i.cast("string"))).alias("r"))  # no two alike
+    x = x.select("item_id", F.col("r"), E.alignment(F.col("r"), _mixed(F.col("r"))).alias("a"))
+    step = lambda z: F.concat_ws(":", z["op"], F.coalesce(z["hyp"], F.lit("-")), F.coalesce(z["ref"], F.lit("-")))
+    return x.select("item_id", F.md5(F.array_join(F.transform("a", step), " ")).alias("steps"))
+
+
+E06_RENDERED = r"""WITH w AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda t: t <> '') AS r FROM benchmark),
+s AS (SELECT item_id, list_transform(r, lambda t, i: CASE (i - 1) % 11 WHEN 3 THEN 'D:-:' || t || '~' || (i - 1) WHEN 6 THEN 'S:zq#:' || t || '~' || (i - 1)
+  WHEN 9 THEN 'H:' || t || '~' || (i - 1) || ':' || t || '~' || (i - 1) || ' I:zq+:-' ELSE 'H:' || t || '~' || (i - 1) || ':' || t || '~' || (i - 1) END) AS a FROM w)
+SELECT item_id, md5(array_to_string(a, ' ')) AS steps FROM s"""
+
+
 E05_MIXED = r"""SELECT item_id, (n - (n + 7) // 11 - (n + 4) // 11)::BIGINT AS hits, ((n + 4) // 11)::BIGINT AS substitutions, ((n + 7) // 11)::BIGINT AS deletions, ((n + 1) // 11)::BIGINT AS insertions, true AS whole
 FROM (SELECT item_id, len(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda t: t <> '')) AS n FROM benchmark)"""
 
@@ -476,7 +524,7 @@ B15 = f"""SELECT count(DISTINCT source) AS datasets, count(*) AS files, (SELECT
   (SELECT bool_or(error IS NULL AND infer_s > 0) FROM ({RESULT_SQL})) AS busy FROM documents"""
 
 _NAMES = {
-    "s01_manifest_rows": "s01", "s03_transcript_lines": "s03", "s04_sidecars": "s04", "s05_nested_audio": "s05", "s05_splits": "s05_splits", "s06_archive_limit": "s06", "s07_archive_names": "s07_archive", "k03_experiment_files": "k03_files", "s07_tsv": "s07", "s08_wav_round_trip": "s08", "s13_history": "s13", "s16_tones": "s16",
+    "s01_manifest_rows": "s01", "s03_transcript_lines": "s03", "s04_sidecars": "s04", "s05_nested_audio": "s05", "s05_splits": "s05_splits", "s01_manifest_file": "s01_file", "s02_folder_scan": "s02", "e06_rendered": "e06_rendered", "s06_archive_limit": "s06", "s07_archive_names": "s07_archive", "k03_experiment_files": "k03_files", "s07_tsv": "s07", "s08_wav_round_trip": "s08", "s13_history": "s13", "s16_tones": "s16",
     "k01_manifest": "k01", "k02_upload": "k02", "k03_points": "k03", "k07_json": "k07", "k08_benchmark_table": "k08", "p13_kind": "p13", "p16_listing": "p16", "a16_noise_sweep": "a16",
     "a17_progress": "a17", "o02_sorted_paths": "o02", "o06_top_names": "o06", "o07_first_match": "o07", "o08_early_stop": "o08", "t06_kana": "t06", "e05_alignment": "e05", "e05_alignment_mixed": "e05_mixed", "t06_readings": "t06_readings", "d02_resample": "d02",
     "d09_log_mel": "d09", "d10_features": "d10", "d11_stages": "d11", "x01_batch_stage": "x01", "x05_long_audio": "x05", "b15_status": "b15",

@@ -1,5 +1,6 @@
 import io
 import json
+import sys
 import tarfile
 
 import numpy as np
@@ -52,6 +53,28 @@ def test_decode():
         decode(b"not audio")
 
 
+def test_external_decoder(tmp_path, monkeypatch):
+    """What no library reads goes through a program's pipes; its failure is an error."""
+    tool = tmp_path / "ffmpeg"
+    tool.write_text(f"""#!{sys.executable}
+import struct, sys
+data = sys.stdin.buffer.read()
+assert sys.argv[sys.argv.index("-ar") + 1] == "16000" and sys.argv[-1] == "pipe:1"
+if not data.startswith(b"good"):
+    sys.exit(3)
+sys.stdout.buffer.write(struct.pack("<4f", 0.0, 0.5, -0.5, 1.0))
+""")
+    tool.chmod(0o755)
+    monkeypatch.setenv("PATH", str(tmp_path))
+    y, rate = decode(b"good bytes")
+    assert rate == 16_000 and y.tolist() == [0.0, 0.5, -0.5, 1.0]
+    with pytest.raises(Exception):
+        decode(b"bad bytes")
+    monkeypatch.setenv("PATH", "")
+    with pytest.raises(RuntimeError):
+        decode(b"good bytes")
+
+
 def test_batch_plan(spark, folder):
     manifest = readers.read_manifest(spark, str(folder / "manifest.csv"))
     audio = readers.scan_folder(spark, str(folder)).join(readers.read_audio(spark, str(folder)), "path").select("id", "content")
