@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
-from pathlib import Path
+from pathlib import Path, PurePosixPath
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -90,8 +90,9 @@ class SplitReader(DataSourceReader):
         keys = {"id": pc.field("id").cast(pa.string())} if "id" in data.schema.names else {}
         columns = keys | {"path": pc.field("audio", "path"), "reference": pc.field("text"), "content": pc.field("audio", "bytes")}
         for b in data.to_batches(columns=columns, filter=self.condition(), batch_size=ROWS):
-            stem = pc.replace_substring_regex(b.column("path"), r"^.*/|\.[^./]*$", "")
-            ids = stem if not keys else pc.coalesce(pc.if_else(pc.equal(b.column("id"), ""), None, b.column("id")), stem)
+            paths = b.column("path").to_pylist()
+            given = b.column("id").to_pylist() if keys else [None] * len(paths)
+            ids = pa.array([i or (p and PurePosixPath(p).stem) for i, p in zip(given, paths, strict=True)], pa.string())
             text = lambda v, n=b.num_rows: pa.array([v] * n, pa.string())
             file = named(partition.file)
             yield pa.RecordBatch.from_arrays(

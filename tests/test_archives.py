@@ -143,6 +143,16 @@ def test_splits(spark, tmp_path):
     assert kept.count() == 0 and filters(kept)
 
 
+def test_missing_ids_of_many_rows(spark, tmp_path):
+    """Several batches of one file: an id that is missing or empty is the stem of its own path."""
+    rows = [(None if i % 3 == 0 else "" if i % 3 == 1 else f"id{i}", f"t{i}", (bytearray(b"x" * (i % 900)), f"clips/stem{i}.flac")) for i in range(2000)]
+    spark.createDataFrame(rows, "id string, text string, audio struct<bytes:binary,path:string>").coalesce(1).write.parquet(str(tmp_path / "all"))
+    got = splits.read_splits(spark, str(tmp_path)).filter("path like 'clips/stem1%'").collect()
+    assert {(r.id, r.path, r.reference, len(r.content)) for r in got} == {
+        (k or f"stem{i}", a[1], t, len(a[0])) for i, (k, t, a) in enumerate(rows) if str(i).startswith("1")
+    }
+
+
 def test_fallback_revision(spark, tmp_path):
     tmp_path = tmp_path / "set"
     parquet_set(spark, tmp_path, [("refs/convert/parquet/test-00000-of-00001.parquet", 2)])
