@@ -34,8 +34,9 @@ from .common import stage, table
 
 MOST_WORDS, BUCKETS = 1, 10_000
 SEED, LEAST_WORDS, PERCENT = 2024, 20, 10
-#: Documents and entries of one block, at most (a document is never cut).
-BLOCK_ROWS, BLOCK_ENTRIES = 4096, 1 << 18
+#: Documents and entries of one block, at most (a document is never cut), and blocks written or read at once.
+#: A document has ``BUCKETS`` entries at most, so a task holds at most eight megabytes of the matrix.
+BLOCK_ROWS, BLOCK_ENTRIES, GROUP_BLOCKS = 4096, 1 << 15, 16
 #: Features whose buckets a task remembers.
 KNOWN = 1 << 18
 
@@ -139,7 +140,7 @@ def noise(doc_id: Column, seed: int = SEED) -> Column:
 def resample(docs: DataFrame, target: DataFrame, most: int = MOST_WORDS, least_words: int = LEAST_WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_features, weight, score, rank (null if not drawn); ``docs``: doc_id, text,
     ``target``: text."""
-    blocks = stage(count_blocks(docs, most), "resampling-blocks")
+    blocks = stage(count_blocks(docs, most), "resampling-blocks", GROUP_BLOCKS)
     gain = gains(column_sums(blocks), column_sums(count_blocks(target.select(F.lit(0).alias("doc_id"), "text"), most)))
     scored = weights(blocks, gain).withColumn("score", F.col("weight") + noise(F.col("doc_id"), SEED))
     scored = stage(scored, "resampling-scores")

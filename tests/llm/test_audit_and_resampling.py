@@ -8,10 +8,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from earshot.llm import divergence, resampling
+from earshot.llm import common, divergence, resampling
 from earshot.llm.common import small_table, stage
 from tests.oracle import connect
 
@@ -161,5 +162,16 @@ def test_matrix_is_kept_in_blocks(spark, sf):
         assert b.starts[0] == 0 and b.starts[-1] == len(b.buckets) == len(b.counts) and len(b.starts) == len(b.ids) + 1 == len(b.words) + 1
 
 
+def test_matrix_is_written_in_small_groups(spark, monkeypatch, tmp_path):
+    """A task holds one group of rows of the matrix, so their size may not follow the input's."""
+    monkeypatch.setattr(common, "shared_dir", lambda s: f"file://{tmp_path}")
+    words = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(1999)), lambda i: F.concat(F.lit("w"), (i * 31 + F.col("id") * 7).cast("string"))), " ")
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), words.alias("text")).coalesce(1)
+    resampling.resample(docs, docs.limit(1)).count()
+    files = [pq.ParquetFile(p).metadata for p in tmp_path.glob("resampling-blocks-*/*.parquet")]
+    entries = [m.row_group(k).column(3).num_values for m in files for k in range(m.num_row_groups)]
+    assert sum(entries) > 1_000_000 and max(entries) <= 16 * ((1 << 15) + resampling.BUCKETS)
+
+
 def test_resample_query(spark, sf):
     assert tuples(resampling.op13_resampling(spark, sf)) == sql(connect(sf), resampling.ORACLE["op13_resampling"])
