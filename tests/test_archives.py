@@ -7,7 +7,9 @@ import tarfile
 import pytest
 from pyspark.sql import functions as F
 
+from earshot.operators import pipeline_queries
 from earshot.sources import archives, readers, sinks, splits
+from tests.oracle import connect, rows
 
 FLAC = (".flac",)
 
@@ -215,3 +217,18 @@ def test_upload_sink(spark, tmp_path):
     with pytest.raises(Exception):
         sinks.save_upload(df.withColumn("content", F.when(F.col("name") == "two.FLAC", F.raise_error(F.lit("stop"))).otherwise(F.col("content"))), str(tmp_path / "none"))
     assert not (tmp_path / "none").exists()
+
+
+def test_archives_of_documents_stay_small(spark, sf, monkeypatch):
+    """An archive is one task's, so their number follows the documents; the queries over them stay the same."""
+    monkeypatch.setattr(pipeline_queries, "DOCUMENTS_AN_ARCHIVE", 20, raising=False)
+    n = spark.read.parquet(f"{sf}/documents.parquet").count()
+    _, paths = pipeline_queries._speech_tars(spark, sf)
+    sizes = []
+    for p in paths.split(","):
+        with tarfile.open(p) as t:
+            sizes.append(sum(m.name.endswith(".flac") for m in t))
+    assert sum(sizes) == n and max(sizes) <= 60
+    con = connect(sf)
+    for query, sql in ((pipeline_queries.s06, pipeline_queries.S06), (pipeline_queries.s07_archive, pipeline_queries.S07_ARCHIVE)):
+        assert rows(query(spark, sf).toPandas()) == rows(con.sql(sql).df())
