@@ -1,15 +1,18 @@
 import random
+import tracemalloc
 import unicodedata
 import zlib
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from earshot.functions import editdistance as E
 from earshot.functions import signal as G
 from earshot.functions import text as X
+from earshot.operators import scoring
 
 
 def value(spark, column, **given):
@@ -90,6 +93,47 @@ def test_alignment_order():
     assert (ops("ab", "ba"), ops("xa", "a"), ops("aa", "a"), ops("a", "aa"), ops("abc", "xbz"), ops("", "q"), ops("q", "")) == ("SS", "DH", "DH", "IH", "SHS", "I", "D")
 
 
+def test_distance():
+    rnd = random.Random(6)
+    pairs = [tuple([rnd.choice("abcd") for _ in range(rnd.randrange(90))] for _ in range(2)) for _ in range(150)] + [([], []), (["a"], []), ([], ["a"])]
+    assert [E.distance(r, h) for r, h in pairs] == E.edit_counts([r for r, _ in pairs], [h for _, h in pairs]).sum(axis=1).tolist()
+    long = [str(rnd.randrange(3000)) for _ in range(20_000)]
+    heard = [w for i, w in enumerate(long) if i % 7 != 3]
+    assert E.distance(long, heard) == len(long) - len(heard)  # seconds, where a whole table takes minutes
+
+
+def test_token_errors(spark):
+    rows = [(["a", "b"], ["b"]), (None, ["x"]), (["x"], None), ([], [])] + [(list("abc" * k), list("acb" * k)) for k in range(40)]
+    df = spark.createDataFrame(rows, "r array<string>, h array<string>").select(E.token_errors("r", "h").alias("n"), E.edit_ops(F.col("r"), F.col("h"))["errors"].alias("e"))
+    assert [r.n for r in df.collect()] == [r.e for r in df.collect()]
+
+
+def test_alignment_in_blocks(monkeypatch):
+    """Long texts are aligned with the moves of some rows at a time: the same alignment, in bounded memory."""
+    rnd = random.Random(7)
+    pairs = [tuple([rnd.choice("abc") for _ in range(rnd.randrange(25))] for _ in range(2)) for _ in range(200)]
+    want = [E.align(r, h) for r, h in pairs]
+    long = [rnd.choice("abcdef") for _ in range(6000)]
+    tracemalloc.start()
+    found = E.align(long, long[1:])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 6000 and peak < 25 << 20  # all moves at once are 36 MB
+    for size in (1, 60):
+        monkeypatch.setattr(E, "_MOVES", size)
+        assert [E.align(r, h) for r, h in pairs] == want
+
+
+def test_alignment_by_slices(spark):
+    rows = [(list("abc" * (k % 7)), list("acb" * (k % 5))) for k in range(300)] + [(None, ["x"]), (["x"], None), (["w"] * 40_000, ["w"] * 40_000), (["v"] * 30_000, ["v"] * 30_000), ([], [])]
+    refs, hyps = (pa.array([r[k] for r in rows]) for k in range(2))
+    some = list(E._slices(refs, hyps))
+    assert len(some) > 1 and [p for r, h in some for p in zip(r, h, strict=True)] == [(r or [], h or []) for r, h in rows]
+    short = [r for r in rows if len(r[0] or ()) < 100]
+    got = spark.createDataFrame(short, "r array<string>, h array<string>").coalesce(1).select(E.alignment("r", "h").alias("a")).collect()
+    assert [[(x.op, x.hyp, x.ref) for x in g.a] for g in got] == [E.align(r or [], h or []) for r, h in short]
+
+
 @pytest.mark.parametrize(
     ("ref", "hyp", "want"),
     [("p q r s t", "p r s u t", (2, 0, 1, 1, 5)), ("left right", "", (2, 0, 2, 0, 2)), ("go up the hill", "go up a steep hill", (2, 1, 0, 1, 4)), ("m n", "n m", (2, 2, 0, 0, 2))],
@@ -101,6 +145,13 @@ def test_edit_ops(spark, ref, hyp, want):
     assert e.H == e.N - e.S - e.D
 
 
+def test_comparisons_are_dealt_by_rows(spark, sf, monkeypatch):
+    """One task may not compare whole row groups of texts: the files say nothing about that work."""
+    turns = spark.read.parquet(f"{sf}/conversations.parquet").count()
+    monkeypatch.setattr(scoring, "TURNS_A_TASK", 3, raising=False)
+    assert scoring.utterances(spark, sf).rdd.getNumPartitions() >= turns / 3 > 8
+
+
 def test_half_even(spark):
     assert spark.range(1).select(F.bround(F.lit(1 / 32), 4)).first()[0] == 0.0312
 
