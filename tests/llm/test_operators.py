@@ -606,6 +606,24 @@ def brute_randomness(token, encoding):
     return min(1, 3 * min(chi, p_runs, p_serial))
 
 
+def test_reference_tokens_take_the_whole_text(spark):
+    """The null is made of all words of a text, scored like any token."""
+    r = random.Random(11)
+    texts = [" ".join("".join(r.choice("abcdefgh") for _ in range(r.randrange(1, 9))) for _ in range(n)) for n in (0, 3, 8, 20, 70, 400)] + ["é" * 50, "word, " * 200]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select("t", secrets.reference(F.col("t")).alias("own")).collect()
+    for x in got:
+        letters = len(re.sub("[^A-Za-z0-9]", "", x.t))
+        taken = sum(secrets.REFERENCE[k.cls - secrets.FIRST_CLASS] for k in x.own)
+        assert taken <= letters < taken + (letters // 316 + 1) * min(secrets.REFERENCE) and (letters > 315 or letters < taken + min(secrets.REFERENCE))
+    words = [("".join(r.choice(secrets.ALPHABETS["alnum"][: 62 - k % 50]) for _ in range((24, 44, 90)[k % 3])),) for k in range(60)] + [("a" * 24,), ("Ab" * 22,)]
+    w = spark.createDataFrame(words, "w string")
+    for one, e in ((True, "lower36"), (False, "alnum")):
+        token = F.lower("w") if one else F.col("w")
+        pairs = w.select(secrets.word_p(F.col("w"), F.lit(one)).alias("a"), secrets.p_value(token, F.lit(e)).alias("b")).collect()
+        assert all(abs(p.a - p.b) <= 1e-9 * max(p.b, 1e-3) for p in pairs)
+
+
 def test_randomness_brute_force(spark):
     r = random.Random(12)
     rows = [("".join(r.choice(secrets.ALPHABETS[e][: 40 if k % 2 else 9]) for _ in range(20 + 7 * k)) + "=" * (k % 3), e) for e in secrets.ALPHABETS for k in range(6)]
