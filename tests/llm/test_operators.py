@@ -624,6 +624,20 @@ def test_reference_tokens_take_the_whole_text(spark):
         assert all(abs(p.a - p.b) <= 1e-9 * max(p.b, 1e-3) for p in pairs)
 
 
+def test_reference_letters_cost_no_search(spark):
+    """A letter of the null's tokens costs a look into a table: no search of the alphabet, no sums held as structs."""
+    plan = spark.createDataFrame([("some words",)], "t string").select(secrets.reference(F.col("t")).alias("own"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "position(" not in plan and "locate(" not in plan and "named_struct(p," not in plan
+    r = random.Random(17)
+    words = ["".join(r.choice(secrets.ALPHABETS["alnum"]) for _ in range(n)) for n in (2, 24, 90, 127)] + ["0z" * 63, "z" * 127, "0" * 127, "Az" * 45]
+    w = spark.createDataFrame([(x,) for x in words], "w string")
+    for one, e in ((True, "lower36"), (False, "alnum")):
+        got = w.select("w", secrets.word_p(F.col("w"), F.lit(one)).alias("p")).collect()
+        for x in got:
+            token = x.w.lower() if one else x.w
+            assert abs(x.p - brute_randomness(token, e)) <= 1e-6
+
+
 def test_randomness_brute_force(spark):
     r = random.Random(12)
     rows = [("".join(r.choice(secrets.ALPHABETS[e][: 40 if k % 2 else 9]) for _ in range(20 + 7 * k)) + "=" * (k % 3), e) for e in secrets.ALPHABETS for k in range(6)]
