@@ -40,10 +40,15 @@ def spell(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]
     return x, starts, out
 
 
+#: Of bit and byte, the hash of the bits before.
+_NODES = np.array([[(1 << j) | b >> (8 - j) for b in range(256)] for j in range(8)], np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+
+
 def slots(context: np.ndarray, x: np.ndarray, j: int) -> np.ndarray:
-    node = (np.uint64(1) << np.uint64(j)) | (x.astype(np.uint64) >> np.uint64(8 - j))
-    h = (context ^ node * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0xFF51AFD7ED558CCD)
-    return (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+    h = context ^ _NODES[j][x]
+    h *= np.uint64(0xFF51AFD7ED558CCD)
+    h >>= np.uint64(64 - SLOT_BITS)
+    return h.view(np.int64)
 
 
 def chunks(tokens: list[bytes], size: int = 1 << 16):
@@ -74,31 +79,44 @@ class BitMixer:
         centre = (np.arange(CELLS) + 0.5) * 2 * SPAN / CELLS - SPAN
         self.map = np.repeat(_squash(centre)[None], 8, axis=0)
         self._stretched: np.ndarray | None = None
+        #: The same without a decision of zero, or of one: by slot and decision.
+        self._without: list[np.ndarray] | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_stretched": None}
+        return self.__dict__ | {"_stretched": None, "_seen": None, "_without": None}
 
     def inputs(self, x: np.ndarray, contexts: list[np.ndarray], j: int, left_out: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Decisions, stretched predictions (bytes, orders) and gates."""
+        """Decisions, stretched predictions (orders, bytes) and gates."""
         if self._stretched is None:  # one a process
-            self._zeros, self._ones = (np.ascontiguousarray(self.counts[..., i]).astype(np.float32) for i in (0, 1))
-            self._stretched = np.log((self._ones + np.float32(0.3)) / (self._zeros + np.float32(0.3)))
-            self._seen = self._zeros + self._ones > 0
+            self._stretched, self._seen = self._read(*(self.counts[..., i].astype(np.float32) for i in (0, 1)))
+        if left_out and self._without is None:
+            zeros, ones = (self.counts[..., i].astype(np.float32) for i in (0, 1))
+            less = [self._read(np.maximum(zeros - (1 - b), 0), np.maximum(ones - b, 0)) for b in (np.float32(0), np.float32(1))]
+            self._without = [np.stack([x[i] for x in less], axis=-1).reshape(len(ORDERS), -1) for i in range(2)]
+        stretched, known = self._without if left_out else (self._stretched, self._seen)
         bit = (x >> (7 - j) & 1).astype(np.int64)
-        one = bit.astype(np.float32)
-        ins = np.empty((len(x), len(ORDERS)), np.float32)
+        ins = np.empty((len(ORDERS), len(x)), np.float32)
         seen = np.zeros(len(x), np.int64)
         for k, c in enumerate(contexts):
             at = slots(c, x, j)
             if left_out:
-                n0, n1 = np.maximum(self._zeros[k][at] - (1 - one), 0), np.maximum(self._ones[k][at] - one, 0)
-                ins[:, k] = np.log((n1 + np.float32(0.3)) / (n0 + np.float32(0.3)))
-                seen += n0 + n1 > 0
-            else:
-                ins[:, k] = self._stretched[k][at]
-                seen += self._seen[k][at]
+                at = 2 * at + bit
+            ins[k] = stretched[k][at]
+            seen += known[k][at]
         return bit, ins, seen * 8 + j
 
+    @staticmethod
+    def _read(zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Stretched predictions of slots, and which of them have been seen."""
+        return np.log((ones + np.float32(0.3)) / (zeros + np.float32(0.3))), zeros + ones > 0
+
+    def _mixed(self, gate: np.ndarray, ins: np.ndarray) -> np.ndarray:
+        """Predictions times the weights of their gates, summed order by order."""
+        z = np.zeros(len(gate))
+        for w, v in zip(np.ascontiguousarray(self.weights.T), ins, strict=True):
+            z += w[gate] * v
+        return z
+
     def _cell(self, z: np.ndarray) -> np.ndarray:
         return np.clip(((z + SPAN) * CELLS / (2 * SPAN)).astype(int), 0, CELLS - 1)
 
@@ -111,13 +129,13 @@ class BitMixer:
             x, _, contexts = spell(part)
             parts = [self.inputs(x, contexts, j, True) for j in range(8)]
             bit, gate = (np.stack([p[i] for p in parts], axis=1).ravel() for i in (0, 2))
-            ins = np.stack([p[1] for p in parts], axis=1).reshape(-1, len(ORDERS))
+            ins = np.stack([p[1] for p in parts], axis=2).reshape(len(ORDERS), -1)
             for i in range(0, len(bit), STEP):
-                g, v, y = gate[i : i + STEP], ins[i : i + STEP], bit[i : i + STEP]
-                error = RATE * (y - _squash((self.weights[g] * v).sum(axis=1)))
+                g, v, y = gate[i : i + STEP], ins[:, i : i + STEP], bit[i : i + STEP]
+                error = RATE * (y - _squash(self._mixed(g, v)))
                 for k in range(len(ORDERS)):
-                    self.weights[:, k] += np.bincount(g, error * v[:, k], len(self.weights))
-            at = np.tile(np.arange(8), len(x)) * CELLS + self._cell((self.weights[gate] * ins).sum(axis=1))
+                    self.weights[:, k] += np.bincount(g, error * v[k], len(self.weights))
+            at = np.tile(np.arange(8), len(x)) * CELLS + self._cell(self._mixed(gate, ins))
             cells += np.stack([np.bincount(at, minlength=8 * CELLS), np.bincount(at, bit, 8 * CELLS)])
         return cells
 
@@ -134,7 +152,7 @@ class BitMixer:
             total = np.zeros(len(x))
             for j in range(8):
                 bit, ins, gate = self.inputs(x, contexts, j, False)
-                z = (self.weights[gate] * ins).sum(axis=1)
+                z = self._mixed(gate, ins)
                 p = 0.5 * (_squash(z) + self.map[j][self._cell(z)])
                 p = np.clip(p, 1e-6, 1 - 1e-6)
                 total += np.log10(np.where(bit == 1, p, 1 - p))
@@ -157,15 +175,16 @@ def _follow(at: np.ndarray, context: np.ndarray, then: np.ndarray, out: np.ndarr
     return by, same
 
 
-def _adapted(gate: np.ndarray, bit: np.ndarray, prior: np.ndarray) -> np.ndarray:
-    """Stretched share of ones among the earlier decisions of each decision's gate, begun
+def _adapted(text: np.ndarray, gate: np.ndarray, bit: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """Stretched share of ones among the earlier decisions of each decision's gate in its text, begun
     with two decisions at the prior."""
-    order = np.argsort(gate, kind="stable")
-    g, y = gate[order], bit[order].astype(np.int64)
+    key = text * len(prior) + gate
+    order = np.argsort(key, kind="stable")
+    g, y = key[order], bit[order].astype(np.int64)
     place = np.arange(len(g))
     first = np.maximum.accumulate(np.where(np.concatenate([[True], g[1:] != g[:-1]]), place, 0))
     before = np.cumsum(y) - y
-    p = (before - before[first] + 2 * prior[g]) / (place - first + 2)
+    p = (before - before[first] + 2 * prior[gate[order]]) / (place - first + 2)
     out = np.empty(len(bit))
     out[order] = np.log(p / (1 - p))
     return out
@@ -175,36 +194,52 @@ _RUN = 1 - 0.9 / (1 + 2 * np.arange(16))
 _AGREE = np.array([0.2, 0.05, 0.8])
 
 
-def repeats(token: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repeats(token: np.ndarray, text: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places of a text whose last two tokens stood there before, whether the next one
     did follow as the last time, and the probability given to that.
 
     Two predictors, of hits by the length of the present run of hits and of hits by what
-    the last three tokens say, adapt along the text, as do the weights they are mixed by."""
-    n = len(token)
-    if n < 4:
-        return np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0)
-    wide = int(token.max()) + 1
-    then = token[2:]
-    two, three = np.full((2, n - 2), -1, np.int64)
-    by, same = _follow(np.arange(n - 2), token[:-2] * wide + token[1:-1], then, two)
+    the last three tokens say, adapt along the text, as do the weights they are mixed by.
+    ``text`` (ascending, one text after the other) has each token's text; each text is for itself."""
+    text = np.zeros(len(token), np.int64) if text is None else text
+    # Places of which the two tokens before are of the same text.
+    own = np.flatnonzero(text[2:] == text[:-2])
+    none = np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0)
+    if not len(own):
+        return none
+    wide, then, of = int(token.max()) + 1, token[2:], text[own]
+    two, three = np.full((2, len(then)), -1, np.int64)
+    # Contexts are named by number, so that texts and tokens together stay within a long.
+    name = np.unique(token[own] * wide + token[own + 1], return_inverse=True)[1]
+    by, same = _follow(own, of * (int(name.max()) + 1) + name, then, two)
     if not same.any():
-        return np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0)
+        return none
     # Three tokens can repeat only where two do.
     again = np.concatenate([same, [False]]) | np.concatenate([[False], same])
     pair = np.cumsum(np.concatenate([[True], ~same]))[again]
     by = by[again]
-    _follow(by[by > 0], (pair * wide + token[by - 1])[by > 0], then, three)
+    first = (by == 0) | (text[by] != text[np.maximum(by, 1) - 1])
+    _follow(by[~first], (pair * wide + token[by - 1])[~first], then, three)
     at = np.flatnonzero(two >= 0)
     hit = two == then
     place = np.arange(len(two))
+    begin = np.searchsorted(text, text[at])
     missed = np.maximum.accumulate(np.where(hit, -1, place))
-    run = np.where(place > 0, place - 1 - np.concatenate([[-1], missed[:-1]]), 0)[at]
+    run = np.minimum(np.where(at > 0, at - 1 - np.concatenate([[-1], missed[:-1]])[at], 0), at - begin)
     said = np.where(three[at] < 0, 0, np.where(three[at] == two[at], 2, 1))
-    bit = hit[at]
-    ins = np.stack([_adapted(np.minimum(run, 15), bit, _RUN), _adapted(said, bit, _AGREE)], axis=1)
-    weights, p = np.full(2, 0.6), np.empty(len(at))
-    for k in range(0, len(at), TURN):
-        p[k : k + TURN] = _squash(ins[k : k + TURN] @ weights)
-        weights = weights + PACE * ((bit[k : k + TURN] - p[k : k + TURN]) @ ins[k : k + TURN])
+    bit, of = hit[at], text[at]
+    ins = np.stack([_adapted(of, np.minimum(run, 15), bit, _RUN), _adapted(of, said, bit, _AGREE)], axis=1)
+    # The turns of all texts go side by side.
+    start = np.searchsorted(of, of)
+    turn = (np.arange(len(of)) - start) // TURN
+    order = np.argsort(turn, kind="stable")
+    cuts = np.searchsorted(turn[order], np.arange(int(turn[order[-1]]) + 2))
+    names, line = np.unique(of, return_inverse=True)
+    weights, p = np.full((len(names), 2), 0.6), np.empty(len(at))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        now = order[a:b]
+        mine, v = line[now], ins[now]
+        p[now] = _squash((v * weights[mine]).sum(axis=1))
+        heads = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]]))
+        weights[mine[heads]] += PACE * np.add.reduceat((bit[now] - p[now])[:, None] * v, heads, axis=0)
     return at + 2, bit, np.clip(p, 1e-5, 1 - 1e-5)

@@ -35,6 +35,8 @@ from .bitmixer import CELLS, ORDERS, SLOTS, BitMixer, count_bits, repeats
 from .common import partitions, stage, table
 
 PRIOR, TYPES_A_TASK = 300.0, 500_000
+#: Tokens of texts scored together, and of one text more.
+TOKENS = 1 << 16
 #: The end of a text, as a token; words are never empty.
 END = b""
 
@@ -64,7 +66,7 @@ def dictionary(docs: DataFrame, parts: int, classes: int) -> DataFrame:
         tokens = list(set().union(*counters.values()))
         counts = np.zeros((len(tokens), classes), np.int64)
         for k, c in counters.items():
-            counts[:, k] = [c[t] for t in tokens]
+            counts[:, k] = [c.get(t, 0) for t in tokens]  # c[t] calls Python where it is missing
         for part, at in _dealt(tokens, parts).items():
             yield _rows("part tokens counts", [part], [b"\n".join([tokens[i] for i in at])], [counts[at].tobytes()])
 
@@ -238,21 +240,36 @@ def score_texts(docs: DataFrame, learn) -> DataFrame:
         c, logs = np.concatenate(seen), np.concatenate(logs)
         base = np.log10(c + 1)
         prior = np.log10(totals[live] / n) if len(live) else np.zeros(1)
-        out: list[list] = [[] for _ in range(6)]
-        for text in own.column("text").cast(pa.binary()).to_pylist():
-            at = np.array([index[t] for t in words(text)])
+        out: list[np.ndarray] = []
+
+        def score(at: list[int], lengths: list[int], sizes: list[int]) -> None:
+            """Texts of these tokens, one after the other."""
+            at, starts = np.array(at), np.cumsum([0, *lengths[:-1]])
             per = logs[at]
-            place, hit, p = repeats(at)
+            place, hit, p = repeats(at, np.repeat(np.arange(len(lengths)), lengths))
             there = per[place] + np.log10(1 - p)[:, None]
             there[hit] = np.logaddexp(there[hit] * np.log(10), np.log(p[hit])[:, None]) / np.log(10)
             per[place] = there
-            by = prior + per.sum(axis=0)
-            top = by.max()
-            values = (len(at), int((c[at] > 0).sum()), n, base[at].sum() - len(at) * np.log10(n + types + 1), top + np.log10((10 ** (by - top)).sum()), len(text or b""))
-            for column, v in zip(out, values, strict=True):
-                column.append(v)
+            by = prior + np.add.reduceat(per, starts)
+            top = by.max(axis=1)
+            n_tokens, known = np.array(lengths), np.add.reduceat((c[at] > 0).astype(np.int64), starts)
+            bases = np.add.reduceat(base[at], starts) - n_tokens * np.log10(n + types + 1)
+            out.append(np.array([n_tokens, known, np.full(len(lengths), n), bases, top + np.log10((10 ** (by - top[:, None])).sum(axis=1)), sizes]))
+
+        held, lengths, sizes = [], [], []
+        for text in own.column("text").cast(pa.binary()).to_pylist():
+            kinds = words(text)
+            held += [index[t] for t in kinds]
+            lengths.append(len(kinds))
+            sizes.append(len(text or b""))
+            if len(held) >= TOKENS:
+                score(held, lengths, sizes)
+                held, lengths, sizes = [], [], []
+        if lengths:
+            score(held, lengths, sizes)
+        out = list(np.concatenate(out, axis=1)) if out else [np.zeros(0)] * 6
         return pa.Table.from_arrays(
-            [own.column("doc_id").combine_chunks(), *(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.float64()), pa.array(out[4], pa.float64()), pa.array(out[5], pa.int64())],
+            [own.column("doc_id").combine_chunks(), *(pa.array(x.astype(np.int64)) for x in out[:3]), pa.array(out[3]), pa.array(out[4]), pa.array(out[5].astype(np.int64))],
             ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes"],
         )
 

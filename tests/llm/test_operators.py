@@ -477,6 +477,18 @@ def brute_repeats(tokens):
     return out
 
 
+def test_repeats_of_many_texts_at_once():
+    """Texts side by side give what each gives alone."""
+    r = np.random.default_rng(8)
+    texts = [r.integers(0, k, n) for k, n in ((5, 400), (2, 1), (3, 2), (3, 3), (4, 4), (50, 900), (1, 100), (2, 700))] + [np.tile(r.integers(0, 90, 37), 5) for _ in range(9)]
+    want, start = [], 0
+    for x in texts:
+        want += [(at + start, hit, p) for at, hit, p in zip(*(v.tolist() for v in repeats(x)), strict=True)]
+        start += len(x)
+    got = list(zip(*(v.tolist() for v in repeats(np.concatenate(texts), np.repeat(np.arange(len(texts)), list(map(len, texts))))), strict=True))
+    assert [g[:2] for g in got] == [w[:2] for w in want] and all(abs(g[2] - w[2]) < 1e-12 for g, w in zip(got, want, strict=True))
+
+
 def test_repeats():
     r = np.random.default_rng(6)
     line = r.integers(0, 50, 20)
