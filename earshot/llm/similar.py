@@ -1,22 +1,21 @@
-"""Near duplicates by the Jaccard similarity of sets of word shingles.
-
-1. Equal sets are one node, named by a 64-bit hash of the set.  A node carries its
-   SimHash, its row of the pivot table (Hamming distances to the reference fingerprints)
-   and ``MINIMA`` minima of hash functions over its shingles, one byte of each, and four bytes
-   of the key of each of its bands.
-2. Bands of the minima propose pairs: ``BANDS`` keys of ``ROWS`` minima.  A pair of
-   similarity 0.8 shares none with probability (1 - 0.8**6)**32 = 6e-5.
-3. Inside a band the pivot rows discard pairs by their maximum coordinate difference, the
-   fingerprints by their distance, and the minima estimate the similarity of survivors.
-   ``REACH`` bits are five standard deviations above the distance expected at 0.8;
-   an estimate ``SLACK`` under the threshold is three and a half below it.
-4. Survivors are verified by their true similarity.  First only the edges of a spanning
-   forest of the largest estimates are; what they link is one component.  Then, of every
-   member outside a band's largest component, the best partner in each other component.
-   At last every surviving pair between components that are still apart, once, in the first band
-   it shares (two keys that differ agree in four bytes with probability 2e-10), so no pair
-   that steps 2 and 3 leave is lost.  A band costs its members outside its largest component times
-   all of them, so a group of copies costs about its size.
+"""Near duplicates by the Jaccard similarity of sets of word shingles, proposed by SimHash.
+
+1. Equal sets are one node, named by a 64-bit hash of the set.  A node carries a SimHash of
+   ``WORDS`` words of 64 bits, since similarity 0.8 is a radius of 15 % of the bits.
+2. As in ``simhash``, the fingerprint falls into blocks: nodes that agree in a block of 8 bits
+   meet in its cell.  A pair of similarity 0.8 agrees in none of the 32 blocks with probability
+   (1 - 0.8485**8)**32 = 5e-5, a pair within 31 bits never.  Cells above ``LARGE`` members
+   are parted by further choices of bits, as many as keep that probability.
+3. Inside a cell each component of near fingerprints has a reference, and the cell's distances
+   to it are a column of the pivot table: by the triangle inequality a member of the component
+   only meets what is as far from the reference as itself, give or take ``WIDE`` bits.
+   ``WIDE``, ``REACH_TWO`` and ``REACH`` (for one word) are 4.4, five and five standard deviations above the
+   distance expected at 0.8.  A cell yields a forest, never more links than members.
+4. What is linked so is a group.  Its texts come together, in pairs of blocks of ``MOST``
+   members where it is large, and true similarities decide: first of a spanning forest of the
+   largest estimates, then of all pairs still apart that pivot rows, fingerprints and minima of hash functions over the shingles do not
+   rule out (an estimate ``SLACK`` under the threshold is three and a half standard deviations
+   below it).  Pairs are compared where they are listed; only forests of links leave a task.
 
 Defined cases: sets are of lower-cased words parted by white space; null text is empty;
 texts without words are equal; fewer words than a shingle give one shingle; repeated rows
@@ -30,24 +29,33 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, small_side, small_table, stage
-from .components import components, name_rows
+from .common import partitions, small_side, stage
+from .components import components, local_roots, name_rows
 from .tokens import shingle_hashes, slices_of, word_hashes
 
 SEED, BANDS, ROWS, PIVOTS = 42, 32, 6, 16
 MINIMA = BANDS * ROWS
 REACH, SLACK = 24, 0.1
-#: Pairs a task holds before it hands them on.
-PAIRS = 1 << 16
-#: Members of a band compared together; of what was linked before, one stands for all.
+#: Words of a fingerprint; bits in which two may differ.
+WORDS, WIDE = 4, 64
+#: Bits in which the first two words may differ; members looked at side by side.
+REACH_TWO, SIDE = 40, 64
+#: Members of a cell compared directly, at most; bits of further choices leave about ``FEW`` together.
+LARGE, FEW = 2048, 128
+#: Links a task holds before it hands on their forest.
+LINKS = 1 << 16
+#: Members of a block of a large group, and bytes of its texts.
+MOST, MOST_BYTES = 2048, 16 << 20
+#: Members compared together for a forest; of what was linked before, one stands for all.
 CHUNK = 2048
 _RANDOM = np.random.default_rng(5)
 _FACTORS = _RANDOM.integers(0, 1 << 31, MINIMA, np.uint32) * np.uint32(2) + np.uint32(1)
 _SHIFTS = _RANDOM.integers(0, 1 << 32, MINIMA, np.uint32)
 _BANDS = _RANDOM.integers(0, 1 << 63, BANDS, np.uint64)
+_WIDER = _RANDOM.integers(0, 1 << 63, WORDS, np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 PIVOT = np.array([xxhash.xxh64_intdigest(str(i).encode(), 7) for i in range(PIVOTS)], np.uint64)
 
@@ -90,6 +98,7 @@ def minima(own: np.ndarray) -> np.ndarray:
 
 
 def bands(least: np.ndarray) -> np.ndarray:
+    """Keys of ``ROWS`` minima each: places where sets may have met (``crossing``); they propose nothing here."""
     key = _BANDS.copy()
     for m in least.astype(np.uint64).reshape(ROWS, BANDS):
         key = (key ^ m) * _MIX
@@ -97,36 +106,152 @@ def bands(least: np.ndarray) -> np.ndarray:
     return key
 
 
-#: Bytes of marks: pivot distances, minima, band keys.
+#: Bytes of marks before the keys: pivot distances, minima.
 _KEYS = PIVOTS + MINIMA
-MARKS = "row long, fp long, sim long, marks binary, bands array<long>"
+
+
+def wide(own: np.ndarray) -> bytes:
+    """The SimHash of ``WORDS`` words; each sees the hashes mixed anew."""
+    out = []
+    for k in range(WORDS):
+        x = own
+        if k:
+            x = (own ^ own >> np.uint64(31 - k)) * _WIDER[k]
+            x ^= x >> np.uint64(32)
+        out.append(simhash(x))
+    return np.array(out, np.uint64).tobytes()
 
 
 def marked(rows: DataFrame, shingle: int) -> DataFrame:
-    """row, fp (the set's hash), sim, marks (pivot distances, a byte of each minimum, four of
-    each band's key), bands (none for an empty set); ``rows``: row, text."""
+    """row, fp (the set's hash), wide (null for an empty set), bytes (of the text); ``rows``: row, text."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = shingle_sets(b.column(1).cast(pa.binary()).to_pylist(), shingle)
+            texts = b.column(1).cast(pa.binary()).to_pylist()
+            sets = shingle_sets(texts, shingle)
             fps = np.array([set_hash(s) for s in sets], np.uint64)
-            sims = np.array([simhash(s) for s in sets], np.uint64)
-            far = np.bitwise_count(sims[:, None] ^ PIVOT[None, :]).astype(np.uint8)
-            least = [minima(s) for s in sets]
-            small = [((m * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8) for m in least]
-            keys = [bands(m).view(np.int64) if len(s) else np.zeros(0, np.int64) for s, m in zip(sets, least, strict=True)]
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
-            short = [k.astype(np.uint32) if len(k) else np.zeros(BANDS, np.uint32) for k in keys]
-            blobs = pa.array([p.tobytes() + m.tobytes() + k.tobytes() for p, m, k in zip(far, small, short, strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(fps.view(np.int64)), pa.array(sims.view(np.int64)), blobs, lists], ["row", "fp", "sim", "marks", "bands"]
-            )
+            wides = pa.array([wide(s) if len(s) else None for s in sets], pa.binary())
+            sizes = pa.array([len(t or b"") for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), wides, sizes], ["row", "fp", "wide", "bytes"])
+
+    return rows.select("row", "text").mapInArrow(of, "row long, fp long, wide binary, bytes long")
+
+
+def reached(sims: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs within ``WIDE`` bits; ``sims``: a row of words each.
+
+    The first member of a tree is its reference; the others meet by their distances to it."""
+    distance = lambda at, i: np.bitwise_count(sims[at] ^ sims[i]).sum(axis=1, dtype=np.int64)
+    found: list[tuple[int, np.ndarray]] = []
+    x, y = (np.ascontiguousarray(sims[:, k]) for k in range(2))
+    alive = np.ones(len(sims), bool)
+    for s in range(0, len(sims), SIDE):
+        own, others = (np.flatnonzero(alive[s:e]) + s for e in (s + SIDE, len(sims)))
+        bits = np.bitwise_count(x[own, None] ^ x[others]) + np.bitwise_count(y[own, None] ^ y[others])
+        for i in own[(bits <= REACH_TWO).sum(axis=1) > 1].tolist():  # itself and another
+            if not alive[i]:
+                continue
+            left = np.flatnonzero(alive[i + 1 :]) + i + 1
+            far = distance(left, i)
+            todo = [(i, left[far <= WIDE], far[far <= WIDE])]
+            rest, far = left[far > WIDE], far[far > WIDE]
+            while todo:
+                from_, at, depth = todo.pop()
+                if not len(at):
+                    continue
+                found.append((from_, at))
+                alive[at] = False
+                for z, d in zip(at.tolist(), depth.tolist(), strict=True):
+                    ring = np.flatnonzero(np.abs(far - d) <= WIDE)
+                    ring = ring[distance(rest[ring], z) <= WIDE]
+                    if len(ring):
+                        todo.append((z, rest[ring], far[ring]))
+                        rest, far = np.delete(rest, ring), np.delete(far, ring)
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *(np.full(len(at), i) for i, at in found)]), np.concatenate([none, *(at for _, at in found)])
+
+
+def cell_links(sims: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links with the components of the near pairs of a cell."""
+    n = len(sims)
+    if n <= LARGE:
+        yield reached(sims)
+        return
+    more = max(1, int(np.ceil(np.log2(n / FEW))))
+    choices, random = int(np.ceil(10 / 0.8485**more)), np.random.default_rng(more)
+    for _ in range(choices):
+        key = np.zeros(n, np.uint64)
+        for bit in random.choice(64 * WORDS, more, replace=False).tolist():
+            key = key << np.uint64(1) | sims[:, bit // 64] >> np.uint64(bit % 64) & np.uint64(1)
+        order = np.argsort(key, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+            if len(own) > 1:
+                i, j = reached(sims[own])
+                yield own[i], own[j]
+
+
+def star_batch(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    u, v = local_roots(*(np.concatenate([x[k] for x in held]) for k in range(2)))
+    return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+
+def proposed(nodes: DataFrame, parts: int) -> DataFrame:
+    """(u, v): links with the components of the nodes whose fingerprints share a block and are near."""
+    width = 8 + 8 * WORDS
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of a batch the members of a cell in one row, so that rows do not outweigh fingerprints."""
+        for b in batches:
+            if not b.num_rows:
+                continue
+            sims = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, -1)
+            members = np.concatenate([b.column(0).to_numpy().view(np.uint8).reshape(-1, 8), sims], axis=1)
+            for block in range(sims.shape[1]):
+                order = np.argsort(sims[:, block], kind="stable")
+                cuts = np.flatnonzero(np.diff(sims[order, block])) + 1
+                parts = np.split(members[order], cuts)
+                names = block * 256 + sims[order[[0, *cuts.tolist()]], block].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([p.tobytes() for p in parts], pa.binary())], ["cell", "members"])
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, cell, parted = [], 0, None, []
+
+        def done() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            own = np.frombuffer(b"".join(parted), np.uint64).reshape(-1, width // 8)
+            fps = own[:, 0].view(np.int64)
+            for i, j in cell_links(own[:, 1:]):
+                if len(i):
+                    yield fps[i], fps[j]
+
+        def stars(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, size
+            for pair in done():
+                held.append(pair)
+                size += len(pair[0])
+                if size >= LINKS:
+                    yield star_batch(held)
+                    held, size = [], 0
+            if last and held:
+                yield star_batch(held)
+
+        for b in batches:
+            for c, part in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if c != cell and parted:
+                    yield from stars(False)
+                    parted = []
+                cell = c
+                parted.append(part)
+        if parted:
+            yield from stars(True)
 
-    return rows.select("row", "text").mapInArrow(of, MARKS)
+    met = nodes.filter("wide is not null").select("fp", "wide").mapInArrow(cells, "cell int, members binary")
+    met = met.repartition(parts, "cell").sortWithinPartitions("cell")
+    return met.mapInArrow(links, "u long, v long")
 
 
 class Members:
-    """Nodes of one band: names, components, fingerprints, pivot rows, bytes of minima, band keys."""
+    """Nodes that are compared: names, components, fingerprints, pivot rows, bytes of minima, keys of
+    places where they met before (none here)."""
 
     FIELDS = ("fp", "label", "sim", "far", "small", "keys")
 
@@ -208,123 +333,111 @@ def crossing(m: Members, least: float, place: int | None = None) -> Iterator[tup
             yield int(order[i]), order[at]
 
 
-def shared_bands(nodes: DataFrame) -> DataFrame:
-    """(band, place, fp): the bands that several nodes have."""
-    keys = nodes.select("fp", F.posexplode("bands").alias("place", "band"))
-    n = F.count(F.lit(1)).over(Window.partitionBy("band"))
-    return keys.withColumn("n", n).filter("n > 1").select("band", "place", "fp")
-
-
-def proposed(met: DataFrame, nodes: DataFrame, labels: DataFrame | None, similarity: float, every: bool = False) -> DataFrame:
-    """(u, v): pairs of nodes that share a band (``met``) and may be similar: the edges of
-    forests, or, given the components found so far (``labels``), best or all pairs between those."""
+class Roots:
+    """Components of members by their numbers."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def of(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = i = self.up[self.up[i]]
+        return i
+
+    def labels(self) -> np.ndarray:
+        return np.array([self.of(i) for i in range(len(self.up))], np.int64)
+
+
+def marks_of(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of one word, and marks."""
+    sims = np.array([simhash(s) for s in sets], np.uint64)
+    far = np.bitwise_count(sims[:, None] ^ PIVOT[None, :]).astype(np.uint8)
+    small = [((minima(s) * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8) for s in sets]
+    return sims, np.concatenate([far, np.stack(small)], axis=1)
+
+
+def true_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs at least as similar."""
+    roots, found = Roots(len(sets)), []
+
+    def check(pairs: Iterator[tuple[int, int]]) -> None:
+        for i, j in pairs:
+            x, y = roots.of(i), roots.of(j)
+            if x == y:
+                continue
+            both = np.sort(np.concatenate([sets[i], sets[j]]), kind="stable")
+            common = int((both[1:] == both[:-1]).sum())
+            if common >= similarity * (len(both) - common) - 1e-9:
+                roots.up[max(x, y)] = min(x, y)
+                found.append((i, j))
+
+    n, least = len(sets), similarity - SLACK
+    if n == 2:
+        check(iter([(0, 1)]))
+        return found
+    sims, marks = marks_of(sets)
+    members = lambda: Members(np.arange(n), roots.labels(), sims, marks)
+    m = members()
+    kept = np.arange(min(n, CHUNK))
+    for k in range(CHUNK, n + CHUNK, CHUNK):
+        own = m.take(kept)
+        edges, stands = forest(own, least)
+        check((int(kept[i]), int(kept[j])) for i, j in edges)
+        kept = np.concatenate([kept[stands], np.arange(k, min(n, k + CHUNK))])
+    check((i, j) for i, others in crossing(members(), least, 0) for j in others.tolist())
+    return found
+
+
+def verified(groups: DataFrame, nodes: DataFrame, rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(u, v): links with the components of all pairs at least as similar of the nodes of a group;
+    ``groups``: node, label."""
     spark = nodes.sparkSession
-    if labels is None:
-        met = met.withColumn("label", F.col("fp"))
-    else:
-        met = met.join(labels, F.col("fp") == F.col("node"), "left").select("band", "place", "fp", F.coalesce("label", "fp").alias("label"))
-        several = Window.partitionBy("band")
-        met = met.withColumn("a", F.min("label").over(several)).withColumn("b", F.max("label").over(several)).filter("a < b")
-    met = met.join(nodes.select(F.col("fp").alias("f2"), "sim", "marks"), F.col("fp") == F.col("f2"))
-    met = met.select("band", "label", "fp", "sim", "marks", "place").repartition(partitions(spark, nodes), "band").sortWithinPartitions("band", "fp")
-    least, grown = similarity - SLACK, labels is not None
-
-    def edges(m: Members, place: int) -> Iterator[pa.RecordBatch]:
-        def batch(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-            u, v = (np.concatenate([x[k] for x in pairs]) for k in range(2))
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
-
-        held, size, n = [], 0, len(m.fp)
-        if grown:
-            for i, others in crossing(m, least, place if every else None):
-                held.append((np.full(len(others), m.fp[i]), m.fp[others]))
-                size += len(others)
-                if size >= PAIRS:
-                    yield batch(held)
-                    held, size = [], 0
-        else:
-            kept = m.take(np.arange(min(n, CHUNK)))
-            for k in range(CHUNK, n + CHUNK, CHUNK):
-                found, stands = forest(kept, least)
-                if found:
-                    at = np.array(found)
-                    held.append((kept.fp[at[:, 0]], kept.fp[at[:, 1]]))
-                if k < n:
-                    kept = kept.take(stands).join(m.take(np.arange(k, min(n, k + CHUNK))))
-        if held:
-            yield batch(held)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-
-        def groups(last: bool) -> Iterator[pa.RecordBatch]:
-            band, label, fp, sim, marks, place = (np.concatenate(x) for x in zip(*held, strict=True))
-            cut = len(band) if last else int(np.searchsorted(band, band[-1]))
-            begin = np.flatnonzero(np.concatenate([[True], band[1:cut] != band[: max(cut - 1, 0)]])) if cut else []
-            for a, b in zip(begin, [*begin[1:], cut], strict=True):
-                if b - a > 1:
-                    yield from edges(Members(fp[a:b], label[a:b], sim[a:b], marks[a:b]), int(place[a]))
-            held[:] = [(band[cut:], label[cut:], fp[cut:], sim[cut:], marks[cut:], place[cut:])] if cut < len(band) else []
+    placed = stage(groups.join(nodes, F.col("node") == F.col("fp")).select("label", "fp", F.col("row").alias("r2"), "bytes"), "similar-placed")
+    sizes = placed.groupBy(F.col("label").alias("l2")).agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    blocks = F.ceil(F.greatest(F.col("n") / MOST, F.col("bytes") / MOST_BYTES)).cast("int")
+    large = small_side(stage(sizes.select("l2", blocks.alias("blocks")).filter("blocks > 1"), "similar-large"))
+    x = F.pmod("fp", "blocks").cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda y: y != x)
+    pairs = F.transform(others, lambda y: F.struct(F.least(x, y).alias("x"), F.greatest(x, y).alias("y")))
+    alone = F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y")))
+    texts = rows.join(small_side(placed.drop("bytes")), F.col("row") == F.col("r2")).join(large, F.col("label") == F.col("l2"), "left")
+    texts = texts.select("label", F.explode(F.coalesce(pairs, alone)).alias("pair"), "fp", "text")
+    met = texts.select("label", "pair.x", "pair.y", "fp", "text").repartition(partitions(spark, rows), "label", "x", "y").sortWithinPartitions("label", "x", "y", "fp")
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, name, fps, sets = [], 0, None, [], []
+
+        def stars(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, size
+            if len(sets) > 1:
+                at = np.array(true_links(sets, similarity), np.int64).reshape(-1, 2)
+                own = np.array(fps, np.int64)
+                held.append((own[at[:, 0]], own[at[:, 1]]))
+                size += len(at)
+            if held and (last or size >= LINKS):
+                yield star_batch(held)
+                held, size = [], 0
 
         for b in batches:
-            if b.num_rows:
-                blob = np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint8).reshape(b.num_rows, -1)
-                held.append((*(b.column(i).to_numpy() for i in range(3)), b.column(3).to_numpy().view(np.uint64), blob, b.column(5).to_numpy()))
-                if sum(len(h[0]) for h in held) > 1 << 15:
-                    yield from groups(False)
-        if held:
-            yield from groups(True)
-
-    return met.mapInArrow(work, "u long, v long").distinct()
+            new = shingle_sets(b.column(4).cast(pa.binary()).to_pylist(), shingle)
+            names = zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)
+            for key, fp, s in zip(names, b.column(3).to_pylist(), new, strict=True):
+                if key != name:
+                    yield from stars(False)
+                    name, fps, sets = key, [], []
+                fps.append(fp)
+                sets.append(s)
+        yield from stars(True)
 
-
-def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(u, v): the pairs that are at least as similar."""
-    named = pairs.select(F.col("u").alias("f")).union(pairs.select("v")).distinct()
-    places = stage(named.join(nodes, F.col("f") == F.col("fp")).select("f", F.col("row").alias("r2")), "similar-places")
-    texts = rows.join(small_side(places), F.col("row") == F.col("r2")).select("f", "text")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            own = [s.tobytes() for s in shingle_sets(b.column(1).cast(pa.binary()).to_pylist(), shingle)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.binary())], ["f", "own"])
-
-    # Few sets stand in many pairs where near copies are many; then they go to the pairs, not pairs to them.
-    held = stage(texts.mapInArrow(sets, "f long, own binary"), "similar-sets")
-    few = small_table(held)
-    both = pairs.join(few, F.col("u") == F.col("f")).select("u", "v", F.col("own").alias("a"))
-    both = both.join(few, F.col("v") == F.col("f")).select("u", "v", "a", F.col("own").alias("b"))
-
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            good = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = (np.frombuffer(z.as_py(), np.uint64) for z in (x, y))
-                both = np.sort(np.concatenate([x, y]))
-                common = int((both[1:] == both[:-1]).sum())
-                good.append(common >= similarity * (len(x) + len(y) - common) - 1e-9)
-            mask = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], ["u", "v"])
-
-    return both.mapInArrow(decide, "u long, v long")
+    return met.mapInArrow(links, "u long, v long")
 
 
 def similar_rows(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """row, fp, component_id (the least row of the component); ``rows``: row, text, to be
     read more than once."""
     found = stage(marked(rows, shingle), "similar")
-    picked = F.min(F.struct("row", "sim", "marks", "bands"))
-    nodes = found.groupBy("fp").agg(picked.alias("x"), F.count(F.lit(1)).alias("n"))
+    nodes = found.groupBy("fp").agg(F.min(F.struct("row", "wide", "bytes")).alias("x"), F.count(F.lit(1)).alias("n"))
     nodes = stage(nodes.select("fp", "n", "x.*", F.col("x.row").alias("least")), "similar-nodes")
-
-    def check(pairs: DataFrame) -> DataFrame:
-        return stage(verified(pairs, nodes, rows, shingle, similarity), "similar-links")
-
-    met = stage(shared_bands(nodes), "similar-bands")
-    tried = stage(proposed(met, nodes, None, similarity), "similar-pairs")
-    links = check(tried)
-    for every in (False, True):
-        more = proposed(met, nodes, components(links), similarity, every).join(tried, ["u", "v"], "left_anti")
-        more = stage(more, "similar-pairs")
-        links, tried = links.unionByName(check(more)), tried.unionByName(more)
+    groups = components(proposed(nodes, partitions(rows.sparkSession, rows)))
+    links = stage(verified(groups, nodes, rows, shingle, similarity), "similar-links")
     return name_rows(found.select("row", "fp"), nodes.select("fp", "n", "least"), components(links))

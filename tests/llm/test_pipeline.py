@@ -201,3 +201,64 @@ def test_large_band_costs_its_outsiders():
     pairs = sum(len(x) for _, x in similar.crossing(m, 0.7, 0))
     outside = int((label != 3).sum())
     assert pairs == outside * (n - outside) + outside * (outside - 1) // 2 and time.time() - start < 20
+
+
+def spread(marks):
+    """The nodes' labels after a list of links between 0 .. n - 1."""
+    root = list(range(marks[0]))
+    for i, j in marks[1]:
+        a, b = root[i], root[j]
+        root = [min(a, b) if x in (a, b) else x for x in root]
+    return root
+
+
+def test_fingerprints_propose_every_pair_at_the_threshold():
+    """Pairs of similarity 0.8 to 0.9 agree in a block of their fingerprints and are near by them."""
+    r = np.random.default_rng(11)
+    for share in (0.8, 0.85, 0.9):
+        lost = 0
+        for _ in range(400):
+            n = 180
+            common = int(round(n * 2 * share / (1 + share)))
+            base = r.integers(0, 1 << 63, 2 * n - common).astype(np.uint64)
+            x, y = (np.frombuffer(similar.wide(np.sort(s)), np.uint8) for s in (base[:n], base[n - common :]))
+            sims = np.stack([x, y]).view(np.uint64)
+            lost += not ((x == y).any() and len(similar.reached(sims)[0]) == 1)
+        assert lost <= (1 if share == 0.8 else 0), (share, lost)
+
+
+@pytest.mark.parametrize("large", [2048, 64])
+def test_cell_links_are_a_forest_of_all_near_pairs(monkeypatch, large):
+    """Also where the cell is parted by further bits; never more links than members for each choice."""
+    monkeypatch.setattr(similar, "LARGE", large)
+    r = np.random.default_rng(5)
+    base = r.integers(0, 1 << 63, (30, similar.WORDS)).astype(np.uint64)
+    flips = np.packbits(r.random((300, 64 * similar.WORDS)) < 0.12, axis=1).view(np.uint64)
+    sims = base[r.integers(0, 30, 300)] ^ flips
+    far = np.bitwise_count(sims[:, None] ^ sims[None]).sum(axis=2)
+    want = spread((300, zip(*np.nonzero(far <= similar.WIDE), strict=True)))
+    found = list(similar.cell_links(sims))
+    assert all(len(i) < 300 for i, _ in found)
+    assert spread((300, [p for i, j in found for p in zip(i.tolist(), j.tolist(), strict=True)])) == want and len(set(want)) < 60
+
+
+def test_links_of_a_near_group_do_not_grow_with_its_square(spark, monkeypatch):
+    """Copies of one text under the threshold: links stay in proportion, and blocks of a large group lose none."""
+    rng = random.Random(9)
+    hub = prose(150, 6000).split()
+    texts = []
+    for _ in range(400):
+        copy = list(hub)
+        for _ in range(rng.randrange(1, 8)):
+            copy[rng.randrange(len(copy))] = f"new{rng.random()}"
+        texts.append(" ".join(copy))
+    rows = stage(spark.createDataFrame(list(enumerate(texts)), "row long, text string").repartition(4), "t")
+    sets = similar.shingle_sets([t.encode() for t in texts], 5)
+    want = spread((400, similar.true_links(sets, 0.8)))
+    alike = [(i, j) for i in range(400) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8]
+    assert spread((400, alike)) == want and 50 < len(set(want)) < 390
+    nodes = stage(similar.marked(rows, 5).select("fp", "wide"), "t")
+    assert similar.proposed(nodes, 4).count() <= 400 * 4
+    monkeypatch.setattr(similar, "MOST", 64)
+    got = {r.row: r.component_id for r in similar.similar_rows(rows, 5, 0.8).collect()}
+    assert [got[i] for i in range(400)] == want
