@@ -438,6 +438,7 @@ def similar_rows(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
     found = stage(marked(rows, shingle), "similar")
     nodes = found.groupBy("fp").agg(F.min(F.struct("row", "wide", "bytes")).alias("x"), F.count(F.lit(1)).alias("n"))
     nodes = stage(nodes.select("fp", "n", "x.*", F.col("x.row").alias("least")), "similar-nodes")
-    groups = components(proposed(nodes, partitions(rows.sparkSession, rows)))
+    near = stage(proposed(nodes, partitions(rows.sparkSession, rows)), "similar-near")  # it is read twice
+    groups = components(near)
     links = stage(verified(groups, nodes, rows, shingle, similarity), "similar-links")
     return name_rows(found.select("row", "fp"), nodes.select("fp", "n", "least"), components(links))
