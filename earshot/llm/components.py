@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stage
@@ -29,16 +29,26 @@ def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
+def contracted(links: DataFrame) -> DataFrame:
+    """(u, v), u > v: distinct links with the components of ``links``, never more of them.
+
+    Of a node's lesser neighbours the least keeps its link and is linked with the others in the
+    node's place.  Stars of many tasks over one group so fall together: a member keeps one link,
+    the rest become links between the few roots of the stars."""
+    down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v")
+    least = down.withColumn("least", F.min("v").over(Window.partitionBy("u")))
+    return least.select(F.when(F.col("v") == F.col("least"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("least").alias("v")).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the least node of the component of every linked node.
 
-    ``links``: columns u, v.  Labels spread to neighbours and then jump to their
-    label's label, until nothing changes; each round is written, so a lost executor
-    costs at most a round.
+    ``links``: columns u, v.  They are contracted first, since every round joins all of them.
+    Labels spread to neighbours and then jump to their label's label, until nothing changes;
+    each round is written, so a lost executor costs at most a round.
     """
-    both = stage(
-        links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).filter("u <> v").distinct(), "links"
-    )
+    few = stage(contracted(contracted(links)), "links")
+    both = few.unionByName(few.select(F.col("v").alias("u"), F.col("u").alias("v")))
     labels = stage(both.groupBy(F.col("u").alias("node")).agg(F.min(F.least("u", "v")).alias("label")), "labels")
     while True:
         seen = both.join(labels, F.col("v") == F.col("node")).groupBy("u").agg(F.min("label").alias("near"))

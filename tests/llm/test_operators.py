@@ -714,6 +714,24 @@ def test_links_lose_nothing(spark, monkeypatch, large):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+def test_components_join_links_in_proportion_to_nodes(spark, monkeypatch):
+    """Stars of many tasks over one group, whose links outnumber its members, and odd links."""
+    r = random.Random(8)
+    group = [r.getrandbits(63) for _ in range(300)]
+    pairs = [(u, min(own)) for own in (r.sample(group, 200) for _ in range(40)) for u in own]
+    pairs += [(-k, -k - 1) for k in range(1, 12)] + [(5, 9), (9, 5), (9, 5), (7, 9), (4, 4), (-(2**63), 2**63 - 1)]
+    staged, real = [], components.stage
+    monkeypatch.setattr(components, "stage", lambda df, name: staged.append(real(df, name)) or staged[-1])
+    got = {x.node: x.label for x in components.components(spark.createDataFrame(pairs, "u long, v long").repartition(4)).collect()}
+    want = {n: n for u, v in pairs if u != v for n in (u, v)}
+    for u, v in (p for p in pairs if p[0] != p[1]):
+        x, y = sorted((want[u], want[v]))
+        want = {n: x if c == y else c for n, c in want.items()}
+    assert got == want and len(set(want.values())) == 4
+    assert max(d.count() for d in staged) <= len(want) * 1.1
+    assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
 def test_blocks_cover_every_pair():
     r = random.Random(3)
     for n in (10, 10**7, 10**9, 10**11):
